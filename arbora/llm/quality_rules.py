@@ -103,4 +103,6 @@ def judge(
     total = F.aggregate("llr_b", F.lit(0.0), lambda a, b: a + F.get(table, b))
     df = df.withColumn("llr", F.when(F.size("llr_b") > 0, total / F.size("llr_b")).otherwise(F.lit(0.0))).drop("llr_b")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.round("llr", 9) >= threshold))
+    # the row number, always true here, keeps Catalyst from pushing a filter on the verdict down through the steps above:
+    # it would put each step's whole expression inside the next one's lambdas and evaluate it for every word
+    return df.withColumn("kept", ~F.col("base_failed") & (F.round("llr", 9) >= threshold) & (F.monotonically_increasing_id() >= 0))
