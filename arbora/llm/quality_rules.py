@@ -46,7 +46,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
     ids = known_small(trusted.select(F.col(key).alias("llr_id")).where(F.col("llr_id").isNotNull()).distinct(), most_broadcast)
     rows = docs.select(F.col(key).alias("llr_key"), buckets(F.col(text), n, size).alias("llr_b")).join(ids, F.col("llr_key") == F.col("llr_id"), "left")
     counts = rows.select(F.col("llr_id").isNotNull().cast("int").alias("good"), F.explode("llr_b").alias("bucket")).groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("raw"))
-    table = stored(counts.coalesce(1), "ngram-counts")
+    table = stored(counts, "ngram-counts")
     ends = table.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()
     if not ends["good"]:
         return [0.0] * size
