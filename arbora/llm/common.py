@@ -60,6 +60,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != F.lit(""))
 
 
+def once(value: Column) -> Column:
+    """``value``, evaluated in its own step.
+
+    The condition is always true but not deterministic, so Catalyst neither pushes a later filter below the step nor
+    copies the expression into the lambdas that use it, where it would be evaluated again for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def known_small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, which is counted first; else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

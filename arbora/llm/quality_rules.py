@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import known_small, stored, words
+from .common import known_small, once, stored, words
 
 #: Runs of letters, marks and digits, or runs of other signs that are not spaces.
 PARTS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+"
@@ -60,34 +60,34 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("llr_w", words(F.col(text)))
-    df = df.withColumn("llr_h", F.transform("llr_w", lambda w: F.xxhash64(w)))
+    df = df.withColumn("llr_w", once(words(F.col(text))))
+    df = df.withColumn("llr_h", once(F.transform("llr_w", lambda w: F.xxhash64(w))))
     # bits for a position: enough for the number of windows
-    df = df.withColumn("llr_bits", F.ceil(F.log2(F.size("llr_h") + F.lit(1))).cast("int"))
+    df = df.withColumn("llr_bits", once(F.ceil(F.log2(F.size("llr_h") + F.lit(1))).cast("int")))
     windows = F.expr(
         """transform(slice(llr_h, 1, greatest(size(llr_h) - 2, 0)), (h, i) ->
              (xxhash64(h, get(llr_h, i + 1), get(llr_h, i + 2)) & ~(shiftleft(1L, llr_bits) - 1L)) | cast(i as bigint))"""
     )
-    df = df.withColumn("llr_s", F.sort_array(windows))
+    df = df.withColumn("llr_s", once(F.sort_array(windows)))
     df = df.withColumn(
         "llr_r",
-        F.expr(
+        once(F.expr(
             """sort_array(transform(filter(llr_s, (x, i) ->
                  shiftright(x, llr_bits) = coalesce(if(i > 0, shiftright(get(llr_s, i - 1), llr_bits), null), ~shiftright(x, llr_bits))
                  or shiftright(x, llr_bits) = coalesce(shiftright(get(llr_s, i + 1), llr_bits), ~shiftright(x, llr_bits))),
                x -> x & (shiftleft(1L, llr_bits) - 1L)))"""
-        ),
+        )),
     )
     covered = F.expr("aggregate(transform(llr_r, (p, i) -> least(3L, coalesce(get(llr_r, i + 1) - p, 3L))), 0L, (a, x) -> a + x)")
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("llr_lines", lines)
+    df = df.withColumn("llr_lines", once(lines))
     return df.withColumns(
         {
             "n_words": F.size("llr_w").cast("long"),
             "word_chars": F.char_length(F.array_join("llr_w", "")).cast("long"),
             "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("llr_lines") - F.size(F.array_distinct("llr_lines"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
+            "n_repeat_words": once(covered.cast("long")),
         }
     ).drop("llr_w", "llr_h", "llr_bits", "llr_s", "llr_r", "llr_lines")
 
@@ -99,10 +99,8 @@ def judge(
     ratios = log_ratios(docs, trusted, key, text, n, size)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded into one constant
     own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")]
-    df = base_counts(docs.select(*own), text).withColumn("llr_b", buckets(F.col(text), n, size))
+    df = base_counts(docs.select(*own), text).withColumn("llr_b", once(buckets(F.col(text), n, size)))
     total = F.aggregate("llr_b", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    df = df.withColumn("llr", F.when(F.size("llr_b") > 0, total / F.size("llr_b")).otherwise(F.lit(0.0))).drop("llr_b")
+    df = df.withColumn("llr", once(F.when(F.size("llr_b") > 0, total / F.size("llr_b")).otherwise(F.lit(0.0)))).drop("llr_b")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    # the row number, always true here, keeps Catalyst from pushing a filter on the verdict down through the steps above:
-    # it would put each step's whole expression inside the next one's lambdas and evaluate it for every word
-    return df.withColumn("kept", ~F.col("base_failed") & (F.round("llr", 9) >= threshold) & (F.monotonically_increasing_id() >= 0))
+    return df.withColumn("kept", once(~F.col("base_failed") & (F.round("llr", 9) >= threshold)))
