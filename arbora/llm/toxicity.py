@@ -101,7 +101,7 @@ class Model:
                 rest = v - (1 - post)[:, None] * rates[0] - post[:, None] * rates[1]
                 scale = np.sqrt((rest**2).sum(axis=0) + 1e-9)
                 correlation = rest.T @ rest / np.outer(scale, scale)
-                weight = 1 / np.maximum(1, np.where(np.abs(correlation) > 0.1, np.abs(correlation), 0).sum(axis=0))
+                weight = 1 / np.maximum(1, np.where(np.abs(correlation) > 0.3, np.abs(correlation), 0).sum(axis=0))
             logs = np.log(rates[1] / rates[0]) * weight, np.log((1 - rates[1]) / (1 - rates[0])) * weight
             mean = float(np.clip(post.mean(), 0.5 * prior, 2 * prior))
             post = 1 / (1 + np.exp(-np.clip(v @ logs[0] + (1 - v) @ logs[1] + np.log(mean / (1 - mean)), -30, 30)))
