@@ -55,17 +55,20 @@ def mix(
     return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", repeats.cast("long").alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: every row of ``docs``, with all its columns, as often as its key's repeats say.
+def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "", **options) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as the mix holds it.
 
-    Rows that share a key, or have none, are told apart by their place among them, in order of size.
+    What a source adds to its whole repetitions ends at one place of the seeded order, so each source needs one row: its
+    whole repetitions and that place. Texts are not shuffled. Rows alike in key and size share a place and are taken alike,
+    all of them where the mix ends among them; a row without words comes as often as the whole repetitions say.
     """
-    plan = mix(docs, key, text, source, **options)
-    plan = stored(plan.groupBy(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n")).agg(F.sort_array(F.collect_list("repeats"), False).alias("_all")), "mix-repeats")
+    plan = mix(docs, key, text, source, seed=seed, **options)
+    drawn = lambda: F.md5(F.coalesce(F.concat(F.col(key).cast("string"), F.lit(seed)), F.lit("")).cast("binary"))
+    place = lambda size: F.struct(drawn().alias("a"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("b"), size.alias("c"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    plan = plan.withColumn("_whole", whole).groupBy(F.col(source).alias("_s")).agg(F.max("_whole").alias("_whole"), F.max(F.when(F.col("repeats") > F.col("_whole"), place(F.col("size")))).alias("_last"))
+    plan = stored(plan, "mix-plan")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size)
-    same = Window.partitionBy(key, source, "_size").orderBy(F.col(text))
-    rows = rows.join(plan, F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    times = F.when(F.size("_all") == 1, F.element_at("_all", 1)).otherwise(F.get("_all", F.row_number().over(same) - 1))
-    rows = rows.withColumn("_times", times)
-    return rows.withColumn("_copy", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times").cast("int"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    rows = docs.withColumn("_size", size).join(plan, F.col(source).eqNullSafe(F.col("_s")))
+    more = (F.col("_size") > 0) & F.coalesce(place(F.col("_size")) <= F.col("_last"), F.lit(False))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_whole") + more.cast("int")))).select(*docs.columns)

