@@ -93,8 +93,12 @@ class Model:
         """Rates of firing by class, residual correlations, and the posterior of class 1."""
         for_toxic = np.ones(v.shape[1], bool)
         for_toxic[-1] = False
-        post = np.clip(v[:, for_toxic].any(axis=1) * 0.9, 0.02, 0.98)
-        weight, correlation = np.ones(v.shape[1]), np.eye(v.shape[1])
+        middle = v - v.mean(axis=0)
+        scale = np.sqrt((middle**2).sum(axis=0) + 1e-9)
+        weight = 1 / np.maximum(1, (np.abs(middle.T @ middle / np.outer(scale, scale)) > 0.8).sum(axis=0))  # copies share a vote
+        count = v[:, for_toxic] @ weight[for_toxic]
+        post = np.where(count >= 1.5, 0.9, np.where(count >= 0.75, 0.5, 0.02))
+        correlation = np.eye(v.shape[1])
         for k in range(rounds):
             rates = np.stack([((v * q[:, None]).sum(axis=0) + 0.5) / (q.sum() + 1) for q in (1 - post, post)])
             if k % 10 == 9:
