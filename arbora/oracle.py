@@ -1,2 +1,52 @@
-def oracle_sql():
-    return {}
+"""DuckDB SQL for the queries of :mod:`arbora.queries`."""
+
+from .plans.sql import BOTH, TWO
+
+_ORPHANS = "(SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1000000 END AS o_custkey FROM orders WHERE o_orderkey % 3 = 0)"
+_COORD = "(SELECT c_custkey, c_custkey * 7919 % 18000 / 100.0::DOUBLE - 90 AS lat, c_custkey * 104729 % 36000 / 100.0::DOUBLE - 180 AS lon FROM customer)"
+_TERMS = "string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+
+
+def _flat(how: str) -> str:
+    return f"SELECT c_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM customer {how} JOIN {_ORPHANS} o ON c_custkey = o_custkey"
+
+
+OWN = {
+    "fn_div_mod_zero": "SELECT l_orderkey, l_linenumber, l_orderkey / nullif(l_linenumber - 1, 0) AS a, l_orderkey // nullif(l_linenumber - 1, 0) AS b, l_orderkey % nullif(l_linenumber - 1, 0) AS c FROM lineitem",
+    "fn_bit": "SELECT o_orderkey, o_orderkey & o_custkey AS a, o_orderkey | o_custkey AS o, xor(o_orderkey, o_custkey) AS x, CASE WHEN o_custkey % 9 < 2 THEN 0 ELSE o_orderkey * (2 ** (o_custkey % 9 - 2))::BIGINT END AS l, bit_count(o_orderkey)::INT AS n FROM orders",
+    "fn_round_truncate": "SELECT o_orderkey, round(trunc((o_totalprice - 100000) * 10) / 10, 1) AS t, ceil(o_totalprice - 100000)::BIGINT AS c, floor(o_totalprice - 100000)::BIGINT AS f, sign(o_totalprice - 100000)::INT AS s FROM orders",
+    "fn_log_pow": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS r, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) END AS l, CASE WHEN c_acctbal > 0 THEN round(log10(c_acctbal), 6) END AS g, round(pow(c_acctbal / 1000, 2), 6) AS p FROM customer",
+    "fn_trig": "SELECT c_custkey, round(sin(c_acctbal / 1000), 6) AS s, round(atan2(c_acctbal / 1000, 2.0), 6) AS a, round(pi() / 2 - atan(c_acctbal / 1000), 6) AS ac, round(degrees(c_acctbal / 1000), 6) AS dg FROM customer",
+    "fn_substring_edge": "SELECT p_partkey, '' AS z, substring(p_name, 2, 3) AS m, right(p_name, 3) AS e, string_split(p_name, ' ')[1] AS i FROM part",
+    "fn_pad_trim": "SELECT p_partkey, lpad(p_brand, 12, '*') AS l, rpad(p_brand, 12, '-') AS r, left(p_brand, 3) AS s, '' AS n, p_brand AS t FROM part",
+    "fn_elt_field": "SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' END AS e, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS f, CASE WHEN c_mktsegment < 'BUILDING' THEN -1 WHEN c_mktsegment > 'BUILDING' THEN 1 ELSE 0 END AS s FROM customer",
+    "fn_export_set": "SELECT n_nationkey, list_aggregate(list_transform(range(5), lambda i: CASE WHEN (n_nationkey >> i::INT) & 1 = 1 THEN 'Y' ELSE 'N' END), 'string_agg', ',') AS e FROM nation",
+    "fn_inet_aton": "SELECT n_nationkey, ((10 * 256 + n_nationkey::BIGINT) * 256 + 3) * 256 + 4 AS i, NULL::BIGINT AS n FROM nation",
+    "fn_day_names": "SELECT o_orderkey, dayname(o_orderdate) AS d, monthname(o_orderdate) AS m FROM orders",
+    "fn_week_modes": "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, CASE WHEN strftime(date_trunc('year', o_orderdate), '%w')::INT IN (2, 3, 4) THEN strftime(o_orderdate, '%W')::INT + 1 ELSE strftime(o_orderdate, '%W')::INT END AS w1, weekofyear(o_orderdate)::INT AS w3 FROM orders",
+    "fn_date_format": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%A, %-d %B %y %j') AS b, strftime(o_orderdate, '%w %b 100%%') AS c FROM orders",
+    "fn_to_days": "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 719528 AS n FROM orders",
+    "fn_period": "SELECT o_orderkey, ((year(o_orderdate) * 12 + month(o_orderdate) - 1 + 14) // 12) * 100 + (month(o_orderdate) - 1 + 14) % 12 + 1 AS a, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS d FROM orders",
+    "fn_cast_lenient": "SELECT c_custkey, round(c_acctbal)::BIGINT AS p, 0::BIGINT AS z, 2147483647::BIGINT AS c, floor(c_acctbal + 0.5)::BIGINT AS d FROM customer",
+    "fn_min_max_strict": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN least(c_nationkey, 7) END AS l, CASE WHEN c_custkey % 3 > 0 THEN greatest(c_nationkey, 7) END AS g FROM customer",
+    "flatten_inner": _flat(""), "flatten_left": _flat("LEFT"), "flatten_right": _flat("RIGHT"), "flatten_full": _flat("FULL"),
+    "flatten_keep_parent": _flat("") + " UNION ALL SELECT c_custkey, NULL, NULL FROM customer",
+    "branch_product": "SELECT n_name, count(*) AS n, count(DISTINCT c_custkey) AS c, count(DISTINCT s_suppkey) AS s FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name",
+    "ancestor_lookup": "SELECT o_orderpriority, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority",
+    "branch_lookup": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",
+    "nested_json": """SELECT c_custkey, coalesce('[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']', '[]') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
+    "select_star_star": """WITH o AS (SELECT o_orderkey, any_value(o_custkey) AS o_custkey, coalesce('[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']', '[]') AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)
+        SELECT c_custkey, any_value(c_name) AS c_name, coalesce('[' || string_agg('{"o_orderkey":' || o_orderkey || ',"lines":' || lines || '}', ',' ORDER BY o_orderkey) || ']', '[]') AS orders FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey""",
+    "insert_returning": "SELECT * FROM nation UNION ALL SELECT 100, 'ATLANTIS', 1",
+    "update_returning": "SELECT s_suppkey, s_nationkey + 100 AS s_nationkey FROM supplier WHERE s_nationkey = 3",
+    "delete_returning": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey >= 12",
+    "info_schema_columns": "SELECT * FROM (VALUES ('region', 'r_regionkey', 1), ('region', 'r_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3)) AS v(table_name, column_name, ordinal_position)",
+    "fulltext_must_should_not": f"WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents) SELECT doc_id, 1 + list_contains(w, 'and')::INT + list_contains(w, 'idiot')::INT AS hits FROM t WHERE list_contains(w, 'the') AND NOT list_contains(w, 'stupid')",
+    "spatial_box": f"SELECT c_custkey FROM {_COORD} WHERE lat BETWEEN -40 AND 40 AND (lon >= 150 OR lon <= -150)",
+    "spatial_nearest": f"SELECT c_custkey, round(sqrt(power(CASE WHEN abs(lon - 175) > 180 THEN 360 - abs(lon - 175) ELSE abs(lon - 175) END, 2) + power(lat - 10, 2)), 6) AS far FROM {_COORD} ORDER BY far, c_custkey LIMIT 10",
+    "udf_scalar": "SELECT n_nationkey, n_nationkey::BIGINT * 2 AS twice FROM nation",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**BOTH, **{name: text for name, (_, text) in TWO.items()}, **OWN}

@@ -1,2 +1,208 @@
-def queries():
-    return {}
+"""The relational queries: SQL that both engines read, SQL with a twin for the oracle, and DataFrame operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .catalog import columns_frame, load_tables
+from .functions import compat as C
+from .operators import dml, groups, search
+from .plans.sql import BOTH, TWO
+
+CO = groups.Edge("c_custkey", "o_custkey")
+OL = groups.Edge("o_orderkey", "l_orderkey")
+NC = groups.Edge("n_nationkey", "c_nationkey")
+NS = groups.Edge("n_nationkey", "s_nationkey")
+
+
+def _sql(text: str, tables: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        load_tables(spark, sf_dir, tables)
+        return spark.sql(text)
+
+    return run
+
+
+def _used(text: str) -> list[str]:
+    from .catalog import TABLES
+
+    words = {*text.lower().replace("(", " ").replace(")", " ").replace(",", " ").split()}
+    return [t for t in TABLES if t in words]
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fn_div_mod_zero(s, d):
+    q = F.col("l_linenumber") - 1
+    return _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", C.divide(F.col("l_orderkey"), q).alias("a"), C.int_divide(F.col("l_orderkey"), q).alias("b"), C.modulo(F.col("l_orderkey"), q).cast("long").alias("c"))
+
+
+def fn_bit(s, d):
+    k, n = F.col("o_orderkey"), (F.col("o_custkey") % 9 - 2).cast("int")
+    return _t(s, d, "orders").select("o_orderkey", k.bitwiseAND(F.col("o_custkey")).alias("a"), k.bitwiseOR(F.col("o_custkey")).alias("o"), k.bitwiseXOR(F.col("o_custkey")).alias("x"), C.shift_left(k, n).cast("long").alias("l"), F.bit_count(k).cast("int").alias("n"))
+
+
+def fn_round_truncate(s, d):
+    x = F.col("o_totalprice") - 100000
+    return _t(s, d, "orders").select("o_orderkey", F.round(C.truncate(x, 1), 1).alias("t"), F.ceil(x).cast("long").alias("c"), F.floor(x).cast("long").alias("f"), F.signum(x).cast("int").alias("s"))
+
+
+def fn_log_pow(s, d):
+    x = F.col("c_acctbal")
+    return _t(s, d, "customer").select("c_custkey", F.round(C.sqrt(x), 6).alias("r"), F.round(F.when(x > 0, F.ln(x)), 6).alias("l"), F.round(F.when(x > 0, F.log10(x)), 6).alias("g"), F.round(F.pow(x / 1000, F.lit(2.0)), 6).alias("p"))
+
+
+def fn_trig(s, d):
+    x = F.col("c_acctbal") / 1000
+    return _t(s, d, "customer").select("c_custkey", F.round(F.sin(x), 6).alias("s"), F.round(F.atan2(x, F.lit(2.0)), 6).alias("a"), F.round(C.acot(x), 6).alias("ac"), F.round(F.degrees(x), 6).alias("dg"))
+
+
+def fn_substring_edge(s, d):
+    n = F.col("p_name")
+    return _t(s, d, "part").select("p_partkey", C.substring(n, F.lit(0), F.lit(3)).alias("z"), C.substring(n, F.lit(2), F.lit(3)).alias("m"), C.substring(n, F.lit(-3)).alias("e"), F.substring_index(n, " ", 1).alias("i"))
+
+
+def fn_pad_trim(s, d):
+    n = F.col("p_brand")
+    return _t(s, d, "part").select("p_partkey", C.lpad(n, 12, "*").alias("l"), C.rpad(n, 12, "-").alias("r"), C.lpad(n, 3, "").alias("s"), C.lpad(n, -1, "x").alias("n"), F.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("t"))
+
+
+def fn_elt_field(s, d):
+    n = (F.col("c_custkey") % 5).cast("int")
+    m = F.col("c_mktsegment")
+    return _t(s, d, "customer").select("c_custkey", C.elt(n, F.lit("a"), F.lit("b"), F.lit("c")).alias("e"), C.field(m, F.lit("BUILDING"), F.lit("MACHINERY")).cast("int").alias("f"), C.strcmp(m, F.lit("BUILDING")).alias("s"))
+
+
+def fn_export_set(s, d):
+    return _t(s, d, "nation").select("n_nationkey", C.export_set(F.col("n_nationkey"), "Y", "N", ",", 5).alias("e"))
+
+
+def fn_inet_aton(s, d):
+    k = F.col("n_nationkey").cast("string")
+    return _t(s, d, "nation").select("n_nationkey", C.inet_aton(F.concat(F.lit("10."), k, F.lit(".3.4"))).alias("i"), C.inet_aton(k).alias("n"))
+
+
+def fn_day_names(s, d):
+    x = F.col("o_orderdate")
+    return _t(s, d, "orders").select("o_orderkey", C.day_name(x).alias("d"), C.month_name(x).alias("m"))
+
+
+def fn_week_modes(s, d):
+    x = F.col("o_orderdate").cast("date")
+    return _t(s, d, "orders").select("o_orderkey", *[C.week(x, m).alias(f"w{m}") for m in (0, 1, 3)])
+
+
+def fn_date_format(s, d):
+    x = F.col("o_orderdate")
+    return _t(s, d, "orders").select("o_orderkey", C.date_format(x, "%Y-%m-%d %H:%i:%s").alias("a"), C.date_format(x, "%W, %e %M %y %j").alias("b"), C.date_format(x, "%w %b 100%%").alias("c"))
+
+
+def fn_to_days(s, d):
+    return _t(s, d, "orders").select("o_orderkey", C.to_days(F.col("o_orderdate").cast("date")).cast("long").alias("n"))
+
+
+def fn_period(s, d):
+    p = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long")
+    return _t(s, d, "orders").select("o_orderkey", C.period_add(p, F.lit(14)).alias("a"), C.period_diff(p, F.lit(199201)).alias("d"))
+
+
+def fn_cast_lenient(s, d):
+    t = F.concat(F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("abc"))
+    return _t(s, d, "customer").select("c_custkey", C.text_to_int(t).alias("p"), C.text_to_int(F.col("c_name")).alias("z"), C.text_to_int(F.lit("99999999999")).alias("c"), C.double_to_int(F.col("c_acctbal")).alias("d"))
+
+
+def fn_min_max_strict(s, d):
+    n = F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey"))
+    return _t(s, d, "customer").select("c_custkey", C.least_strict(n, F.lit(7)).alias("l"), C.greatest_strict(n, F.lit(7)).alias("g"))
+
+
+def _flat(df):
+    return df.select("c_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"))
+
+
+def _groups(how="inner", **keep):
+    def run(s, d):
+        orders = _t(s, d, "orders").where("o_orderkey % 3 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1000000))
+        return _flat(groups.flatten(_t(s, d, "customer"), orders, CO, how, **keep))
+
+    return run
+
+
+def branch_product(s, d):
+    return groups.product(_t(s, d, "nation"), _t(s, d, "customer"), NC, _t(s, d, "supplier"), NS).groupBy("n_name").agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("c"), F.countDistinct("s_suppkey").alias("s"))
+
+
+def ancestor_lookup(s, d):
+    return groups.ancestors(_t(s, d, "lineitem"), _t(s, d, "orders"), OL).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+def branch_lookup(s, d):
+    return groups.branch(_t(s, d, "customer").where("c_nationkey = 3"), _t(s, d, "orders"), CO).select("o_orderkey", "o_custkey")
+
+
+def nested_json(s, d):
+    return groups.nest(_t(s, d, "customer").select("c_custkey"), _t(s, d, "orders"), CO, ["o_orderkey", "o_orderstatus"], "orders").select("c_custkey", F.to_json("orders").alias("orders"))
+
+
+def select_star_star(s, d):
+    lines = groups.nest(_t(s, d, "orders").select("o_orderkey", "o_custkey"), _t(s, d, "lineitem"), OL, ["l_linenumber", "l_partkey"], "lines")
+    return groups.nest(_t(s, d, "customer").select("c_custkey", "c_name"), lines, CO, ["o_orderkey", "lines"], "orders").select("c_custkey", "c_name", F.to_json("orders").alias("orders"))
+
+
+def insert_returning(s, d):
+    table = _t(s, d, "nation")
+    return dml.insert(table, s.createDataFrame([(100, "ATLANTIS", 1)], "a int, b string, c int"))[0]
+
+
+def update_returning(s, d):
+    return dml.update(_t(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") == 3, s_nationkey=F.col("s_nationkey") + 100)[1]
+
+
+def delete_returning(s, d):
+    return dml.delete(_t(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") < 12)[0]
+
+
+def info_schema_columns(s, d):
+    load_tables(s, d, ["region", "nation"])
+    return columns_frame(s, ["region", "nation"])
+
+
+def fulltext_must_should_not(s, d):
+    return search.full_text(_t(s, d, "documents"), "text", must=["the"], should=["and", "idiot"], must_not=["stupid"]).select("doc_id", F.col("hits").cast("int").alias("hits"))
+
+
+def _coordinates(s, d):
+    k = F.col("c_custkey")
+    return _t(s, d, "customer").select("c_custkey", (k * 7919 % 18000 / 100.0 - 90).alias("lat"), (k * 104729 % 36000 / 100.0 - 180).alias("lon"))
+
+
+def spatial_box(s, d):
+    return _coordinates(s, d).where(search.in_box(F.col("lat"), F.col("lon"), -40, 40, 150, -150)).select("c_custkey")
+
+
+def spatial_nearest(s, d):
+    far = search.distance(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(175.0))
+    return _coordinates(s, d).select("c_custkey", F.round(far, 6).alias("far")).orderBy("far", "c_custkey").limit(10)
+
+
+def udf_scalar(s, d):
+    import pandas as pd
+
+    double = F.pandas_udf(lambda x: pd.Series(x) * 2, "long")
+    return _t(s, d, "nation").select("n_nationkey", double(F.col("n_nationkey").cast("long")).alias("twice"))
+
+
+OWN = [f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_") and f.__code__.co_argcount == 2]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: _sql(text, _used(text)) for name, text in BOTH.items()}
+    out |= {name: _sql(text, _used(text)) for name, (text, _) in TWO.items()}
+    out |= {f.__name__: f for f in OWN}
+    out |= {f"flatten_{how}": _groups(how) for how in ("inner", "left", "right", "full")}
+    return out | {"flatten_keep_parent": _groups("inner", keep_parent=True)}
