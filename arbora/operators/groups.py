@@ -49,3 +49,48 @@ def nest(parent: DataFrame, child: DataFrame, edge: Edge, columns: Sequence[str
     rows = child.groupBy(edge.child_key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(into))
     out = parent.join(rows, edge.on(), "left").drop(edge.child_key)
     return out.withColumn(into, F.coalesce(into, F.array()))
+
+
+def select(parents: DataFrame, where: Column, children: Sequence[tuple[DataFrame, Edge]]) -> tuple[DataFrame, list[DataFrame]]:
+    """Parents that satisfy a condition, and of each child table the rows below them."""
+    kept = parents.where(F.coalesce(where, F.lit(False)))
+    return kept, [branch(kept, child, edge) for child, edge in children]
+
+
+@dataclass(frozen=True)
+class Node:
+    """A table of a group, with its children: name, rows, columns to show, and the edge to its parent."""
+
+    name: str
+    rows: DataFrame
+    columns: Sequence[str]
+    edge: Edge | None = None
+    children: tuple[Node, ...] = ()
+
+
+def nested(root: Node, depth: int | None = None, empty: bool = True) -> DataFrame:
+    """The group as one row for each root row, with an array of structs for each child table, down to ``depth`` levels.
+
+    Without ``empty`` a parent that has no rows of a child gets NULL, which JSON leaves out.
+    """
+    keys = [n.edge.parent_key for n in root.children] if depth != 0 else []
+    out = root.rows.select(*dict.fromkeys([*root.columns, *([root.edge.child_key] if root.edge else []), *keys]))
+    for n in root.children if depth != 0 else ():
+        below = nested(n, None if depth is None else depth - 1, empty)
+        inside = [*n.columns, *([c.name for c in n.children] if depth is None or depth > 1 else [])]
+        rows = below.groupBy(F.col(n.edge.child_key).alias("_up")).agg(F.array_sort(F.collect_list(F.struct(*inside))).alias(n.name))
+        out = out.join(rows, F.col(n.edge.parent_key) == F.col("_up"), "left").drop("_up")
+        if empty:
+            out = out.withColumn(n.name, F.coalesce(n.name, F.array()))
+    names = [c.name for c in root.children] if depth != 0 else []
+    return out.select(*dict.fromkeys([*root.columns, *([root.edge.child_key] if root.edge else []), *names]))
+
+
+def dump(root: Node, depth: int | None = None) -> DataFrame:
+    """One JSON text for each root row, with its branch below; tables without rows are left out."""
+    return nested(root, depth, empty=False).select(F.to_json(F.struct("*")).alias("json"))
+
+
+def inconsistent(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:
+    """Child rows whose key has no parent. A NULL key is consistent."""
+    return child.where(F.col(edge.child_key).isNotNull()).join(parent.select(edge.parent_key), edge.on(), "left_anti")

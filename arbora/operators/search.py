@@ -1,8 +1,10 @@
-"""Full-text and spatial search by plain expressions."""
+"""Full-text search by plain expressions; spatial search is in :mod:`arbora.functions.spatial`."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,14 +32,61 @@ def full_text(df: DataFrame, text: str, must: Sequence[str] = (), should: Sequen
     return df.withColumn("hits", reduce(lambda a, b: a + b, found) if found else F.lit(0)).drop("_terms")
 
 
-def distance(y1: Column, x1: Column, y2: Column, x2: Column) -> Column:
-    """Planar distance in degrees, the short way round."""
-    dx = F.abs(x1 - x2)
-    dx = F.when(dx > 180, 360 - dx).otherwise(dx)
-    return F.sqrt(dx * dx + (y1 - y2) * (y1 - y2))
+#: A term of a query: sign, field, and a phrase or a word.
+_TERM = re.compile(r"""([+\-!]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"()]+))|(\()|(\))""")
 
 
-def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:
-    """Inside a box, which crosses the date line if west is above east."""
-    across = (lon >= west) & (lon <= east) if west <= east else (lon >= west) | (lon <= east)
-    return (lat >= south) & (lat <= north) & across
+@dataclass(frozen=True)
+class Clause:
+    """One word or phrase of a query: ``must``, ``should`` or ``not``, in a field or in the default one."""
+
+    role: str
+    field: str | None
+    words: tuple[str, ...]
+
+
+def parse(query: str) -> list[Clause]:
+    """Clauses of ``+must -not should "a phrase" field:word``; AND and NOT between words are read as signs.
+
+    Brackets are not grouped; they are left out.
+    """
+    out, after = [], ""
+    for sign, field, phrase, word, _, _ in _TERM.findall(query):
+        if word in ("AND", "&&"):
+            if out and out[-1].role == "should":
+                out[-1] = Clause("must", out[-1].field, out[-1].words)
+            after = "+"
+        elif word == "NOT":
+            after = "-"
+        elif word in ("OR", "||"):
+            after = ""
+        elif words := tuple(re.findall(r"[^\W_]+", (phrase or word).lower())):
+            sign = sign or after
+            out.append(Clause({"+": "must", "-": "not", "!": "not"}.get(sign, "should"), field or None, words))
+            after = ""
+    return out
+
+
+def _found(clause: Clause, default: str) -> Column:
+    """The words occur next to each other in the field."""
+    text = F.concat(F.lit(" "), F.array_join(terms(F.col(clause.field or default)), " "), F.lit(" "))
+    return F.coalesce(F.contains(text, F.lit(f" {' '.join(clause.words)} ")), F.lit(False))
+
+
+def full_text_search(df: DataFrame, query: str, field: str, limit: int | None = None, tie: str | None = None) -> DataFrame:
+    """Rows that match a query, with ``hits``; the best ones, ties by a column, if there is a limit."""
+    clauses = parse(query)
+    musts, shoulds, nots = ([c for c in clauses if c.role == r] for r in ("must", "should", "not"))
+    hit = {c: f"_hit{i}" for i, c in enumerate(dict.fromkeys(clauses))}
+    out = df.withColumns({name: _found(c, field) for c, name in hit.items()})
+    for c in musts:
+        out = out.where(F.col(hit[c]))
+    for c in nots:
+        out = out.where(~F.col(hit[c]))
+    if shoulds and not musts:
+        out = out.where(reduce(lambda a, b: a | b, (F.col(hit[c]) for c in shoulds)))
+    if not musts and not shoulds:
+        out = out.where(F.lit(False))
+    counted = [F.col(hit[c]).cast("int") for c in dict.fromkeys([*musts, *shoulds])]
+    out = out.withColumn("hits", reduce(lambda a, b: a + b, counted) if counted else F.lit(0)).drop(*hit.values())
+    return out if limit is None else out.orderBy(F.desc("hits"), *([tie] if tie else [])).limit(limit)

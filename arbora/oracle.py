@@ -23,7 +23,7 @@ OWN = {
     "fn_export_set": "SELECT n_nationkey, list_aggregate(list_transform(range(5), lambda i: CASE WHEN (n_nationkey >> i::INT) & 1 = 1 THEN 'Y' ELSE 'N' END), 'string_agg', ',') AS e FROM nation",
     "fn_inet_aton": "SELECT n_nationkey, ((10 * 256 + n_nationkey::BIGINT) * 256 + 3) * 256 + 4 AS i, NULL::BIGINT AS n FROM nation",
     "fn_day_names": "SELECT o_orderkey, dayname(o_orderdate) AS d, monthname(o_orderdate) AS m FROM orders",
-    "fn_week_modes": "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, CASE WHEN strftime(date_trunc('year', o_orderdate), '%w')::INT IN (2, 3, 4) THEN strftime(o_orderdate, '%W')::INT + 1 ELSE strftime(o_orderdate, '%W')::INT END AS w1, weekofyear(o_orderdate)::INT AS w3 FROM orders",
+    "fn_week_modes": "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, CASE WHEN strftime(date_trunc('year', o_orderdate), '%w')::INT IN (2, 3, 4) THEN strftime(o_orderdate, '%W')::INT + 1 ELSE strftime(o_orderdate, '%W')::INT END AS w1, CASE WHEN month(o_orderdate) = 12 AND weekofyear(o_orderdate) = 1 THEN 53 ELSE weekofyear(o_orderdate) END::INT AS w3 FROM orders",
     "fn_date_format": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%A, %-d %B %y %j') AS b, strftime(o_orderdate, '%w %b 100%%') AS c FROM orders",
     "fn_to_days": "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 719528 AS n FROM orders",
     "fn_period": "SELECT o_orderkey, ((year(o_orderdate) * 12 + month(o_orderdate) - 1 + 14) // 12) * 100 + (month(o_orderdate) - 1 + 14) % 12 + 1 AS a, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS d FROM orders",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .catalog import columns_frame, load_tables
 from .functions import compat as C
+from .functions import dates as D
+from .functions import spatial as S
 from .operators import dml, groups, search
 from .plans.sql import BOTH, TWO
 
@@ -89,26 +91,26 @@ def fn_inet_aton(s, d):
 
 def fn_day_names(s, d):
     x = F.col("o_orderdate")
-    return _t(s, d, "orders").select("o_orderkey", C.day_name(x).alias("d"), C.month_name(x).alias("m"))
+    return _t(s, d, "orders").select("o_orderkey", D.day_name(x).alias("d"), D.month_name(x).alias("m"))
 
 
 def fn_week_modes(s, d):
     x = F.col("o_orderdate").cast("date")
-    return _t(s, d, "orders").select("o_orderkey", *[C.week(x, m).alias(f"w{m}") for m in (0, 1, 3)])
+    return _t(s, d, "orders").select("o_orderkey", *[D.week(x, m).alias(f"w{m}") for m in (0, 1, 3)])
 
 
 def fn_date_format(s, d):
     x = F.col("o_orderdate")
-    return _t(s, d, "orders").select("o_orderkey", C.date_format(x, "%Y-%m-%d %H:%i:%s").alias("a"), C.date_format(x, "%W, %e %M %y %j").alias("b"), C.date_format(x, "%w %b 100%%").alias("c"))
+    return _t(s, d, "orders").select("o_orderkey", D.date_format(x, "%Y-%m-%d %H:%i:%s").alias("a"), D.date_format(x, "%W, %e %M %y %j").alias("b"), D.date_format(x, "%w %b 100%%").alias("c"))
 
 
 def fn_to_days(s, d):
-    return _t(s, d, "orders").select("o_orderkey", C.to_days(F.col("o_orderdate").cast("date")).cast("long").alias("n"))
+    return _t(s, d, "orders").select("o_orderkey", D.to_days(F.col("o_orderdate").cast("date")).cast("long").alias("n"))
 
 
 def fn_period(s, d):
     p = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long")
-    return _t(s, d, "orders").select("o_orderkey", C.period_add(p, F.lit(14)).alias("a"), C.period_diff(p, F.lit(199201)).alias("d"))
+    return _t(s, d, "orders").select("o_orderkey", D.period_add(p, F.lit(14)).alias("a"), D.period_diff(p, F.lit(199201)).alias("d"))
 
 
 def fn_cast_lenient(s, d):
@@ -182,11 +184,11 @@ def _coordinates(s, d):
 
 
 def spatial_box(s, d):
-    return _coordinates(s, d).where(search.in_box(F.col("lat"), F.col("lon"), -40, 40, 150, -150)).select("c_custkey")
+    return _coordinates(s, d).where(S.in_box(F.col("lat"), F.col("lon"), -40, 40, 150, -150)).select("c_custkey")
 
 
 def spatial_nearest(s, d):
-    far = search.distance(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(175.0))
+    far = S.distance_lat_lon(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(175.0))
     return _coordinates(s, d).select("c_custkey", F.round(far, 6).alias("far")).orderBy("far", "c_custkey").limit(10)
 
 
