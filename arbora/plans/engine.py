@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import register
 from ..operators import groups
 from ..operators.sequences import Sequence
+from ..sources import files, infoschema
 from . import dialect
 from .dialect import Token, closing, solid, split, text, tokens
 
@@ -31,6 +32,8 @@ class Engine:
         self.sequences: dict[str, Sequence] = {}
         self.procedures: dict[str, Callable[..., DataFrame]] = {}
         self.settings: dict[str, str] = {}
+        self.views: dict[str, str] = {}
+        self.functions: dict[str, tuple[str, bool]] = {}
         register(spark)
 
     # queries
@@ -58,7 +61,23 @@ class Engine:
         return plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), mode)
 
     def _run(self, statement: str, parameters: list | tuple) -> DataFrame:
-        return self.spark.sql(dialect.to_spark(self._numbers(statement)), args=list(parameters) or None)
+        return self.spark.sql(dialect.to_spark(self._catalog(self._numbers(statement))), args=list(parameters) or None)
+
+    def _catalog(self, statement: str) -> str:
+        """Tables of ``information_schema`` replaced by frames of what the catalog holds now."""
+        if "information_schema" not in statement.lower():
+            return statement
+        ts, out, at = tokens(statement), [], 0
+        while at < len(ts):
+            if ts[at].text.lower() == "information_schema" and at + 2 < len(ts) and ts[at + 1].text == ".":
+                name = ts[at + 2].text.lower()
+                infoschema.frame(self, name).createOrReplaceTempView(f"information_schema_{name}")
+                out.append(f"information_schema_{name}")
+                at += 3
+            else:
+                out.append(ts[at].text)
+                at += 1
+        return "".join(out)
 
     def _numbers(self, statement: str) -> str:
         """NEXTVAL and CURRVAL replaced by values; one value for a statement."""
@@ -109,6 +128,7 @@ class Engine:
         if kind in ("INDEX", "UNIQUE", "GROUP"):  # there are no indexes; scans prune by file statistics
             return self._empty()
         if kind == "VIEW":
+            self.views[ts[2].text.strip('"`').lower()] = text(tokens(statement)[next(i for i, t in enumerate(tokens(statement)) if t.word == "AS") + 1 :])
             self.spark.sql(dialect.to_spark(statement).replace("CREATE VIEW", "CREATE TEMPORARY VIEW", 1))
             return self._empty()
         return None
@@ -305,6 +325,29 @@ class Engine:
             given = list(self._run("SELECT " + " ".join(t.text for t in ts[3 : closing(ts, 2)]), parameters).first())
         return self.procedures[ts[1].text.lower()](self.spark, *given)
 
+    def _copy(self, statement: str, ts: list[Token], parameters) -> DataFrame:
+        """``COPY table [(columns)] FROM 'path' ...`` and ``COPY table | (query) TO 'path' ...`` with CSV options."""
+        depth, way = 0, 0
+        for i, t in enumerate(ts):
+            depth += (t.text == "(") - (t.text == ")")
+            if not depth and t.word in ("FROM", "TO") and not way:
+                way = i
+        words = [t.word for t in ts]
+        given = {k: ts[words.index(w, way) + 1].text.strip("'") for k, w in (("delimiter", "DELIMITER"), ("quote", "QUOTE"), ("escape", "ESCAPE"), ("null", "NULL"), ("encoding", "ENCODING")) if w in words[way:]}
+        header, path = "HEADER" in words[way:], ts[way + 1].text.strip("'")
+        if words[way] == "TO":
+            inside = " ".join(t.text for t in ts[1:way])
+            df = self._run(inside[1:-1] if ts[1].text == "(" else f"SELECT * FROM {inside}", parameters)
+            files.write_csv(df, path, header=header, **given)
+            return self._answer(df, None)
+        table = self.spark.table(ts[1].text.strip('"`'))
+        columns = [t.text.strip('"`') for t in ts[3 : way - 1] if t.text != ","] or table.columns
+        kinds = dict(table.dtypes)
+        rows = files.read_csv(self.spark, path, ", ".join(f"`{c}` {kinds[c]}" for c in columns), header=header, **given)
+        rows = rows.select(*[(F.col(c) if c in columns else F.lit(None)).cast(k).alias(c) for c, k in table.dtypes])
+        rows.write.mode("append").format("parquet").saveAsTable(ts[1].text.strip('"`'))
+        return self._answer(rows, None)
+
     def _set(self, statement: str, ts: list[Token], parameters) -> DataFrame | None:
         if len(ts) < 4 or ts[2].text not in ("=",) and ts[2].word != "TO":
             return None
@@ -336,6 +379,7 @@ class Engine:
     def function(self, name: str, f: Callable, result: str, deterministic: bool = True, vectorized: bool = False) -> None:
         """A scalar function for SQL: of one row's values, or of whole Arrow batches."""
         own = F.pandas_udf(f, result) if vectorized else F.udf(f, result, useArrow=True)
+        self.functions[name.lower()] = (result, deterministic)
         self.spark.udf.register(name, own if deterministic else own.asNondeterministic())
 
     def procedure(self, name: str, f: Callable[..., DataFrame]) -> None:

@@ -17,8 +17,10 @@ def read_csv(
 
     An unquoted field that equals ``null`` is NULL. The schema is given, never inferred, so the files are read once.
     """
-    reader = spark.read.schema(schema).options(sep=delimiter, quote=quote, escape=escape or quote, nullValue=null, emptyValue="", header=header, encoding=encoding, multiLine=True, mode="FAILFAST")
-    return reader.csv(path)
+    empty = "\x01"  # stands for a quoted empty text, which would be taken for NULL otherwise
+    reader = spark.read.schema(schema).options(sep=delimiter, quote=quote, escape=escape or quote, nullValue=null, emptyValue=empty, header=header, encoding=encoding, multiLine=True, mode="FAILFAST")
+    rows = reader.csv(path)
+    return rows.select(*[F.when(F.col(c) == empty, "").otherwise(F.col(c)).alias(c) if k == "string" else F.col(c) for c, k in rows.dtypes])
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', escape: str | None = None, null: str = "", header: bool = False, encoding: str = "UTF-8", mode: str = "errorifexists") -> None:

@@ -160,3 +160,60 @@ def test_sequence_numbers_rows(spark):
     df = spark.range(100).selectExpr("99 - id AS k")
     got = sorted(rows(s.number(df, "k", "n")))
     assert got == [(k, 10 + 5 * k) for k in range(100)] and s.nextval() == 10 + 500
+
+
+def test_information_schema(engine):
+    q = lambda text: rows(engine.sql(text))
+    assert q("SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'items' ORDER BY ordinal_position") == [("iid", "INT"), ("oid", "INT"), ("sku", "STRING"), ("quan", "INT")]
+    assert q("SELECT path, depth FROM information_schema.grouping_constraints WHERE constraint_table_name = 'items'") == [("customers/orders/items", 2)]
+    assert q("SELECT column_name FROM information_schema.key_column_usage WHERE constraint_name = 'orders.PRIMARY'") == [("oid",)]
+    assert ("TABLE",) in q("SELECT table_type FROM information_schema.tables WHERE table_name = 'orders'")
+    from arbora.sources.infoschema import NAMES
+
+    for name in NAMES:
+        engine.sql(f"SELECT count(*) AS n FROM information_schema.{name}").collect()
+
+
+def test_copy(engine, tmp_path):
+    engine.script("CREATE TABLE c (id INT, s VARCHAR(20), d DATE); INSERT INTO c VALUES (1, 'a \"q\", b', DATE '2000-01-02'), (2, '', NULL), (3, NULL, NULL)")
+    before = sorted(rows(engine.sql("SELECT * FROM c")), key=str)
+    assert rows(engine.sql(f"COPY c TO '{tmp_path}/a' WITH CSV HEADER DELIMITER '|'")) == [(3,)]
+    engine.sql("TRUNCATE TABLE c")
+    assert rows(engine.sql(f"COPY c FROM '{tmp_path}/a' WITH CSV HEADER DELIMITER '|'")) == [(3,)]
+    assert sorted(rows(engine.sql("SELECT * FROM c")), key=str) == before
+    engine.sql(f"COPY (SELECT id FROM c WHERE id > 1) TO '{tmp_path}/b' WITH CSV")
+    assert sorted(engine.spark.read.text(f"{tmp_path}/b").collect()) == [("2",), ("3",)]
+
+
+def test_sql_dump(spark, tmp_path):
+    from arbora.sources.files import as_json, read_sql_dump
+
+    (tmp_path / "dump.sql").write_text("-- dump\nCREATE TABLE `t` (`a` int);\nINSERT INTO `t` VALUES (1,'it\\'s; a\\nline',2.5),(2,NULL,NULL),(3,'x''y','');\nINSERT INTO `u` VALUES (9,'no',1);\nINSERT INTO `t` (a,b,c) VALUES (4, 'NULL', -1e2);\n")
+    got = rows(read_sql_dump(spark, f"{tmp_path}/dump.sql", "t", "a int, b string, c double"))
+    assert got == [(1, "it's; a\nline", 2.5), (2, None, None), (3, "x'y", None), (4, "NULL", -100.0)]
+    df = spark.createDataFrame([(1, None)], "a int, b string")
+    assert as_json(df).first()[0] == '{"a":1,"b":null}' and json.loads(as_json(df, meta=True).first()[0])["columns"][1] == {"name": "b", "type": "string"}
+
+
+def test_search(spark):
+    from arbora.operators.search import Clause, full_text_search, parse
+
+    assert parse('+red -title:"old car" blue AND green') == [Clause("must", None, ("red",)), Clause("not", "title", ("old", "car")), Clause("must", None, ("blue",)), Clause("must", None, ("green",))]
+    df = spark.createDataFrame([(1, "The red car", "x"), (2, "A red, old car!", "old car"), (3, "blue", None), (4, None, None)], "id int, body string, title string")
+    got = lambda q, **k: rows(full_text_search(df, q, "body", **k).select("id", "hits").orderBy("id"))
+    assert got("red blue") == [(1, 1), (2, 1), (3, 1)] and got('+"red car"') == [(1, 1)] and got("+red old") == [(1, 1), (2, 2)] and got("car NOT title:old") == [(1, 1)] and got("") == []
+    assert got("red old", limit=1, tie="id") == [(2, 2)]
+
+
+def test_tumbling_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from arbora.streaming.windows import tumbling
+
+    df = spark.createDataFrame([(f"2020-01-01 00:{m:02d}:00", m % 2) for m in range(30)], "t string, k int").withColumn("t", F.to_timestamp("t"))
+    df.write.parquet(f"{tmp_path}/in")
+    want = sorted(rows(tumbling(df, "t", "10 minutes", ["k"], n=F.count("*"))))
+    stream = tumbling(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "t", "10 minutes", ["k"], n=F.count("*"))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("tumbled").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(rows(spark.table("tumbled"))) == want and len(want) == 6
