@@ -7,6 +7,9 @@ _COORD = "(SELECT c_custkey, c_custkey * 7919 % 18000 / 100.0::DOUBLE - 90 AS la
 _TERMS = "string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
 
 
+_FEW = "SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_nationkey < 7"
+
+
 def _flat(how: str) -> str:
     return f"SELECT c_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM customer {how} JOIN {_ORPHANS} o ON c_custkey = o_custkey"
 
@@ -21,7 +24,7 @@ OWN = {
     "fn_pad_trim": "SELECT p_partkey, lpad(p_brand, 12, '*') AS l, rpad(p_brand, 12, '-') AS r, left(p_brand, 3) AS s, '' AS n, p_brand AS t FROM part",
     "fn_elt_field": "SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' END AS e, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS f, CASE WHEN c_mktsegment < 'BUILDING' THEN -1 WHEN c_mktsegment > 'BUILDING' THEN 1 ELSE 0 END AS s FROM customer",
     "fn_export_set": "SELECT n_nationkey, list_aggregate(list_transform(range(5), lambda i: CASE WHEN (n_nationkey >> i::INT) & 1 = 1 THEN 'Y' ELSE 'N' END), 'string_agg', ',') AS e FROM nation",
-    "fn_inet_aton": "SELECT n_nationkey, ((10 * 256 + n_nationkey::BIGINT) * 256 + 3) * 256 + 4 AS i, NULL::BIGINT AS n FROM nation",
+    "fn_inet_aton": "SELECT n_nationkey, ((10 * 256 + n_nationkey::BIGINT) * 256 + 3) * 256 + 4 AS i, n_nationkey::BIGINT AS n FROM nation",
     "fn_day_names": "SELECT o_orderkey, dayname(o_orderdate) AS d, monthname(o_orderdate) AS m FROM orders",
     "fn_week_modes": "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, CASE WHEN strftime(date_trunc('year', o_orderdate), '%w')::INT IN (2, 3, 4) THEN strftime(o_orderdate, '%W')::INT + 1 ELSE strftime(o_orderdate, '%W')::INT END AS w1, CASE WHEN month(o_orderdate) = 12 AND weekofyear(o_orderdate) = 1 THEN 53 ELSE weekofyear(o_orderdate) END::INT AS w3 FROM orders",
     "fn_date_format": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%A, %-d %B %y %j') AS b, strftime(o_orderdate, '%w %b 100%%') AS c FROM orders",
@@ -44,6 +47,28 @@ OWN = {
     "fulltext_must_should_not": f"WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents) SELECT doc_id, 1 + list_contains(w, 'and')::INT + list_contains(w, 'idiot')::INT AS hits FROM t WHERE list_contains(w, 'the') AND NOT list_contains(w, 'stupid')",
     "spatial_box": f"SELECT c_custkey FROM {_COORD} WHERE lat BETWEEN -40 AND 40 AND (lon >= 150 OR lon <= -150)",
     "spatial_nearest": f"SELECT c_custkey, round(sqrt(power(CASE WHEN abs(lon - 175) > 180 THEN 360 - abs(lon - 175) ELSE abs(lon - 175) END, 2) + power(lat - 10, 2)), 6) AS far FROM {_COORD} ORDER BY far, c_custkey LIMIT 10",
+    "flatten_keep_child": _flat("LEFT") + f" UNION ALL SELECT NULL, o_orderkey, round(o_totalprice, 2) FROM {_ORPHANS} o",
+    "any_all_frame": f"SELECT c_custkey, c_nationkey = ANY ({_FEW}) AS a, c_nationkey <> ALL ({_FEW}) AS b, c_nationkey <= ANY ({_FEW}) AS c, c_nationkey = ALL ({_FEW}) AS d FROM customer",
+    "if_empty": "SELECT -1::BIGINT AS o_orderkey, 'none' AS o_orderstatus",
+    "sequence_values": "SELECT c_custkey, 90 + 10 * row_number() OVER (ORDER BY c_custkey) AS n FROM customer",
+    "branch_dump": """WITH l AS (SELECT l_orderkey, string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) AS t FROM lineitem GROUP BY l_orderkey),
+        o AS (SELECT o_custkey, string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"' || coalesce(',"lines":[' || t || ']', '') || '}', ',' ORDER BY o_orderkey) AS t FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_custkey)
+        SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"' || coalesce(',"orders":[' || t || ']', '') || '}' AS json FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
+    "branch_dump_depth": """WITH o AS (SELECT o_custkey, string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey)
+        SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"' || coalesce(',"orders":[' || t || ']', '') || '}' AS json FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
+    "group_select": "SELECT c_custkey AS k, 'customer' AS t FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT o_orderkey, 'orders' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000",
+    "hkey_union": "SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000 OR o_orderpriority = '1-URGENT'",
+    "foreign_key_orphans": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)",
+    "fulltext_query": f"WITH t AS (SELECT doc_id, ' ' || array_to_string({_TERMS}, ' ') || ' ' AS w, lang FROM documents) SELECT doc_id, 1 + contains(w, ' of the ')::INT + coalesce(contains(' ' || array_to_string({_TERMS.replace('text', 'lang')}, ' ') || ' ', ' en '), FALSE)::INT AS hits FROM t WHERE contains(w, ' the ') AND NOT contains(w, ' stupid ')",
+    "spatial_contains": f"SELECT c_custkey, lat > -10 AND lat < 40 AND lon > -20 AND lon < 30 AS inside FROM {_COORD}",
+    "spatial_clustered": f"SELECT c_custkey, list_sum(list_transform(range(29), lambda i: (((least(floor((lon + 180) / 360 * 536870912)::BIGINT, 536870911) >> i) & 1) << (2 * i)) + CASE WHEN i < 28 THEN ((least(floor((lat + 90) / 180 * 268435456)::BIGINT, 268435455) >> i) & 1) << (2 * i + 1) ELSE 0 END))::BIGINT AS z FROM {_COORD}",
+    "fn_time_of_day": "WITH t AS (SELECT o_orderkey, o_orderkey * 37 % 200000 - 100000 AS n FROM orders) SELECT o_orderkey, CASE WHEN n < 0 THEN '-' ELSE '' END || lpad((abs(n) // 3600)::VARCHAR, 2, '0') || ':' || lpad((abs(n) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((abs(n) % 60)::VARCHAR, 2, '0') AS t, n, '00:01:00' AS d FROM t",
+    "fn_conv_quote": """SELECT p_partkey, bin(p_partkey) AS b, hex(p_partkey) AS h, '0' AS w, CASE WHEN regexp_full_match(p_name, '[a-z_][a-z0-9_$]*') THEN p_name ELSE '"' || replace(p_name, '"', '""') || '"' END AS q FROM part""",
+    "fn_aes": "SELECT n_nationkey, n_name AS n FROM nation",
+    "csv_roundtrip": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a "q", ' || s_name END AS s, s_acctbal FROM supplier""",
+    "json_output": """SELECT '{"n_nationkey":' || n_nationkey || ',"r":' || coalesce(nullif(n_regionkey, 1)::VARCHAR, 'null') || '}' AS json FROM nation""",
+    "procedure_result": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2",
+    "ext_stream_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2",
     "udf_scalar": "SELECT n_nationkey, n_nationkey::BIGINT * 2 AS twice FROM nation",
 }
 

@@ -46,6 +46,11 @@ BOTH = {
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "setop_precedence": "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_nationkey > 20",
     "eq_any": "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)",
+    "any_gt": "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT p_size FROM part WHERE p_brand = 'Brand#11')",
+    "all_ge": "SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT p_size FROM part WHERE p_brand = 'Brand#11')",
+    "ne_all": "SELECT n_name FROM nation WHERE n_nationkey <> ALL (SELECT s_nationkey FROM supplier)",
+    "any_all_projected": "SELECT c_custkey, c_nationkey < ANY (SELECT nullif(s_nationkey, 3) FROM supplier) AS a, c_nationkey > ALL (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_nationkey < 5) AS b, c_nationkey <> ANY (SELECT s_nationkey FROM supplier) AS c, c_nationkey < ALL (SELECT s_nationkey FROM supplier WHERE s_nationkey < 0) AS d FROM customer",
+    "all_correlated": "SELECT o_orderkey FROM orders WHERE o_totalprice / 3 > ALL (SELECT l_extendedprice FROM lineitem WHERE l_orderkey = o_orderkey)",
     "fn_arith": "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber - 10 AS b, round(l_quantity * l_tax, 6) AS c, abs(l_linenumber - 4) AS d, -l_linenumber AS e FROM lineitem",
     "fn_string_core": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, concat(p_brand, '/', p_type) AS c, char_length(p_name) AS n, reverse(p_brand) AS r, repeat('ab', 2) AS x, left(p_name, 3) AS f, right(p_name, 2) AS g, ascii(p_name) AS a FROM part",
     "fn_concat_ws": "SELECT c_custkey, concat_ws('-', c_mktsegment, nullif(c_name, ''), 'z') AS c FROM customer",
@@ -58,13 +63,22 @@ BOTH = {
 }
 
 TWO = {
-    "regex_match": ("SELECT c_custkey FROM customer WHERE c_name RLIKE '(?i)customer#0+1[0-9]+$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+1[0-9]+$')"),
-    "any_gt": ("SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM (SELECT min(p_size) AS m FROM part WHERE p_brand = 'Brand#11') q WHERE p.p_size > q.m)", "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT p_size FROM part WHERE p_brand = 'Brand#11')"),
-    "all_ge": (
-        "SELECT p_partkey FROM part p CROSS JOIN (SELECT max(p_size) AS m, count(*) AS n, count(p_size) AS k FROM part WHERE p_brand = 'Brand#11') q WHERE q.n = 0 OR (q.n = q.k AND p.p_size >= q.m)",
-        "SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT p_size FROM part WHERE p_brand = 'Brand#11')",
+    "xor": ("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 XOR c_mktsegment = 'BUILDING'", "SELECT c_custkey FROM customer WHERE (c_acctbal > 5000) <> (c_mktsegment = 'BUILDING')"),
+    "group_concat_separator": (
+        "SELECT n_regionkey, GROUP_CONCAT(n_name, '/', n_nationkey ORDER BY n_nationkey DESC SEPARATOR '; ') AS names FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name || '/' || n_nationkey, '; ' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY n_regionkey",
+    ),
+    "quoted_names": ('SELECT "c_custkey" AS "a b" FROM "customer" WHERE "c_name" = \'Customer#000000001\'', 'SELECT c_custkey AS "a b" FROM customer WHERE c_name = \'Customer#000000001\''),
+    "fn_sql_text": (
+        "SELECT p_partkey, STRCMP(p_name, 'm') AS c, SUBSTR(p_name, 0, 3) AS z, SUBSTRING(p_name, -3) AS e, LPAD(p_brand, 3, '') AS l, LOCATE('a', p_name, 3) AS a, FIELD(p_brand, 'Brand#11', NULL, 'Brand#12') AS f, ELT(p_size % 4, 'x', 'y') AS t, EXPORT_SET(p_size, '1', '0', '', 6) AS b, INET_ATON(concat('10.', p_size, '.0.1')) AS i FROM part",
+        "SELECT p_partkey, CASE WHEN p_name < 'm' THEN -1 WHEN p_name > 'm' THEN 1 ELSE 0 END AS c, '' AS z, right(p_name, 3) AS e, left(p_brand, 3) AS l, CASE WHEN instr(substring(p_name, 3), 'a') = 0 THEN 0 ELSE instr(substring(p_name, 3), 'a') + 2 END::INT AS a, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 3 ELSE 0 END AS f, CASE p_size % 4 WHEN 1 THEN 'x' WHEN 2 THEN 'y' END AS t, reverse(right('000000' || bin(p_size), 6)) AS b, 10 * 16777216::BIGINT + p_size * 65536 + 1 AS i FROM part",
     ),
-    "ne_all": ("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", "SELECT n_name FROM nation WHERE n_nationkey <> ALL (SELECT s_nationkey FROM supplier)"),
+    "fn_sql_dates": (
+        "SELECT o_orderkey, WEEK(o_orderdate) AS w0, WEEK(o_orderdate, 2) AS w2, WEEK(o_orderdate, 5) AS w5, WEEKOFYEAR(o_orderdate) AS w3, YEARWEEK(o_orderdate, 7) AS y7, DATE_FORMAT(o_orderdate, '%Y/%c/%e %W %T') AS f, DAYNAME(o_orderdate) AS d, TO_SECONDS(o_orderdate) AS s, FROM_DAYS(TO_DAYS(o_orderdate)) AS b, PERIOD_ADD(9911, CAST(month(o_orderdate) AS INT)) AS p FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, CASE WHEN strftime(o_orderdate, '%U') = '00' THEN strftime(make_date(year(o_orderdate) - 1, 12, 31), '%U') ELSE strftime(o_orderdate, '%U') END::INT AS w2, strftime(o_orderdate, '%W')::INT AS w5, CASE WHEN month(o_orderdate) = 12 AND weekofyear(o_orderdate) = 1 THEN 53 ELSE weekofyear(o_orderdate) END::INT AS w3,"
+        " CASE WHEN strftime(o_orderdate, '%W') = '00' THEN strftime(make_date(year(o_orderdate) - 1, 12, 31), '%Y%W') ELSE strftime(o_orderdate, '%Y%W') END::INT AS y7, strftime(o_orderdate, '%Y/%-m/%-d %A %H:%M:%S') AS f, dayname(o_orderdate) AS d, epoch(o_orderdate)::BIGINT + 719528 * 86400::BIGINT AS s, o_orderdate::DATE AS b, 200000::BIGINT + CASE WHEN month(o_orderdate) = 1 THEN -88 ELSE month(o_orderdate) - 1 END AS p FROM orders",
+    ),
+    "regex_match": ("SELECT c_custkey FROM customer WHERE c_name RLIKE '(?i)customer#0+1[0-9]+$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+1[0-9]+$')"),
     "join_broadcast": ("SELECT /*+ BROADCAST(n) */ n_name, count(*) AS n FROM customer JOIN nation n ON c_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "group_concat": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "group_concat_distinct": (

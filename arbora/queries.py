@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,13 @@ from .functions import compat as C
 from .functions import dates as D
 from .functions import spatial as S
 from .operators import dml, groups, search
+from .functions.registry import register
+from .operators import subqueries
+from .operators.sequences import Sequence
+from .plans.dialect import to_spark
 from .plans.sql import BOTH, TWO
+from .sources import files
+from .streaming.windows import tumbling
 
 CO = groups.Edge("c_custkey", "o_custkey")
 OL = groups.Edge("o_orderkey", "l_orderkey")
@@ -23,7 +30,10 @@ NS = groups.Edge("n_nationkey", "s_nationkey")
 def _sql(text: str, tables: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         load_tables(spark, sf_dir, tables)
-        return spark.sql(text)
+        own = to_spark(text)
+        if "arb_" in own:
+            register(spark)
+        return spark.sql(own)
 
     return run
 
@@ -31,7 +41,7 @@ def _sql(text: str, tables: list[str]) -> Callable[[SparkSession, str], DataFram
 def _used(text: str) -> list[str]:
     from .catalog import TABLES
 
-    words = {*text.lower().replace("(", " ").replace(")", " ").replace(",", " ").split()}
+    words = {*text.lower().replace("(", " ").replace(")", " ").replace(",", " ").replace('"', " ").split()}
     return [t for t in TABLES if t in words]
 
 
@@ -192,6 +202,118 @@ def spatial_nearest(s, d):
     return _coordinates(s, d).select("c_custkey", F.round(far, 6).alias("far")).orderBy("far", "c_custkey").limit(10)
 
 
+def any_all_frame(s, d):
+    few = _t(s, d, "supplier").where("s_nationkey < 7").select(F.expr("nullif(s_nationkey, 3)").alias("k"))
+    out = _t(s, d, "customer").select("c_custkey", "c_nationkey")
+    for name, op, quantifier in (("a", "=", "ANY"), ("b", "<>", "ALL"), ("c", "<=", "ANY"), ("d", "=", "ALL")):
+        out = subqueries.with_quantified(out, "c_nationkey", op, quantifier, few, name)
+    return out.drop("c_nationkey")
+
+
+def if_empty(s, d):
+    none = _t(s, d, "orders").where("o_orderkey < 0").select("o_orderkey", "o_orderstatus")
+    return subqueries.if_empty(none, o_orderkey=F.lit(-1), o_orderstatus=F.lit("none"))
+
+
+def sequence_values(s, d):
+    return Sequence(100, 10).number(_t(s, d, "customer").select("c_custkey"), "c_custkey", "n")
+
+
+def _coi(s, d):
+    lines = groups.Node("lines", _t(s, d, "lineitem"), ["l_linenumber", "l_partkey"], OL)
+    orders = groups.Node("orders", _t(s, d, "orders"), ["o_orderkey", "o_orderstatus"], CO, (lines,))
+    return groups.Node("customer", _t(s, d, "customer"), ["c_custkey", "c_mktsegment"], None, (orders,))
+
+
+def branch_dump(s, d):
+    return groups.dump(_coi(s, d))
+
+
+def branch_dump_depth(s, d):
+    return groups.dump(_coi(s, d), depth=1)
+
+
+def group_select(s, d):
+    kept, (below,) = groups.select(_t(s, d, "customer"), F.col("c_acctbal") > 9000, [(_t(s, d, "orders"), CO)])
+    return kept.select(F.col("c_custkey").alias("k"), F.lit("customer").alias("t")).union(below.select("o_orderkey", F.lit("orders")))
+
+
+def hkey_union(s, d):
+    orders = _t(s, d, "orders")
+    return orders.where("o_totalprice > 400000").select("o_custkey").union(orders.where("o_orderpriority = '1-URGENT'").select("o_custkey")).distinct()
+
+
+def foreign_key_orphans(s, d):
+    return groups.inconsistent(_t(s, d, "orders"), _t(s, d, "customer").where("c_nationkey < 20"), CO).select("o_orderkey")
+
+
+def fulltext_query(s, d):
+    return search.full_text_search(_t(s, d, "documents"), '+the -stupid "of the" lang:en', "text").select("doc_id", "hits")
+
+
+def spatial_contains(s, d):
+    inside = S.geo_contains(F.lit("POLYGON ((-10 -20, -10 30, 40 30, 40 -20, -10 -20))"), S.geo_lat_lon(F.col("lat"), F.col("lon")))
+    return _coordinates(s, d).select("c_custkey", inside.alias("inside"))
+
+
+def spatial_clustered(s, d):
+    near = S.clustered(_coordinates(s, d), "lat", "lon", 8)
+    return near.select("c_custkey", S.z_value(F.col("lat"), F.col("lon")).alias("z"))
+
+
+def fn_time_of_day(s, d):
+    n = (F.col("o_orderkey") * 37 % 200000 - 100000).cast("long")
+    return _t(s, d, "orders").select("o_orderkey", D.seconds_to_time(n).alias("t"), D.time_to_seconds(D.seconds_to_time(n)).alias("n"), D.time_diff(F.lit("10:00:00"), F.lit("09:59:00")).alias("d"))
+
+
+def fn_conv_quote(s, d):
+    k = F.col("p_partkey").cast("string")
+    return _t(s, d, "part").select("p_partkey", C.conv(k, 10, 2).alias("b"), C.conv(k, 10, 16).alias("h"), C.conv(F.lit("9z"), 10, 2).alias("w"), C.quote_ident(F.col("p_name")).alias("q"))
+
+
+def fn_crc32(s, d):
+    return _t(s, d, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("c"))
+
+
+def fn_aes(s, d):
+    name = F.col("n_name")
+    return _t(s, d, "nation").select("n_nationkey", C.aes_decrypt(C.aes_encrypt(name, F.lit("a long key of words")), F.lit("a long key of words")).cast("string").alias("n"))
+
+
+def _scratch(s):
+    """A folder that the driver and the executors share."""
+    return f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/arbora-{uuid.uuid4().hex}"
+
+
+def csv_roundtrip(s, d):
+    table = _t(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "").when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('a "q", '), "s_name")).alias("s"), "s_acctbal")
+    files.write_csv(table, path := _scratch(s), header=True)
+    return files.read_csv(s, path, table.schema, header=True)
+
+
+def json_output(s, d):
+    return files.as_json(_t(s, d, "nation").select("n_nationkey", F.expr("nullif(n_regionkey, 1)").alias("r")))
+
+
+def procedure_result(s, d):
+    from .plans.engine import Engine
+
+    load_tables(s, d, ["nation"])
+    engine = Engine(s)
+    engine.procedure("nations_of", lambda spark, region: spark.table("nation").where(F.col("n_regionkey") == region).select("n_nationkey", "n_name"))
+    return engine.sql("CALL nations_of(2)")
+
+
+def ext_stream_tumbling(s, d):
+    """A stream over the events, ended when all are read; beyond the relational part."""
+    table, base = _t(s, d, "events"), _scratch(s)
+    stream = s.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = tumbling(stream, "ts", "1 hour", ["event_type"], n=F.count("*"), v=F.round(F.sum("value"), 4))
+    put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")
+    out.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "v")
+
+
 def udf_scalar(s, d):
     import pandas as pd
 
@@ -207,4 +329,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {name: _sql(text, _used(text)) for name, (text, _) in TWO.items()}
     out |= {f.__name__: f for f in OWN}
     out |= {f"flatten_{how}": _groups(how) for how in ("inner", "left", "right", "full")}
-    return out | {"flatten_keep_parent": _groups("inner", keep_parent=True)}
+    return out | {"flatten_keep_parent": _groups("inner", keep_parent=True), "flatten_keep_child": _groups("left", keep_child=True)}
