@@ -172,7 +172,8 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, most: int = 2048, end: i
     table = docs.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length long, rank long, n long, first long, place long")
     table = stored(table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "n", "first", "place"))).alias("runs")).coalesce(1), "pack-plan")
     rows = rows.withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(LANES)))
-    rows = running(rows, ["length"], "lane", [F.col(key), F.col("piece"), F.col("ids_crc32")], F.lit(1), "at").join(table, "length")
+    rows = running(rows, ["length"], "lane", [F.col(key), F.col("piece"), F.col("ids_crc32")], F.lit(1), "at")
+    rows = rows.join(F.broadcast(table), "length")  # a row for each length, with as many runs as there are patterns at most
     run = F.element_at(F.filter("runs", lambda r: (r["rank"] <= F.col("at")) & (F.col("at") < r["rank"] + r["n"])), 1)
     return rows.withColumn("run", run).select(
         F.col(key), "piece", "start", "length", "ids_crc32", (F.col("run.first") + F.col("at") - F.col("run.rank")).alias("sequence_id"), F.col("run.place").alias("offset")
