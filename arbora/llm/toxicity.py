@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Many weak voters look at a text: one for each word of a lexicon, and patterns over the lexicon's hits (several hits, a hit
-after a form of address, a hit in capitals, a dense hit, no hit). The lexicon joins a few seed words with words that the
-labelled sample shows to mark toxic texts. A generative label model estimates, by expectation maximisation, how often each
+Many weak voters look at a text: one for each entry of a lexicon, and patterns over the lexicon's hits (several hits, a hit
+after a form of address, a hit in capitals, a dense hit, no hit). The lexicon joins a few seed words with words and word
+beginnings that the labelled sample shows to mark toxic texts, in whatever language. A generative label model estimates, by expectation maximisation, how often each
 voter fires on either class; correlations that the classes leave between voters are estimated from the residuals, and a voter
 counts the less, the more it repeats others. A linear classifier is then trained on the posterior labels, and scores.
 
@@ -13,7 +13,9 @@ seed lexicon alone votes; repeated rows get equal scores; an empty table gives n
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,20 +31,62 @@ ADDRESS = {"you", "your", "youre", "they", "he", "she", "du", "ihr", "sie", "tu"
 PATTERNS = ("two_hits", "three_hits", "repeated_hit", "addressed", "shouted", "dense", "no_hit")
 
 
-def lexicon(texts, y: np.ndarray, least_docs: int = 5, least_z: float = 5.0, most_words: int = 60) -> list[str]:
-    """Seed words and the words whose log odds of occurring in toxic texts are surely high and large."""
-    seen = [Counter(), Counter()]
-    for t, label in zip(texts, y.tolist(), strict=True):
-        seen[int(label)].update({*TOKEN.findall((t or "").lower())})
-    n = [max(1, int((y == c).sum())) for c in (0, 1)]
-    found = []
-    for w, k in seen[1].items():
-        if k >= least_docs:
-            odds = np.log((k + 0.5) / (n[1] - k + 0.5)) - np.log((seen[0][w] + 0.5) / (n[0] - seen[0][w] + 0.5))
-            z = odds / np.sqrt(1 / (k + 0.5) + 1 / (seen[0][w] + 0.5))
-            if odds > 3 and z >= least_z - 3 * (seen[0][w] == 0) and k >= 0.05 * n[1]:
-                found.append((-k * odds, w))
-    return sorted({*SEED, *(w for _, w in sorted(found)[:most_words])})
+STEMS = range(4, 10)
+
+
+def entries(token: str) -> list[str]:
+    """What a lexicon may hold of a word: the word, and its beginnings with a star."""
+    return [token, *(token[:n] + "*" for n in STEMS if n < len(token))]
+
+
+def tail(k: int, n: int, p: float) -> float:
+    """log10 of the chance that ``k`` or more of ``n`` documents are toxic when a share ``p`` is; a close upper bound."""
+    share = k / n
+    if share <= p:
+        return 0.0
+    return -n * (share * math.log(share / p) + ((1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0.0)) / math.log(10)
+
+
+def signature(tokens: list[str]) -> int:
+    """Equal for copies, and mostly for near copies: the least hash of three words in a row."""
+    return min((zlib.crc32(" ".join(tokens[i : i + 3]).encode()) for i in range(max(1, len(tokens) - 2))), default=0)
+
+
+def lexicon(texts, y: np.ndarray, least_docs: int = 4, least_share: float = 0.6, least_words: int = 3, chance: float = 0.0, most_words: int = 200) -> list[str]:
+    """Seed words, and the words and word beginnings that occur in toxic texts far more often than chance has it.
+
+    ``chance`` is log10 of the number of entries that may get in by chance, over all candidates. Copies count once. A
+    beginning must be that of ``least_words`` words, and stands for the longer entries that it covers as surely.
+    """
+    last = {signature(TOKEN.findall((t or "").lower())): i for i, t in enumerate(texts)}
+    known: dict[str, tuple[str, ...]] = {}
+
+    def count(label: int, wanted=None) -> Counter:
+        out: Counter = Counter()
+        for i in last.values():
+            if int(y[i]) == label:
+                own: set[str] = set()
+                for t in {*TOKEN.findall((texts[i] or "").lower())}:
+                    if (found := known.get(t)) is None:
+                        found = known[t] = tuple(e for e in entries(t) if wanted is None or e in wanted)
+                    own.update(found)
+                out.update(own)
+        return out
+
+    toxic = {e: k for e, k in count(1).items() if k >= least_docs}
+    words = Counter(e for own in known.values() for e in own if e[-1] == "*" and e in toxic)
+    toxic = {e: k for e, k in toxic.items() if e[-1] != "*" or words[e] >= least_words}
+    known.clear()
+    clean = count(0, toxic)
+    base = float(np.clip(sum(int(y[i]) for i in last.values()) / max(1, len(last)), 0.01, 0.5))
+    share = {e: k / (k + clean[e]) for e, k in toxic.items()}
+    limit = chance - math.log10(max(1, len(toxic)))
+    kept = {e: log for e, k in toxic.items() if share[e] >= least_share and (log := tail(k, k + clean[e], base)) <= limit}
+    for e in sorted(kept, key=len):
+        word = e.rstrip("*")
+        if any((up := word[:n] + "*") in kept and share[up] >= share[e] - 0.05 for n in STEMS if n < len(word)):
+            del kept[e]
+    return sorted({*SEED, *sorted(kept, key=lambda e: (kept[e], e))[:most_words]})
 
 
 class Model:
@@ -50,30 +94,35 @@ class Model:
         y = np.asarray(y, float)
         self.words = lexicon(texts, y) if len(y) else sorted(SEED)
         self.at = {w: i for i, w in enumerate(self.words)}
+        self.stems = sorted({len(w) - 1 for w in self.words if w[-1] == "*"})
         self.weights = np.zeros(self.width() + 1)
         x = self.matrix(texts)
         if not len(x) or not x.any():
             self.weights[:-1][: len(self.words)] = 3.0
             self.weights[-1] = -3.0
             return
-        self.rates, self.correlation, post = self.label_model(self.votes(x), float(np.clip(y.mean(), 0.01, 0.5)))
+        self.rates, self.correlation, post = self.label_model(self.votes(x), float(np.clip(y.mean(), 0.01, 0.5)), y)
         self.fit(x, post)
 
     def width(self) -> int:
         return 2 * len(self.words) + len(PATTERNS)
 
+    def found(self, token: str) -> list[int]:
+        """Places of the entries that a lower-case word matches."""
+        own = [self.at.get(token), *(self.at.get(token[:n] + "*") for n in self.stems if n < len(token))]
+        return [i for i in own if i is not None]
+
     def row(self, text: str | None) -> np.ndarray:
-        """For each word whether it occurs and its logged count, and the patterns."""
+        """For each entry whether it occurs and its logged count, and the patterns."""
         out, n = np.zeros(self.width()), len(self.words)
         tokens = TOKEN.findall(text or "")
         low = [t.lower() for t in tokens]
-        hits = [i for i, t in enumerate(low) if t in self.at] if not self.at.keys().isdisjoint(low) else []
-        for w, k in Counter(low[i] for i in hits).items():
-            out[self.at[w]], out[n + self.at[w]] = 1, np.log1p(k)
-            if k > 1:
-                out[2 * n + 2] = 1
-        kinds = len({low[i] for i in hits})
-        out[2 * n], out[2 * n + 1] = kinds >= 2, kinds >= 3
+        match = {t: m for t in {*low} if (m := self.found(t))}
+        hits = [i for i, t in enumerate(low) if t in match] if match else []
+        for e, k in Counter(e for i in hits for e in match[low[i]]).items():
+            out[e], out[n + e] = 1, np.log1p(k)
+        kinds = len(match)
+        out[2 * n], out[2 * n + 1], out[2 * n + 2] = kinds >= 2, kinds >= 3, len(hits) > kinds
         out[2 * n + 3] = any(not ADDRESS.isdisjoint(low[max(0, i - 4) : i]) for i in hits)
         out[2 * n + 4] = any(tokens[i].isupper() for i in hits)
         out[2 * n + 5] = len(hits) * 50 >= len(low) > 0
@@ -89,8 +138,12 @@ class Model:
         return np.hstack([x[:, :n], x[:, 2 * n :]])
 
     @staticmethod
-    def label_model(v: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rates of firing by class, residual correlations, and the posterior of class 1."""
+    def label_model(v: np.ndarray, prior: float, given: np.ndarray | None = None, trust: float = 2.0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rates of firing by class, residual correlations, and the posterior of class 1.
+
+        The given labels, which hold mistakes, are one voter more: one that shifts the log odds by ``trust``.
+        """
+        shift = 0.0 if given is None else np.where(given > 0, trust, -trust)
         for_toxic = np.ones(v.shape[1], bool)
         for_toxic[-1] = False
         middle = v - v.mean(axis=0)
@@ -98,6 +151,8 @@ class Model:
         weight = 1 / np.maximum(1, (np.abs(middle.T @ middle / np.outer(scale, scale)) > 0.8).sum(axis=0))  # copies share a vote
         count = v[:, for_toxic] @ weight[for_toxic]
         post = np.where(count >= 1.5, 0.9, np.where(count >= 0.75, 0.5, 0.02))
+        if given is not None:
+            post = 1 / (1 + np.exp(-np.log(post / (1 - post)) - shift))
         correlation = np.eye(v.shape[1])
         for k in range(rounds):
             rates = np.stack([((v * q[:, None]).sum(axis=0) + 0.5) / (q.sum() + 1) for q in (1 - post, post)])
@@ -106,9 +161,10 @@ class Model:
                 scale = np.sqrt((rest**2).sum(axis=0) + 1e-9)
                 correlation = rest.T @ rest / np.outer(scale, scale)
                 weight = 1 / np.maximum(1, np.where(np.abs(correlation) > 0.3, np.abs(correlation), 0).sum(axis=0))
-            logs = np.log(rates[1] / rates[0]) * weight, np.log((1 - rates[1]) / (1 - rates[0])) * weight
+            own = weight * for_toxic  # "no hit" follows from the others, and so has no say of its own
+            logs = np.log(rates[1] / rates[0]) * own, np.log((1 - rates[1]) / (1 - rates[0])) * own
             mean = float(np.clip(post.mean(), 0.5 * prior, 2 * prior))
-            post = 1 / (1 + np.exp(-np.clip(v @ logs[0] + (1 - v) @ logs[1] + np.log(mean / (1 - mean)), -30, 30)))
+            post = 1 / (1 + np.exp(-np.clip(v @ logs[0] + (1 - v) @ logs[1] + shift + np.log(mean / (1 - mean)), -30, 30)))
         return rates, correlation, post
 
     def fit(self, x: np.ndarray, post: np.ndarray, rounds: int = 30, ridge: float = 0.5) -> None:

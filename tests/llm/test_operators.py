@@ -332,6 +332,19 @@ def test_toxicity(spark, odd, docs, none, labels):
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect()) and toxicity.score(none, model).collect() == []
 
 
+def test_lexicon_learns_words_and_beginnings():
+    rng = np.random.default_rng(4)
+    made = lambda n: " ".join("".join(rng.choice([*"aeioubdgklmnrst"], 5)) for _ in range(n))
+    bad = [f"{made(30)} zworg{made(1)} {made(30)}" for _ in range(40)]
+    good = [made(60) for _ in range(400)]
+    texts = [*bad, *good, *[made(10) + " qqqq" + made(5)] * 30]  # copies of one text are no evidence
+    y = np.array([1] * 40 + [0] * 400 + [1] * 30)
+    words = toxicity.lexicon(texts, y)
+    assert any(w.startswith("zwor") and w[-1] == "*" for w in words) and not [w for w in words if w.startswith("qq")]
+    model = toxicity.Model(texts, y)
+    assert model.score(["nothing here", made(20) + " zworgunseen"]).tolist()[0] < 0.3 <= model.score([made(20) + " zworgunseen"])[0]
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(2)
     y = rng.random(3000) < 0.2
