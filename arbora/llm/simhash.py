@@ -10,9 +10,11 @@ Shards, by radius:
 
 * up to 2: the fingerprint is cut into four blocks of 16 bits. Fingerprints that differ in two bits agree in at least two
   blocks, so the six pairs of blocks are shard keys and no link is lost.
-* beyond, for similar word sets: shard keys are the minima of eight independent hashes over the shingles. Texts of Jaccard
-  similarity s share a key but for a chance of (1 - s) ** 8, which is 3 in a million at 0.8. Links found by the tree are
-  then held against a sketch of the smallest shingle hashes.
+* beyond, for similar word sets: nodes are the distinct shingle sets, and shard keys are the minima of eight independent
+  hashes over the shingles. Texts of Jaccard similarity s share a key but for a chance of (1 - s) ** 8, which is 3 in a
+  million at 0.8. What the tree finds is held against a sketch of the smallest shingle hashes. Sets within the sketch are
+  compared exactly. Where sketches leave a pair within ``DOUBT`` of the least similarity, its two nodes are marked; a
+  second pass over the marked nodes of each shard decides by the whole sets.
 
 A shard of more than ``TILE`` members is cut into tiles by hash, and each pair of tiles is a task of its own: one tile's
 tree, searched by the other's members. So no shard has to fit a task, and none is capped.
@@ -31,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, per_batch, stored
+from .common import by_value, known_small, per_batch, stored
 from .graph import Forest, components
 
-TILE = 2000
+TILE = 1000
 SKETCH = 128
+#: Three standard deviations of the similarity that a sketch gives at 0.8.
+DOUBT = 0.1
 KEYS = 8
 #: Hamming distance within which the tree looks for texts of similarity 0.8: 64 bits differ in 10 on average there.
 RADIUS = 18
@@ -64,25 +68,31 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
-def sketches(hashes: np.ndarray) -> tuple[list[int], list[int]]:
-    """Minima of ``KEYS`` hashes over the shingles, as shard keys, and the ``SKETCH`` smallest of another, 32 bits each."""
-    if not len(hashes):
-        return [], []
-    keys, own = [], np.unique(hashes)
+def sets(hashes: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """Of the distinct shingles: an id of the set, minima of ``KEYS`` hashes as shard keys, and 31-bit hashes in order."""
+    own = np.unique(hashes)
+    node = xxhash.xxh64_intdigest(own.astype("<u8").tobytes()) - (1 << 63)
+    if not len(own):
+        return node, [], []
+    keys = []
     with np.errstate(over="ignore"):
         for i in range(KEYS):
             mixed = (own ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             keys.append(int((mixed ^ (mixed >> np.uint64(29))).min()) & (1 << 62) - 1)
         mixed = (own ^ (own >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    low = np.unique((mixed >> np.uint64(32)).astype(np.int64))[:SKETCH]
-    return keys, low.tolist()
+    return node, keys, np.unique((mixed >> np.uint64(33)).astype(np.int32)).tolist()
 
 
-def similarity(a: list[int], b: list[int]) -> float:
-    """Estimated Jaccard similarity of two sets from their smallest hashes; exact for sets within the sketch."""
-    both = sorted({*a, *b})[: min(SKETCH, max(len(a), len(b)))]
-    return len({*a} & {*b} & {*both}) / len(both) if both else 1.0
+def similarity(a: frozenset, b: frozenset, least: float = 0.0) -> tuple[float, bool]:
+    """Jaccard similarity of two sets from their smallest hashes, and whether it is exact; 0 if it is below ``least``."""
+    both = len(a & b)
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return both / (len(a) + len(b) - both) if a or b else 1.0, True
+    if both < least * SKETCH:
+        return 0.0, False
+    last = sorted(a | b)[SKETCH - 1]
+    return sum(x <= last for x in a & b) / SKETCH, False
 
 
 class Tree:
@@ -109,37 +119,77 @@ class Tree:
             todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
 
-def links(group: pd.DataFrame, radius: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one shard, or between two tiles of one."""
-    values, side = group["fp"].tolist(), group["side"].tolist()
-    sketch = group["sketch"].tolist() if least else None
-    tree, forest, out, mask = Tree(), Forest(len(values)), [], (1 << 64) - 1
+def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -> list[tuple[int, int, bool]]:
+    """A spanning forest of the links of one shard, or between two tiles of one.
+
+    With ``least`` the nodes for which a sketch is not enough follow, as links to themselves that are not sure. With ``whole``
+    those pairs are decided by all shingles instead, and only their links are returned.
+    """
+    values, nodes, side = group["fp"].tolist(), group["node"].tolist(), group["side"].tolist()
+    grams = group["grams"].tolist() if least else None
+    sketch = [frozenset(x[:SKETCH].tolist()) for x in grams] if least else None
+    tree, forest, out, marked, mask = Tree(), Forest(len(values)), [], set(), (1 << 64) - 1
     two = len({*side}) > 1
-    for i in sorted(range(len(values)), key=lambda i: (side[i], values[i])):
+
+    def linked(i: int, j: int) -> bool:
+        if not least:
+            return True
+        close, exact = similarity(sketch[i], sketch[j], least - DOUBT)
+        if exact or not least - DOUBT <= close < least + DOUBT:
+            return close >= least
+        if not whole:
+            marked.update((i, j))
+            return False
+        both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
+        return both >= least * (len(grams[i]) + len(grams[j]) - both) - 1e-9
+
+    for i in sorted(range(len(values)), key=lambda i: (side[i], values[i], nodes[i])):
         if not two or side[i]:
             for j in tree.near(values[i] & mask, radius):
-                if forest.find(i) != forest.find(j) and (not least or similarity(sketch[i], sketch[j]) >= least):
+                if forest.find(i) != forest.find(j) and linked(i, j):
                     forest.join(i, j)
-                    out.append((values[i], values[j]))
+                    out.append((nodes[i], nodes[j], True))
         if not two or not side[i]:
             tree.add(values[i] & mask, i)
-    return out
+    return out + [(nodes[i], nodes[i], False) for i in sorted(marked)]
 
 
 def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """``(key, fp)`` of every document, and with ``similar`` also shard keys and sketch."""
+    """``(key, fp, node)`` of every document, and with ``similar`` also shard keys and all shingles' hashes."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         hashes = [shingle_hashes(t, k) for t in batch["text"]]
         out = pd.DataFrame({"key": batch["key"], "fp": np.array([fingerprint(h) for h in hashes], np.uint64).astype(np.int64)})
         if similar:
-            both = [sketches(h) for h in hashes]
-            out["keys"], out["sketch"] = [b[0] for b in both], [b[1] for b in both]
+            out["node"], out["keys"], out["grams"] = zip(*map(sets, hashes), strict=True) if hashes else ([], [], [])
         return out
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = "key string, fp long" + ", keys array<long>, sketch array<long>" * similar
-    return per_batch(run, docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), schema).withColumn("key", F.col("key").cast(kind))
+    schema = "key string, fp long" + ", node long, keys array<long>, grams array<int>" * similar
+    rows = per_batch(run, docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), schema).withColumn("key", F.col("key").cast(kind))
+    return rows if similar else rows.withColumn("node", F.col("fp"))
+
+
+SHARD = ["part", "value", "a", "b"]
+
+
+def searched(dealt: DataFrame, radius: int, least: float, whole: bool = False) -> DataFrame:
+    """``links`` of every shard: ``(u, v, sure)`` and the shard."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(links(group, radius, least, whole), columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": bool})
+        return out.assign(**{c: group[c].iloc[0] for c in SHARD})
+
+    return dealt.groupBy(*SHARD).applyInPandas(run, "u long, v long, sure boolean, part int, value long, a int, b int")
+
+
+def decided(rows: DataFrame, dealt: DataFrame, found: DataFrame, radius: int, least: float, most_broadcast: int = 2_000_000) -> DataFrame:
+    """Links among the marked nodes, by their whole shingle sets."""
+    marked = found.where("not sure").select(F.col("u").alias("node"), *SHARD)
+    ends = known_small(marked.select("node").distinct(), most_broadcast)
+    grams = stored(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")), "doubtful-sets")
+    again = dealt.select("node", "side", *SHARD).join(marked, ["node", *SHARD]).join(grams, "node")
+    return searched(again, radius, least, whole=True)
 
 
 def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,27 +201,33 @@ def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0
     if radius > 2 and not least:
         raise ValueError("a radius over 2 needs a least similarity")
     rows = stored(fingerprints(docs, k, key, text, bool(least)), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("least_key"), *([F.first("keys").alias("keys"), F.first("sketch").alias("sketch")] if least else [])), "distinct-fingerprints")
+    more = [F.first("keys").alias("keys"), F.slice(F.first("grams"), 1, SKETCH).alias("sketch")] if least else []
+    slim = rows.withColumn("grams", F.slice("grams", 1, SKETCH)) if least else rows  # whole sets are not shuffled here
+    nodes = stored(slim.groupBy("node").agg(F.min("key").alias("least_key"), F.first("fp").alias("fp"), *more), "distinct-fingerprints")
     if least:
-        dealt = nodes.select("fp", F.posexplode("keys").alias("part", "value"))
+        dealt = nodes.select("node", F.posexplode("keys").alias("part", "value"))
     else:
-        block = lambda b: F.shiftrightunsigned("fp", 16 * b).bitwiseAND(0xFFFF)
+        block = lambda b: F.shiftrightunsigned("node", 16 * b).bitwiseAND(0xFFFF)
         pairs = [F.struct(F.lit(i).alias("part"), (block(a) * 65536 + block(b)).alias("value")) for i, (a, b) in enumerate(combinations(range(4), 2))]
-        dealt = nodes.select("fp", F.explode(F.array(*pairs)).alias("s")).select("fp", "s.part", "s.value")
+        dealt = nodes.select("node", F.explode(F.array(*pairs)).alias("s")).select("node", "s.part", "s.value")
     shards = dealt.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = dealt.join(shards, ["part", "value"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    dealt = dealt.join(shards, ["part", "value"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("fp", "part", "value", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    dealt = dealt.select("node", "part", "value", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
     # in the pair (t, t) all are on side 0; in (a, b) tile a is on side 0 and tile b on side 1
+    dealt = dealt.withColumn("part", F.col("part").cast("int")).withColumn("value", F.col("value").cast("long"))
     if least:
-        dealt = dealt.join(nodes.select("fp", "sketch"), "fp")
-    found = dealt.groupBy("part", "value", "a", "b").applyInPandas(lambda g: pd.DataFrame(links(g, radius, least), columns=["u", "v"], dtype="int64"), "u long, v long")
-    roots = components(found)
-    roots = roots.join(nodes.select(F.col("fp").alias("node"), "least_key"), "node")
+        dealt = stored(dealt, "dealt")
+        found = stored(searched(dealt.join(nodes.select("node", "fp", F.col("sketch").alias("grams")), "node"), radius, least), "links")
+        found = found.where("sure").union(decided(rows, dealt, found, radius, least))
+    else:
+        found = searched(dealt.withColumn("fp", F.col("node")), radius, least)
+    roots = components(found.select("u", "v"))
+    roots = roots.join(nodes.select("node", "least_key"), "node")
     least_of = roots.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    linked = roots.join(least_of, "root").select(F.col("node").alias("fp"), "component_id")
-    nodes = nodes.select("fp", "least_key").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_key").alias("component_id"))
-    return rows.select("key", "fp").join(nodes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    linked = roots.join(least_of, "root").select("node", "component_id")
+    nodes = nodes.select("node", "least_key").join(linked, "node", "left").select("node", F.coalesce("component_id", "least_key").alias("component_id"))
+    return rows.select("key", "fp", "node").join(nodes, "node").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, radius: int = RADIUS, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

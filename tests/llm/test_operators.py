@@ -293,6 +293,28 @@ def test_deduplicate(spark, none):
     assert simhash.deduplicate(none).collect() == []
 
 
+def test_similar_groups_are_exact(spark):
+    """Texts whose similarity is close to 0.8, shorter and longer than the sketch, against their whole shingle sets."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for size in (40, 100, 400, 1500):
+        for g in range(4):
+            words = [f"g{size}x{g}w{i}" for i in range(size)]
+            texts.append(words)
+            for share in (0.005, 0.018, 0.021, 0.023, 0.026, 0.04):
+                own = [*words]
+                for at in rng.choice(size, max(1, round(share * size)), replace=False):
+                    own[at] = f"new{rng.integers(1 << 40)}"
+                texts.append(own)
+    texts.append(["same"] * 900 + [f"a{i}" for i in range(300)])  # one fingerprint, unlike sets
+    texts.append(["same"] * 900 + [f"b{i}" for i in range(300)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000 + i, " ".join(w)) for i, w in enumerate(texts[:9])]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    want = dict(zip([k for k, _ in rows], brute_groups([k for k, _ in rows], grams, lambda a, b: len(a & b) >= 0.8 * len(a | b)), strict=True))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=5, radius=simhash.RADIUS, least=0.8).collect()}
+    assert len({*want.values()}) < len(want) and got == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(50)] + [(7, 7)]

@@ -24,8 +24,8 @@ def test_stages(spark):
             for r in rows:
                 w = re.findall(r"[^\x20\x09-\x0D]+", r.text.lower())
                 sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-            close = [(a, b) for i, a in enumerate(sets) for b in sets[:i] if len(a & b) > 0.86 * len(a | b)]
-            assert not close  # well over 0.8, as the sketch is within a few hundredths
+            close = [(a, b) for i, a in enumerate(sets) for b in sets[:i] if len(a & b) >= 0.8 * len(a | b)]
+            assert not close
         if name == "secret_scans":
             assert kept.count() == before.count() and not [r for r in kept.collect() if secrets.find(r.text)]
     assert sum(r.length for r in kept.collect()) > 0 and kept.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").isEmpty()
