@@ -5,7 +5,7 @@ to the gradient over one feature's bins and adds it to that feature's lookup tab
 explains most of what is left then get tables of their own in the same way. A score is a sum of table entries, looked up for
 whole batches at once.
 
-The model is fitted on a bounded sample of labelled rows (``most`` rows, see :func:`training.labelled`); every document is
+The model is fitted on a bounded sample of labelled rows (``most`` rows, see :func:`training.labelled_rows`); every document is
 scored on its whole text. Defined cases: a null or empty text has features of 0 and a score like any other; without labels
 of both kinds the score is the share of label 1, or 0.5; repeated rows get equal scores; an empty table gives no rows.
 """
@@ -117,8 +117,14 @@ def matrix(texts) -> np.ndarray:
     return np.array([features(t) for t in texts], float).reshape(-1, len(NAMES))
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    return Model(matrix(sample["text"]), sample["y"].to_numpy(float))
+def fit(sample: DataFrame) -> Model:
+    """The model of a bounded sample ``(key, text, y)``; only features and labels come to the driver."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": batch["key"], "x": list(matrix(batch["text"])), "y": batch["y"].astype(float)})
+
+    rows = per_batch(run, sample.select(F.col("key").cast("string").alias("key"), "text", "y"), "key string, x array<double>, y double").toPandas().sort_values("key")
+    return Model(np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES)), rows["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -68,7 +68,7 @@ def _scored(out: DataFrame, modulus: int, which: int) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    sample = training.labelled(docs, _read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 5) != 0)
+    sample = training.labelled_rows(docs, _read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 5) != 0)
     return _scored(quality_model.score(docs, quality_model.fit(sample)), 5, 0)
 
 

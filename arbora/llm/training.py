@@ -7,14 +7,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 20_000, key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """Texts with label: at most ``most`` of the labelled documents, those whose ids hash lowest.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, text and label: at most ``most`` of the labelled documents, those whose ids hash lowest.
 
     ``learn`` tells from the label table's key which rows may be learned from. A document with several labels counts by the
     largest, an id with several texts by one of them. Rows without id, label or text are left out.
     """
     chosen = labels.where(learn & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most).withColumnRenamed(key, "_k")
-    rows = docs.select(F.col(key), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_k"))
-    rows = rows.groupBy("_k").agg(F.min("_t").alias("text"), F.first("_y").alias("y"))
-    return rows.orderBy("_k").select("text", "y").toPandas()
+    rows = docs.select(F.col(key), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_k"))  # most rows
+    return rows.groupBy(F.col("_k").alias("key")).agg(F.min("_t").alias("text"), F.first("_y").alias("y"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, **options) -> pd.DataFrame:
+    """The texts and labels of :func:`labelled_rows`, on the driver."""
+    return labelled_rows(docs, labels, label, learn, **options).orderBy("key").select("text", "y").toPandas()

@@ -337,9 +337,9 @@ def test_quality_classifier(spark, odd, docs, none, labels):
     rows = held(spark, "op8_quality_classifier", "quality", 5, 0)
     bad, good = [s for y, s, _ in rows if not y], [s for y, s, _ in rows if y]
     assert np.mean([b < g for b in bad for g in good]) > 0.95
-    empty = quality_model.fit(training.labelled(none, labels, "quality", F.lit(True)))
+    empty = quality_model.fit(training.labelled_rows(none, labels, "quality", F.lit(True)))
     assert {r.score for r in quality_model.score(odd, empty).collect()} == {0.5}
-    model = quality_model.fit(training.labelled(docs, labels, "quality", F.lit(True)))
+    model = quality_model.fit(training.labelled_rows(docs, labels, "quality", F.lit(True)))
     assert model.pairs and all(0 <= r.score <= 1 for r in quality_model.score(odd, model).collect())
     assert quality_model.score(none, model).collect() == []
 
