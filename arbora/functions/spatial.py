@@ -268,61 +268,79 @@ def envelope(g: Geometry, by: float) -> Geometry:
     return Geometry("Polygon", [[(x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0)]])
 
 
-def _mapped(function, kind: str, *columns: Column) -> Column:
+def _in_range(lat: float, lon: float) -> tuple[float, float]:
+    if abs(lat) > 90 or abs(lon) > 180:
+        raise ValueError(f"out of range: latitude {lat}, longitude {lon}")
+    return lat, lon
+
+
+#: Result type and meaning of each function over geometries, by its SQL name.
+GEOMETRIC = {
+    "geo_wkt": ("string", lambda t: to_wkt(parse_wkt(t))),
+    "geo_wkb": ("string", lambda b: to_wkt(parse_wkb(bytes(b)))),
+    "geo_as_wkb": ("binary", lambda t: to_wkb(parse_wkt(t))),
+    "geo_lat_lon": ("string", lambda y, x: to_wkt(Geometry("Point", _in_range(float(y), float(x))))),
+    "geo_type_string": ("string", lambda t: parse_wkt(t).kind),
+    "geo_overlaps": ("boolean", lambda s, t: overlaps(parse_wkt(s), parse_wkt(t))),
+    "geo_contains": ("boolean", lambda s, t: contains(parse_wkt(s), parse_wkt(t))),
+    "geo_covers": ("boolean", lambda s, t: covers(parse_wkt(s), parse_wkt(t))),
+    "geo_within_distance": ("boolean", lambda s, t, d: shape_distance(parse_wkt(s), parse_wkt(t)) <= float(d)),
+    "geo_expanded_envelope": ("string", lambda t, d: to_wkt(envelope(parse_wkt(t), float(d)))),
+}
+
+
+def geometric(name: str):
+    """A function over geometries that takes Arrow batches; NULL where an argument is."""
+    kind, function = GEOMETRIC[name]
+
     def run(*parts: pd.Series) -> pd.Series:
         rows = zip(*parts, strict=True)
         return pd.Series([None if any(x is None or x != x for x in r) else function(*r) for r in rows], dtype=object)
 
-    return F.pandas_udf(run, kind)(*columns)
+    return F.pandas_udf(run, kind)
 
 
 def geo_wkt(text: Column) -> Column:
     """A well-known text, checked and in normal form."""
-    return _mapped(lambda t: to_wkt(parse_wkt(t)), "string", text)
+    return geometric("geo_wkt")(text)
 
 
 def geo_wkb(data: Column) -> Column:
     """The geometry of well-known binary data."""
-    return _mapped(lambda b: to_wkt(parse_wkb(bytes(b))), "string", data)
+    return geometric("geo_wkb")(data)
 
 
 def geo_as_wkb(g: Column) -> Column:
-    return _mapped(lambda t: to_wkb(parse_wkt(t)), "binary", g)
+    return geometric("geo_as_wkb")(g)
 
 
 def geo_lat_lon(lat: Column, lon: Column) -> Column:
     """A point; an error for coordinates out of range."""
-    return _mapped(lambda y, x: to_wkt(Geometry("Point", _in_range(float(y), float(x)))), "string", lat.cast("double"), lon.cast("double"))
-
-
-def _in_range(lat: float, lon: float) -> tuple[float, float]:
-    if abs(lat) > 90 or abs(lon) > 180:
-        raise ValueError(f"out of range: latitude {lat}, longitude {lon}")
-    return lat, lon
+    return geometric("geo_lat_lon")(lat, lon)
 
 
 def geo_type_string(g: Column) -> Column:
-    return _mapped(lambda t: parse_wkt(t).kind, "string", g)
+    return geometric("geo_type_string")(g)
 
 
 def geo_overlaps(a: Column, b: Column) -> Column:
-    return _mapped(lambda s, t: overlaps(parse_wkt(s), parse_wkt(t)), "boolean", a, b)
+    return geometric("geo_overlaps")(a, b)
 
 
 def geo_contains(a: Column, b: Column) -> Column:
-    return _mapped(lambda s, t: contains(parse_wkt(s), parse_wkt(t)), "boolean", a, b)
+    return geometric("geo_contains")(a, b)
 
 
 def geo_covers(a: Column, b: Column) -> Column:
-    return _mapped(lambda s, t: covers(parse_wkt(s), parse_wkt(t)), "boolean", a, b)
+    return geometric("geo_covers")(a, b)
 
 
 def geo_within_distance(a: Column, b: Column, distance: Column) -> Column:
-    return _mapped(lambda s, t, d: shape_distance(parse_wkt(s), parse_wkt(t)) <= d, "boolean", a, b, distance.cast("double"))
+    return geometric("geo_within_distance")(a, b, distance)
 
 
 def geo_expanded_envelope(g: Column, distance: Column) -> Column:
-    return _mapped(lambda t, d: to_wkt(envelope(parse_wkt(t), d)), "string", g, distance.cast("double"))
+    return geometric("geo_expanded_envelope")(g, distance)
 
 
 def distance_lat_lon(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,17 @@ from . import dialect
 from .dialect import Token, closing, solid, split, text, tokens
 
 
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Soft errors for what is analysed inside: a zero divisor and a wrong cast give NULL. The session's own mode comes back."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, schema: str = "default") -> None:
         self.spark = spark
@@ -61,7 +73,8 @@ class Engine:
         return plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), mode)
 
     def _run(self, statement: str, parameters: list | tuple) -> DataFrame:
-        return self.spark.sql(dialect.to_spark(self._catalog(self._numbers(statement))), args=list(parameters) or None)
+        with lenient(self.spark):
+            return self.spark.sql(dialect.to_spark(self._catalog(self._numbers(statement))), args=list(parameters) or None)
 
     def _catalog(self, statement: str) -> str:
         """Tables of ``information_schema`` replaced by frames of what the catalog holds now."""

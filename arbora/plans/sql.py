@@ -52,17 +52,29 @@ BOTH = {
     "any_all_projected": "SELECT c_custkey, c_nationkey < ANY (SELECT nullif(s_nationkey, 3) FROM supplier) AS a, c_nationkey > ALL (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_nationkey < 5) AS b, c_nationkey <> ANY (SELECT s_nationkey FROM supplier) AS c, c_nationkey < ALL (SELECT s_nationkey FROM supplier WHERE s_nationkey < 0) AS d FROM customer",
     "all_correlated": "SELECT o_orderkey FROM orders WHERE o_totalprice / 3 > ALL (SELECT l_extendedprice FROM lineitem WHERE l_orderkey = o_orderkey)",
     "fn_arith": "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber - 10 AS b, round(l_quantity * l_tax, 6) AS c, abs(l_linenumber - 4) AS d, -l_linenumber AS e FROM lineitem",
-    "fn_string_core": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, concat(p_brand, '/', p_type) AS c, char_length(p_name) AS n, reverse(p_brand) AS r, repeat('ab', 2) AS x, left(p_name, 3) AS f, right(p_name, 2) AS g, ascii(p_name) AS a FROM part",
+    "fn_string_core": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, concat(p_brand, '/', p_type) AS c, CAST(char_length(p_name) AS INT) AS n, reverse(p_brand) AS r, repeat('ab', 2) AS x, left(p_name, 3) AS f, right(p_name, 2) AS g, ascii(p_name) AS a FROM part",
     "fn_concat_ws": "SELECT c_custkey, concat_ws('-', c_mktsegment, nullif(c_name, ''), 'z') AS c FROM customer",
     "fn_date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(dayofyear(o_orderdate) AS INT) AS n, last_day(o_orderdate) AS l FROM orders",
     "fn_cond_null": "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS a, nullif(c_mktsegment, 'BUILDING') AS b FROM customer",
     "view": "WITH v AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS m FROM v GROUP BY n",
     "ctas": "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_orderstatus",
-    "ext_window_rank": "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST) AS r FROM customer",
+    "ext_window_rank": "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST) AS INT) AS r FROM customer",
     "ext_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
 }
 
 TWO = {
+    "divide_by_zero": (
+        "SELECT l_orderkey, l_linenumber, l_quantity / (l_linenumber - 1) AS a, MOD(l_orderkey, l_linenumber - 1) AS m, DIV(l_orderkey, l_linenumber - 1) AS d FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, l_quantity / nullif(l_linenumber - 1, 0) AS a, l_orderkey % nullif(l_linenumber - 1, 0) AS m, l_orderkey // nullif(l_linenumber - 1, 0) AS d FROM lineitem",
+    ),
+    "fn_sql_intervals": (
+        "SELECT o_orderkey, DATE_ADD(o_orderdate, INTERVAL 3 DAY) AS a, SUBDATE(CAST(o_orderdate AS DATE), 3) AS b, ADDDATE(CAST(o_orderdate AS DATE), INTERVAL 1 MONTH) AS c, ADDTIME(o_orderdate, 61) AS d, TIMEDIFF(o_orderdate, SUBTIME(o_orderdate, 3661)) AS e, TIMEDIFF('10:00:00', '11:30:00') AS f, CONV(o_orderkey, 10, 16) AS g FROM orders",
+        "SELECT o_orderkey, o_orderdate + INTERVAL 3 DAY AS a, o_orderdate::DATE - 3 AS b, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS c, o_orderdate + INTERVAL 61 SECOND AS d, '01:01:01' AS e, '-01:30:00' AS f, hex(o_orderkey) AS g FROM orders",
+    ),
+    "spatial_sql": (
+        "SELECT n_nationkey, GEO_TYPE_STRING(GEO_LAT_LON(n_nationkey, 0)) AS t, GEO_WITHIN_DISTANCE(GEO_LAT_LON(n_nationkey, 0), GEO_WKT('point(10 0)'), 3) AS w, GEO_COVERS(GEO_EXPANDED_ENVELOPE(GEO_WKT('POINT (5 0)'), 4), GEO_LAT_LON(n_nationkey, 0)) AS c FROM nation",
+        "SELECT n_nationkey, 'Point' AS t, abs(n_nationkey - 10) <= 3 AS w, n_nationkey BETWEEN 1 AND 9 AS c FROM nation",
+    ),
     "xor": ("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 XOR c_mktsegment = 'BUILDING'", "SELECT c_custkey FROM customer WHERE (c_acctbal > 5000) <> (c_mktsegment = 'BUILDING')"),
     "group_concat_separator": (
         "SELECT n_regionkey, GROUP_CONCAT(n_name, '/', n_nationkey ORDER BY n_nationkey DESC SEPARATOR '; ') AS names FROM nation GROUP BY n_regionkey",

@@ -17,6 +17,7 @@ from .functions.registry import register
 from .operators import subqueries
 from .operators.sequences import Sequence
 from .plans.dialect import to_spark
+from .plans.engine import Engine, lenient
 from .plans.sql import BOTH, TWO
 from .sources import files
 from .streaming.windows import tumbling
@@ -33,7 +34,8 @@ def _sql(text: str, tables: list[str]) -> Callable[[SparkSession, str], DataFram
         own = to_spark(text)
         if "arb_" in own:
             register(spark)
-        return spark.sql(own)
+        with lenient(spark):
+            return spark.sql(own)
 
     return run
 
@@ -296,8 +298,6 @@ def json_output(s, d):
 
 
 def procedure_result(s, d):
-    from .plans.engine import Engine
-
     load_tables(s, d, ["nation"])
     engine = Engine(s)
     engine.procedure("nations_of", lambda spark, region: spark.table("nation").where(F.col("n_regionkey") == region).select("n_nationkey", "n_name"))

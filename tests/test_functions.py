@@ -80,7 +80,8 @@ def test_date_format(one, sql):
      ("LEFTSHIFT(1, -1)", 0), ("RIGHTSHIFT(8, 2)", 2), ("BITXOR(5, 1)", 4), ("SUBSTR('quadratically', 5)", "ratically"), ("SUBSTRING('abc', 0, 2)", ""), ("SUBSTRING('abc', -5, 2)", ""), ("MID('abc', 2, 1)", "b"),
      ("LPAD('a', 3, '')", None), ("LPAD('abc', 2, '')", "ab"), ("RPAD('a', -1, 'x')", ""), ("LOCATE('b', 'abab', 3)", 4), ("LOCATE('b', 'abab', 9)", 0), ("INET_ATON('127.0.0.1')", 2130706433), ("INET_ATON('1.2')", 16777218),
      ("INET_ATON('1.2.3.4.5')", None), ("INET_ATON('1.256.3.4')", None), ("FIELD('', 'a', NULL, '')", 3), ("ELT(2, 'a', 'b')", "b"), ("ELT(3, 'a', 'b')", None), ("EXPORT_SET(6, '1', '0', ',', 5)", "0,1,1,0,0"),
-     ("_MIN(NULL, 3)", None), ("TO_INT('12abc')", 12), ("TO_INT('abc')", 0), ("TO_INT('-2.5')", -3), ("TO_INT('99999999999')", 2147483647), ("DISTANCE_LAT_LON(0, 170, 0, -170)", 20.0), ("COTH(0)", None)],
+     ("_MIN(NULL, 3)", None), ("1 / 0", None), ("CAST('x' AS INT)", None), ("MOD(-7, 3)", -1), ("MOD(7, 0)", None), ("CONV(234, 8, 5)", "1111"), ("CONV('9z', 10, 2)", "0"), ("CONV('', 10, 2)", None), ("CONV('aF', 16, 10)", "175"), ("TIMEDIFF('2010-01-01 01:00:00', '00:00:01')", None),
+     ("DATE_SUB(DATE '2000-03-01', INTERVAL 1 DAY)", datetime.date(2000, 2, 29)), ("FROM_UNIXTIME(0, '%Y %j')", "1970 001"), ("GEO_TYPE_STRING(NULL)", None), ("GEO_WKT('point(0 0)')", "POINT (0 0)"), ("TO_INT('12abc')", 12), ("TO_INT('abc')", 0), ("TO_INT('-2.5')", -3), ("TO_INT('99999999999')", 2147483647), ("DISTANCE_LAT_LON(0, 170, 0, -170)", 20.0), ("COTH(0)", None)],
 )
 def test_sql_functions(sql, text, want):
     got = sql(text)
