@@ -93,25 +93,45 @@ class Engine:
         return "".join(out)
 
     def _numbers(self, statement: str) -> str:
-        """NEXTVAL and CURRVAL replaced by values; one value for a statement."""
-        if "VAL" not in statement.upper():
+        """Calls that the driver answers, replaced by values; one value for a statement."""
+        if not any(name in statement.upper() for name in ("VAL", "CURRENT_SE", "COLUMN_TYPE_STRING")):
             return statement
         ts = tokens(statement)
+        quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
         out, at = [], 0
         while at < len(ts):
-            if ts[at].word in ("NEXTVAL", "CURRVAL") and at + 1 < len(ts) and ts[at + 1].text == "(":
-                end = closing(ts, at + 1)
-                name = [t.text.strip("'\"`") for t in solid(ts[at + 2 : end])][-1].split(".")[-1]
-                out.append(str(getattr(self.sequences[name.lower()], ts[at].text.lower())()))
-                at = end + 1
+            word = ts[at].word
+            called = at + 1 < len(ts) and ts[at + 1].text == "("
+            end = closing(ts, at + 1) if called else at
+            given = [t.text.strip("'\"`") for t in solid(ts[at + 2 : end]) if t.kind in ("text", "quoted", "name")]
+            if called and word in ("NEXTVAL", "CURRVAL"):
+                out.append(str(getattr(self.sequences[given[-1].split(".")[-1].lower()], word.lower())()))
+            elif called and word == "CURRENT_SETTING":
+                out.append(quoted(self.settings.get(given[0].lower(), self.spark.conf.get(given[0], None))))
+            elif called and word == "COLUMN_TYPE_STRING":
+                table, column = ".".join(given).split(".")[-2:]
+                out.append(quoted(next(c.dataType.upper() for c in self.spark.catalog.listColumns(table) if c.name.lower() == column.lower())))
+            elif word == "CURRENT_SESSION_ID":
+                out.append(str(id(self)))
             else:
                 out.append(ts[at].text)
-                at += 1
+                end = at
+            at = end + 1
         return "".join(out)
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "result string")
 
+    def _select(self, statement: str, ts: list[Token], parameters) -> DataFrame | None:
+        """``SELECT ** FROM table [WHERE ...]``: rows with their whole branch as arrays of structs."""
+        if [t.text for t in ts[1:3]] != ["*", "*"]:
+            return None
+        node = self.group(ts[4].text.strip('"`'))
+        where = " ".join(t.text for t in ts[6:]) if len(ts) > 5 and ts[5].word == "WHERE" else "TRUE"
+        node.rows.createOrReplaceTempView("group_root")
+        rows = self._run(f"SELECT * FROM group_root AS {node.name} WHERE {where}", parameters)
+        return groups.nested(groups.Node(node.name, rows, node.columns, None, node.children))
+
     def _values(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         return self._run(f"SELECT * FROM ({statement}) AS v", parameters)
 

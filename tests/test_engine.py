@@ -217,3 +217,18 @@ def test_tumbling_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("tumbled").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(rows(spark.table("tumbled"))) == want and len(want) == 6
+
+
+def test_more_of_the_dialect(engine):
+    assert rows(engine.sql("SELECT cid FROM customers ORDER BY cid FETCH FIRST 2 ROWS ONLY")) == [(1,), (2,)]
+    assert rows(engine.sql("SELECT cid FROM customers ORDER BY cid FETCH NEXT ROW ONLY")) == [(1,)]
+    assert rows(engine.sql("SELECT cid FROM customers ORDER BY cid LIMIT 1, 2")) == [(2,), (3,)]
+    assert rows(engine.sql("SELECT CURRENT_SETTING('no_such_thing') AS a, COLUMN_TYPE_STRING('items', 'quan') AS b, COLUMN_TYPE_STRING('items.sku') AS c")) == [(None, "INT", "STRING")]
+    first = engine.sql("SELECT ** FROM customers WHERE cid = 1").first()
+    assert [o.oid for o in first.orders] == [101, 102] and [i.iid for i in first.orders[0]["items"]] == [1011, 1012] and first.orders[1]["items"] == []
+
+
+def test_collation(engine):
+    engine.script("CREATE TABLE ci (s VARCHAR(32) COLLATE en_us_ci, v INT); INSERT INTO ci VALUES ('Ab', 1), ('aB', 2), ('c', 3), (NULL, 4)")
+    assert rows(engine.sql("SELECT sum(v) AS v FROM ci WHERE s = 'AB'")) == [(3,)]
+    assert rows(engine.sql("SELECT count(DISTINCT s) AS n FROM ci")) == [(2,)]
