@@ -37,6 +37,7 @@ from .common import by_value, known_small, per_batch, stored
 from .graph import Forest, components
 
 TILE = 1000
+CHUNK = 2000
 SKETCH = 128
 #: Three standard deviations of the similarity that a sketch gives at 0.8.
 DOUBT = 0.1
@@ -96,27 +97,47 @@ def similarity(a: frozenset, b: frozenset, least: float = 0.0) -> tuple[float, b
 
 
 class Tree:
-    """A BK-tree over 64-bit integers under Hamming distance."""
-
-    def __init__(self) -> None:
-        self.nodes: list[tuple[int, int, dict]] = []
-
-    def add(self, value: int, item: int) -> None:
-        new = (value, item, {})
-        self.nodes.append(new)
-        at = self.nodes[0]
-        while at is not new:
-            at = at[2].setdefault((at[0] ^ value).bit_count(), new)
-
-    def near(self, value: int, radius: int):
-        """Items within the radius."""
-        todo = self.nodes[:1]
-        while todo:
-            own, item, children = todo.pop()
-            d = (own ^ value).bit_count()
-            if d <= radius:
-                yield item
-            todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
+    """A BK-tree over 64-bit integers under Hamming distance, built and searched by levels, for many values at once."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        item = np.arange(1, len(values))
+        at, parents, distances, children = np.zeros(len(item), np.int64), [], [], []
+        while len(item):
+            key = at * 65 + np.bitwise_count(values[item] ^ values[at])
+            found, first, of = np.unique(key, return_index=True, return_inverse=True)  # the first to come is the child
+            parents.append(found // 65)
+            distances.append(found % 65)
+            children.append(item[first])
+            at = item[first][of]
+            rest = at != item
+            item, at = item[rest], at[rest]
+        parent = np.concatenate(parents) if parents else np.empty(0, np.int64)
+        order = np.argsort(parent, kind="stable")
+        self.distance = np.concatenate(distances)[order] if parents else parent
+        self.child = np.concatenate(children)[order] if parents else parent
+        self.start = np.searchsorted(parent[order], np.arange(len(values) + 1))
+
+    def near(self, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the values wanted, of the tree's values within the radius, and their distances.
+
+        From a node at distance d only the edges from d - radius to d + radius are followed.
+        """
+        out = []
+        for begin in range(0, len(wanted) if len(self.values) else 0, 256):
+            who = np.arange(begin, min(begin + 256, len(wanted)))
+            node = np.zeros(len(who), np.int64)
+            while len(who):
+                d = np.bitwise_count(wanted[who] ^ self.values[node]).astype(np.int64)
+                hit = d <= radius
+                out.append((who[hit], node[hit], d[hit]))
+                counts = self.start[node + 1] - self.start[node]
+                edge = np.repeat(self.start[node] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                who, d = np.repeat(who, counts), np.repeat(d, counts)
+                on = np.abs(self.distance[edge] - d) <= radius
+                who, node = who[on], self.child[edge[on]]
+        empty = np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, empty)
 
 
 def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -> list[tuple[int, int, bool]]:
@@ -125,11 +146,10 @@ def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -
     With ``least`` the nodes for which a sketch is not enough follow, as links to themselves that are not sure. With ``whole``
     those pairs are decided by all shingles instead, and only their links are returned.
     """
-    values, nodes, side = group["fp"].tolist(), group["node"].tolist(), group["side"].tolist()
+    values, nodes, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["node"].tolist(), group["side"].to_numpy()
     grams = group["grams"].tolist() if least else None
     sketch = [frozenset(x[:SKETCH].tolist()) for x in grams] if least else None
-    tree, forest, out, marked, mask = Tree(), Forest(len(values)), [], set(), (1 << 64) - 1
-    two = len({*side}) > 1
+    forest, out, marked = Forest(len(values)), [], np.zeros(len(values), bool)
 
     def linked(i: int, j: int) -> bool:
         if not least:
@@ -138,20 +158,29 @@ def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -
         if exact or not least - DOUBT <= close < least + DOUBT:
             return close >= least
         if not whole:
-            marked.update((i, j))
+            marked[[i, j]] = True
             return False
         both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
         return both >= least * (len(grams[i]) + len(grams[j]) - both) - 1e-9
 
-    for i in sorted(range(len(values)), key=lambda i: (side[i], values[i], nodes[i])):
-        if not two or side[i]:
-            for j in tree.near(values[i] & mask, radius):
-                if forest.find(i) != forest.find(j) and linked(i, j):
-                    forest.join(i, j)
-                    out.append((nodes[i], nodes[j], True))
-        if not two or not side[i]:
-            tree.add(values[i] & mask, i)
-    return out + [(nodes[i], nodes[i], False) for i in sorted(marked)]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side) if side.any() and len(left) else np.arange(len(side))
+    left = left if len(left) and side.any() else right
+    i, j, d = Tree(values[left]).near(values[right], radius)
+    i, j = right[i], left[j]
+    on = (i != j) if side.any() and (side == 0).any() else i > j
+    order = np.argsort(d[on], kind="stable")  # near pairs first: they connect most, and what is connected is not looked at
+    i, j = i[on][order], j[on][order]
+    while len(i):
+        for a, b in zip(i[:CHUNK].tolist(), j[:CHUNK].tolist(), strict=True):
+            if forest.find(a) != forest.find(b) and not (marked[a] and marked[b]) and linked(a, b):
+                forest.join(a, b)
+                out.append((nodes[a], nodes[b], True))
+        root = np.array([forest.find(x) for x in range(len(nodes))])
+        i, j = i[CHUNK:], j[CHUNK:]
+        on = (root[i] != root[j]) & ~(marked[i] & marked[j])  # two marked nodes are left to the second pass
+        i, j = i[on], j[on]
+    return out + [(nodes[x], nodes[x], False) for x in np.flatnonzero(marked).tolist()]
 
 
 def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:

@@ -274,12 +274,14 @@ def test_simhash(spark, odd, docs, none, monkeypatch):
 
 def test_tree_finds_all():
     rng = np.random.default_rng(5)
-    values = [int(x) for x in rng.integers(0, 1 << 12, 300)]
-    tree = simhash.Tree()
-    for i, v in enumerate(values):
-        tree.add(v, i)
-    for v in values[:50]:
-        assert sorted(tree.near(v, 3)) == [i for i, w in enumerate(values) if (v ^ w).bit_count() <= 3]
+    for n in (0, 1, 2, 300, 700):
+        values = np.concatenate([rng.integers(0, 1 << 12, n), np.full(n // 10, 77)]).astype(np.uint64)
+        wanted = np.concatenate([values, rng.integers(0, 1 << 12, 20).astype(np.uint64)])
+        for radius in (0, 3, 12):
+            i, j, d = simhash.Tree(values).near(wanted, radius)
+            want = {(a, b) for a, v in enumerate(wanted.tolist()) for b, w in enumerate(values.tolist()) if (v ^ w).bit_count() <= radius}
+            assert len(i) == len(want) and {*zip(i.tolist(), j.tolist(), strict=True)} == want
+            assert all((int(wanted[a]) ^ int(values[b])).bit_count() == e for a, b, e in zip(i.tolist(), j.tolist(), d.tolist(), strict=True))
 
 
 def test_deduplicate(spark, none):
