@@ -69,12 +69,12 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
-def sets(hashes: np.ndarray) -> tuple[int, list[int], list[int]]:
+def sets(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Of the distinct shingles: an id of the set, minima of ``KEYS`` hashes as shard keys, and 31-bit hashes in order."""
     own = np.unique(hashes)
     node = xxhash.xxh64_intdigest(own.astype("<u8").tobytes()) - (1 << 63)
     if not len(own):
-        return node, [], []
+        return node, np.empty(0, np.int64), np.empty(0, np.int32)
     keys = []
     with np.errstate(over="ignore"):
         for i in range(KEYS):
@@ -82,7 +82,7 @@ def sets(hashes: np.ndarray) -> tuple[int, list[int], list[int]]:
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             keys.append(int((mixed ^ (mixed >> np.uint64(29))).min()) & (1 << 62) - 1)
         mixed = (own ^ (own >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return node, keys, np.unique((mixed >> np.uint64(33)).astype(np.int32)).tolist()
+    return node, np.array(keys, np.int64), np.unique((mixed >> np.uint64(33)).astype(np.int32))
 
 
 def similarity(a: frozenset, b: frozenset, least: float = 0.0) -> tuple[float, bool]:
@@ -166,20 +166,24 @@ def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side) if side.any() and len(left) else np.arange(len(side))
     left = left if len(left) and side.any() else right
-    i, j, d = Tree(values[left]).near(values[right], radius)
-    i, j = right[i], left[j]
-    on = (i != j) if side.any() and (side == 0).any() else i > j
-    order = np.argsort(d[on], kind="stable")  # near pairs first: they connect most, and what is connected is not looked at
-    i, j = i[on][order], j[on][order]
-    while len(i):
-        for a, b in zip(i[:CHUNK].tolist(), j[:CHUNK].tolist(), strict=True):
-            if forest.find(a) != forest.find(b) and not (marked[a] and marked[b]) and linked(a, b):
-                forest.join(a, b)
-                out.append((nodes[a], nodes[b], True))
+    two, tree = bool(side.any() and (side == 0).any()), Tree(values[left])
+    for begin in range(0, len(right), 256):  # so that a group of near copies never has all its pairs in memory
+        who, at, d = tree.near(values[right[begin : begin + 256]], radius)
+        i, j = right[begin + who], left[at]
         root = np.array([forest.find(x) for x in range(len(nodes))])
-        i, j = i[CHUNK:], j[CHUNK:]
-        on = (root[i] != root[j]) & ~(marked[i] & marked[j])  # two marked nodes are left to the second pass
-        i, j = i[on], j[on]
+        on = ((i != j) if two else (i > j)) & (root[i] != root[j]) & ~(marked[i] & marked[j])
+        order = np.argsort(d[on], kind="stable")  # near pairs first: they connect most, and what is connected is not looked at
+        i, j = i[on][order], j[on][order]
+        while len(i):
+            for a, b in zip(i[:CHUNK].tolist(), j[:CHUNK].tolist(), strict=True):
+                if forest.find(a) != forest.find(b) and not (marked[a] and marked[b]) and linked(a, b):
+                    forest.join(a, b)
+                    out.append((nodes[a], nodes[b], True))
+            i, j = i[CHUNK:], j[CHUNK:]
+            if len(i):
+                root = np.array([forest.find(x) for x in range(len(nodes))])
+                on = (root[i] != root[j]) & ~(marked[i] & marked[j])  # two marked nodes are left to the second pass
+                i, j = i[on], j[on]
     return out + [(nodes[x], nodes[x], False) for x in np.flatnonzero(marked).tolist()]
 
 
