@@ -12,8 +12,11 @@ Shards, by radius:
   blocks, so the six pairs of blocks are shard keys and no link is lost.
 * beyond, for similar word sets: nodes are the distinct shingle sets, and shard keys are the minima of eight independent
   hashes over the shingles. Texts of Jaccard similarity s share a key but for a chance of (1 - s) ** 8, which is 3 in a
-  million at 0.8. What the tree finds is held against a sketch of the smallest shingle hashes. Sets within the sketch are
-  compared exactly. Where sketches leave a pair within ``DOUBT`` of the least similarity, its two nodes are marked; a
+  million at 0.8. Fingerprints are of the distinct shingles here. No Hamming distance bounds the similarity, so the tree
+  only finds links early: what it leaves apart in a shard is paired again by the number of smallest shingle hashes that
+  two members share, whatever their distance. Every pair is held against a sketch of the smallest shingle hashes. Sets
+  within the sketch are compared exactly. Where sketches leave a pair in doubt, between ``LOST`` below the least
+  similarity and ``DOUBT`` above it, its two nodes are marked, unless what the sketches hold rules the similarity out; a
   second pass over the marked nodes of each shard decides by the whole sets.
 
 A shard of more than ``TILE`` members is cut into tiles by hash, and each pair of tiles is a task of its own: one tile's
@@ -41,8 +44,10 @@ CHUNK = 2000
 SKETCH = 128
 #: Three standard deviations of the similarity that a sketch gives at 0.8.
 DOUBT = 0.1
+#: A sketch shows 0.8 as less than 0.6 in under 2 of a million pairs (Chernoff: exp(-128 KL(0.6, 0.8)) is 1.5e-6), no more than shards miss.
+LOST = 0.2
 KEYS = 8
-#: Hamming distance within which the tree looks for texts of similarity 0.8: 64 bits differ in 10 on average there.
+#: Hamming distance within which the tree looks for texts of similarity 0.8: 64 bits differ in 10 on average there. Not a limit.
 RADIUS = 18
 
 
@@ -96,6 +101,32 @@ def similarity(a: frozenset, b: frozenset, least: float = 0.0) -> tuple[float, b
     return sum(x <= last for x in a & b) / SKETCH, False
 
 
+def possible(a: np.ndarray, b: np.ndarray, n: int, m: int, least: float) -> bool:
+    """Whether sets of n and m members, of which a and b are the smallest ``SKETCH``, can have the similarity at all."""
+    last = min(a[-1] if len(a) < n else b[-1], b[-1] if len(b) < m else a[-1]) if len(a) < n or len(b) < m else max(a[-1], b[-1])
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    most = min(n - np.searchsorted(a, last, "right"), m - np.searchsorted(b, last, "right")) + both
+    return most >= least * (n + m - most) - 1e-9
+
+
+def sharing(sketch: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float):
+    """Blocks of pairs whose sketches share as much as the similarity needs, whatever their fingerprints."""
+    sizes = np.array([len(x) for x in sketch])
+    values, owner = np.concatenate([sketch[x] for x in left]), np.repeat(np.arange(len(left)), sizes[left])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for begin in range(0, len(right), 32):
+        who = right[begin : begin + 32]
+        wanted, of = np.concatenate([sketch[x] for x in who]), np.repeat(np.arange(len(who)), sizes[who])
+        first = np.searchsorted(values, wanted, "left")
+        counts = np.searchsorted(values, wanted, "right") - first
+        at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        shared = np.bincount(np.repeat(of, counts) * len(left) + owner[at], minlength=len(who) * len(left)).reshape(len(who), len(left))
+        a, b = sizes[who][:, None], sizes[left][None]
+        i, j = np.nonzero(shared >= np.where((a < SKETCH) & (b < SKETCH), least / (1 + least) * (a + b), (least - LOST) * SKETCH) - 1e-9)
+        yield who[i], left[j]
+
+
 class Tree:
     """A BK-tree over 64-bit integers under Hamming distance, built and searched by levels, for many values at once."""
 
@@ -147,33 +178,29 @@ def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -
     those pairs are decided by all shingles instead, and only their links are returned.
     """
     values, nodes, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["node"].tolist(), group["side"].to_numpy()
-    grams = group["grams"].tolist() if least else None
-    sketch = [frozenset(x[:SKETCH].tolist()) for x in grams] if least else None
+    grams, size = (group["grams"].tolist(), group["size"].tolist()) if least else (None, None)
+    short = [x[:SKETCH] for x in grams] if least else None
+    sketch = [frozenset(x.tolist()) for x in short] if least else None
     forest, out, marked = Forest(len(values)), [], np.zeros(len(values), bool)
 
     def linked(i: int, j: int) -> bool:
         if not least:
             return True
-        close, exact = similarity(sketch[i], sketch[j], least - DOUBT)
-        if exact or not least - DOUBT <= close < least + DOUBT:
+        close, exact = similarity(sketch[i], sketch[j], least - LOST)
+        if exact or not least - LOST <= close < least + DOUBT:
             return close >= least
+        if not possible(short[i], short[j], size[i], size[j], least):
+            return False
         if not whole:
             marked[[i, j]] = True
             return False
         both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
         return both >= least * (len(grams[i]) + len(grams[j]) - both) - 1e-9
 
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side) if side.any() and len(left) else np.arange(len(side))
-    left = left if len(left) and side.any() else right
-    two, tree = bool(side.any() and (side == 0).any()), Tree(values[left])
-    for begin in range(0, len(right), 256):  # so that a group of near copies never has all its pairs in memory
-        who, at, d = tree.near(values[right[begin : begin + 256]], radius)
-        i, j = right[begin + who], left[at]
-        root = np.array([forest.find(x) for x in range(len(nodes))])
-        on = ((i != j) if two else (i > j)) & (root[i] != root[j]) & ~(marked[i] & marked[j])
-        order = np.argsort(d[on], kind="stable")  # near pairs first: they connect most, and what is connected is not looked at
-        i, j = i[on][order], j[on][order]
+    def roots() -> np.ndarray:
+        return np.array([forest.find(x) for x in range(len(nodes))])
+
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
             for a, b in zip(i[:CHUNK].tolist(), j[:CHUNK].tolist(), strict=True):
                 if forest.find(a) != forest.find(b) and not (marked[a] and marked[b]) and linked(a, b):
@@ -181,18 +208,42 @@ def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -
                     out.append((nodes[a], nodes[b], True))
             i, j = i[CHUNK:], j[CHUNK:]
             if len(i):
-                root = np.array([forest.find(x) for x in range(len(nodes))])
+                root = roots()
                 on = (root[i] != root[j]) & ~(marked[i] & marked[j])  # two marked nodes are left to the second pass
                 i, j = i[on], j[on]
+
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side) if side.any() and len(left) else np.arange(len(side))
+    left = left if len(left) and side.any() else right
+    two, tree = bool(side.any() and (side == 0).any()), Tree(values[left])
+    for begin in range(0, len(right), 256):  # so that a group of near copies never has all its pairs in memory
+        who, at, d = tree.near(values[right[begin : begin + 256]], radius)
+        i, j = right[begin + who], left[at]
+        root = roots()
+        on = ((i != j) if two else (i > j)) & (root[i] != root[j]) & ~(marked[i] & marked[j])
+        order = np.argsort(d[on], kind="stable")  # near pairs first: they connect most, and what is connected is not looked at
+        settle(i[on][order], j[on][order])
+    if least and len(nodes):
+        root = roots()
+        found, counts = np.unique(root, return_counts=True)
+        apart = root != found[counts.argmax()]  # pairs within the largest group need no second look
+        for some, others in [(right[apart[right]], left), (right[~apart[right]], left[apart[left]])][: 1 + two]:
+            for i, j in sharing(short, others, some, least) if len(some) and len(others) else ():
+                root = roots()
+                on = (root[i] != root[j]) & ~(marked[i] & marked[j])
+                settle(i[on], j[on])
     return out + [(nodes[x], nodes[x], False) for x in np.flatnonzero(marked).tolist()]
 
 
 def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """``(key, fp, node)`` of every document, and with ``similar`` also shard keys and all shingles' hashes."""
+    """``(key, fp, node)`` of every document, and with ``similar`` also shard keys and all shingles' hashes.
+
+    With ``similar`` the fingerprint is of the distinct shingles, as the similarity is.
+    """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         hashes = [shingle_hashes(t, k) for t in batch["text"]]
-        out = pd.DataFrame({"key": batch["key"], "fp": np.array([fingerprint(h) for h in hashes], np.uint64).astype(np.int64)})
+        out = pd.DataFrame({"key": batch["key"], "fp": np.array([fingerprint(np.unique(h) if similar else h) for h in hashes], np.uint64).astype(np.int64)})
         if similar:
             out["node"], out["keys"], out["grams"] = zip(*map(sets, hashes), strict=True) if hashes else ([], [], [])
         return out
@@ -220,7 +271,7 @@ def decided(rows: DataFrame, dealt: DataFrame, found: DataFrame, radius: int, le
     """Links among the marked nodes, by their whole shingle sets."""
     marked = found.where("not sure").select(F.col("u").alias("node"), *SHARD)
     ends = known_small(marked.select("node").distinct(), most_broadcast)
-    grams = stored(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")), "doubtful-sets")
+    grams = stored(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")).withColumn("size", F.size("grams")), "doubtful-sets")
     again = dealt.select("node", "side", *SHARD).join(marked, ["node", *SHARD]).join(grams, "node")
     return searched(again, radius, least, whole=True)
 
@@ -234,8 +285,8 @@ def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0
     if radius > 2 and not least:
         raise ValueError("a radius over 2 needs a least similarity")
     rows = stored(fingerprints(docs, k, key, text, bool(least)), "fingerprints")
-    more = [F.first("keys").alias("keys"), F.slice(F.first("grams"), 1, SKETCH).alias("sketch")] if least else []
-    slim = rows.withColumn("grams", F.slice("grams", 1, SKETCH)) if least else rows  # whole sets are not shuffled here
+    more = [F.first("keys").alias("keys"), F.first("size").alias("size"), F.slice(F.first("grams"), 1, SKETCH).alias("sketch")] if least else []
+    slim = rows.withColumn("size", F.size("grams")).withColumn("grams", F.slice("grams", 1, SKETCH)) if least else rows  # whole sets are not shuffled here
     nodes = stored(slim.groupBy("node").agg(F.min("key").alias("least_key"), F.first("fp").alias("fp"), *more), "distinct-fingerprints")
     if least:
         dealt = nodes.select("node", F.posexplode("keys").alias("part", "value"))
@@ -251,7 +302,7 @@ def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0
     dealt = dealt.withColumn("part", F.col("part").cast("int")).withColumn("value", F.col("value").cast("long"))
     if least:
         dealt = stored(dealt, "dealt")
-        found = stored(searched(dealt.join(nodes.select("node", "fp", F.col("sketch").alias("grams")), "node"), radius, least), "links")
+        found = stored(searched(dealt.join(nodes.select("node", "fp", "size", F.col("sketch").alias("grams")), "node"), radius, least), "links")
         found = found.where("sure").union(decided(rows, dealt, found, radius, least))
     else:
         found = searched(dealt.withColumn("fp", F.col("node")), radius, least)

@@ -317,6 +317,32 @@ def test_similar_groups_are_exact(spark):
     assert len({*want.values()}) < len(want) and got == want
 
 
+def test_similar_pairs_beyond_the_radius(spark):
+    """Fingerprints tell nothing of these sets: a repeated line in one copy, and any radius."""
+    docs = []
+    for g in range(4):
+        words = [f"d{g}w{i}" for i in range(304)]
+        line = [f"d{g}line{i}" for i in range(12)]
+        docs += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[:150] + line * 10 + words[150:]))]
+    for g, size in enumerate((20, 40, 100, 300, 1500, 3000), 10):
+        words = [f"e{g}w{i}" for i in range(size)]
+        docs += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[: round(0.83 * size)])), (10 * g + 2, " ".join(words[: round(0.6 * size)]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for radius in (simhash.RADIUS, 0):
+        groups = {r.doc_id: r.component_id for r in simhash.near_groups(table, k=5, radius=radius, least=0.8).collect()}
+        assert groups == {k: k - k % 10 if k % 10 < 2 else k for k, _ in docs}
+
+
+def test_possible_is_a_bound():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((100, 100, 90), (300, 280, 250), (1000, 900, 850), (1000, 1000, 700), (120, 140, 118), (500, 500, 0)):
+        for _ in range(20):
+            pool = rng.permutation(1 << 20)[: n + m - both].astype(np.int32)
+            a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+            assert both / (n + m - both) < 0.8 or simhash.possible(a[: simhash.SKETCH], b[: simhash.SKETCH], n, m, 0.8)
+    assert not simhash.possible(np.arange(128), np.arange(500, 628), 500, 500, 0.8)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(50)] + [(7, 7)]
