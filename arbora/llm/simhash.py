@@ -236,7 +236,7 @@ def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -
 
 
 def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """``(key, fp, node)`` of every document, and with ``similar`` also shard keys and all shingles' hashes.
+    """``(key, fp, node)`` of every document, and with ``similar`` also shard keys, all shingles' hashes and the text's hash ``seen``.
 
     With ``similar`` the fingerprint is of the distinct shingles, as the similarity is.
     """
@@ -246,11 +246,13 @@ def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "
         out = pd.DataFrame({"key": batch["key"], "fp": np.array([fingerprint(np.unique(h) if similar else h) for h in hashes], np.uint64).astype(np.int64)})
         if similar:
             out["node"], out["keys"], out["grams"] = zip(*map(sets, hashes), strict=True) if hashes else ([], [], [])
+            out["seen"] = batch["seen"]
         return out
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = "key string, fp long" + ", node long, keys array<long>, grams array<int>" * similar
-    rows = per_batch(run, docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), schema).withColumn("key", F.col("key").cast(kind))
+    schema = "key string, fp long" + ", node long, keys array<long>, grams array<int>, seen long" * similar
+    seen = [F.xxhash64(text).alias("seen")] * similar
+    rows = per_batch(run, docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *seen), schema).withColumn("key", F.col("key").cast(kind))
     return rows if similar else rows.withColumn("node", F.col("fp"))
 
 
@@ -276,18 +278,16 @@ def decided(rows: DataFrame, dealt: DataFrame, found: DataFrame, radius: int, le
     return searched(again, radius, least, whole=True)
 
 
-def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, fp, component_id)`` of every document; component_id is the smallest key of its group.
+def _grouped(docs: DataFrame, k: int, radius: int, least: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fingerprints``, stored, and ``(node, first)``: the first row of the node's group.
 
-    With ``least`` (a Jaccard similarity of the shingle sets) any radius goes and links are verified; without it the
-    radius may be 2 at most, and the result is exact.
+    That is its smallest key; with ``least`` a struct of the smallest key, null last, and the smallest ``seen`` under it.
     """
-    if radius > 2 and not least:
-        raise ValueError("a radius over 2 needs a least similarity")
     rows = stored(fingerprints(docs, k, key, text, bool(least)), "fingerprints")
+    head = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "seen")) if least else F.min("key")
     more = [F.first("keys").alias("keys"), F.first("size").alias("size"), F.slice(F.first("grams"), 1, SKETCH).alias("sketch")] if least else []
     slim = rows.withColumn("size", F.size("grams")).withColumn("grams", F.slice("grams", 1, SKETCH)) if least else rows  # whole sets are not shuffled here
-    nodes = stored(slim.groupBy("node").agg(F.min("key").alias("least_key"), F.first("fp").alias("fp"), *more), "distinct-fingerprints")
+    nodes = stored(slim.groupBy("node").agg(head.alias("first"), F.first("fp").alias("fp"), *more), "distinct-fingerprints")
     if least:
         dealt = nodes.select("node", F.posexplode("keys").alias("part", "value"))
     else:
@@ -306,24 +306,37 @@ def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0
         found = found.where("sure").union(decided(rows, dealt, found, radius, least))
     else:
         found = searched(dealt.withColumn("fp", F.col("node")), radius, least)
-    roots = components(found.select("u", "v"))
-    roots = roots.join(nodes.select("node", "least_key"), "node")
-    least_of = roots.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    linked = roots.join(least_of, "root").select("node", "component_id")
-    nodes = nodes.select("node", "least_key").join(linked, "node", "left").select("node", F.coalesce("component_id", "least_key").alias("component_id"))
+    found = components(found.select("u", "v")).join(nodes.select("node", "first"), "node")
+    firsts = found.groupBy("root").agg(F.min("first").alias("of_all"))
+    linked = found.join(firsts, "root").select("node", "of_all")
+    return rows, nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
+
+
+def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, fp, component_id)`` of every document; component_id is the smallest key of its group.
+
+    With ``least`` (a Jaccard similarity of the shingle sets) any radius goes and links are verified; without it the
+    radius may be 2 at most, and the result is exact.
+    """
+    if radius > 2 and not least:
+        raise ValueError("a radius over 2 needs a least similarity")
+    rows, nodes = _grouped(docs, k, radius, least, key, text)
+    nodes = nodes.select("node", F.col("first.key" if least else "first").alias("component_id"))
     return rows.select("key", "fp", "node").join(nodes, "node").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, radius: int = RADIUS, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: the one whose key is smallest.
+    """One row of each group, with all its columns: of the smallest key, and of that key's texts in the group one.
 
-    Rows that repeat that key are reduced to one; of a group without any key one row stays.
+    A row is known by key and text, so unlike texts under one key are rows of their own. A row without a key stays where
+    its group has no key, and beside that one row that has neither key nor words.
     """
-    groups = near_groups(docs, k, radius, least, key, text)
-    keep = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).where(F.col("_kept").isNotNull()).distinct()
-    some = docs.join(keep, F.col(key) == F.col("_kept")).drop("_kept").dropDuplicates([key])
-    none = docs.where(F.col(key).isNull()).dropDuplicates([text])
-    return some.unionByName(none)
+    rows, nodes = _grouped(docs, k, radius, least, key, text)
+    keep = nodes.select("first.key", "first.seen").distinct()
+    blank = rows.where(F.col("key").isNull() & (F.size("grams") == 0)).agg(F.min("seen").alias("seen")).where("seen is not null")
+    keep = keep.union(blank.select(F.lit(None).cast(docs.schema[key].dataType), "seen")).toDF("_kept", "_of").distinct()
+    some = docs.withColumn("_seen", F.xxhash64(text)).join(keep, F.col(key).eqNullSafe(F.col("_kept")) & (F.col("_seen") == F.col("_of")))
+    return some.dropDuplicates([key, "_seen"]).drop("_kept", "_of", "_seen")
 
 
 by_value(__name__)

@@ -295,6 +295,15 @@ def test_deduplicate(spark, none):
     assert simhash.deduplicate(none).collect() == []
 
 
+def test_deduplicate_knows_rows_by_text(spark):
+    """An id with several texts, one of them in another id's group, and near copies without ids."""
+    texts = [[f"t{n}w{i}" for i in range(200)] for n in range(5)]
+    near = [[*t[:100], "changed", *t[101:]] for t in texts]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (7, texts[2]), (2, near[2]), (9, near[1]), (7, near[1]), (None, near[0]), (None, texts[3]), (None, near[3]), (None, texts[4]), (None, texts[4])]
+    got = simhash.deduplicate(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in got) == [(0, "t3"), (0, "t4"), (2, "t2"), (7, "t0"), (7, "t1")]
+
+
 def test_similar_groups_are_exact(spark):
     """Texts whose similarity is close to 0.8, shorter and longer than the sketch, against their whole shingle sets."""
     rng = np.random.default_rng(8)
