@@ -2,7 +2,9 @@
 
 Fixed patterns give the base spans. Beside them, values in a credential context (``pwd: ...``, ``bearer ...``,
 ``//user:value@host``) are split at minimum cost into words, dates, repeats, keyboard walks and brute-force spans; a value
-that needs at least ``10 ** THRESHOLD`` guesses is a secret. A value that holds a base span's part is not reported twice.
+that needs at least ``10 ** THRESHOLD`` guesses is a secret. Values run to whitespace or the closing quote, in URLs to the
+``@``. A value within a base span is not reported twice; one that goes beyond a base span is, whatever its guesses, so that
+redaction covers both.
 
 Offsets count code points, ends are exclusive. Defined cases: a null or empty text has no spans; repeated rows get equal
 results; an empty table gives no rows; whole texts are scanned, however long.
@@ -28,9 +30,12 @@ ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_HINT = re.compile(r"[0-9a-f]{8}")
+#: A keyword starts a word, follows an underscore or starts a hump; words that mean nothing else may end any name.
 CONTEXT = re.compile(
-    r"""(?:\b(?:(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access|client)[_-]?(?:key|secret)|login|pin))["']?\s{0,8}(?::=|=>|[:=])\s{0,8}["']?"""
-    r"""(?:(?i:bearer|basic)\s)?|\b(?i:bearer)\s|//[^\s:/@]{1,64}:)([^\s"'<>|,;@]{8,})""",
+    r"""(?:(?:(?:(?<![^\W_])|(?<=[a-z0-9])(?=[A-Z]))(?i:pass|auth(?:orization)?|(?:private|access|client)[_-]?(?:key|secret)|login|pin)"""
+    r"""|(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credentials?))["']?\s{0,8}(?::=|=>|[:=])\s{0,8}(?P<q>["'])?"""
+    r"""(?:(?i:bearer|basic)\s)?|\b(?i:bearer)\s)(?P<v>(?(q)(?:(?!(?P=q))\S){8,}|(?!["'])(?:[^\s"']|["'](?![\s,;:)>}\]]|$)){8,}))"""
+    r"""|//[^\s:/@]{1,64}:(?P<u>[^\s"'@]{8,})""",
     re.ASCII,
 )
 CONTEXT_HINT = re.compile(r"pass|pwd|secret|token|key|auth|credential|login|pin|bearer|//")
@@ -102,8 +107,11 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int,
     if CONTEXT_HINT.search(low):
         base = list(out)
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            if not any(a < end and start < b for a, _, b, _ in base) and guess_cost(m[1].rstrip(".)!?")) >= threshold:
+            start = m.start("u" if m["v"] is None else "v")
+            value = text[start : m.end()].rstrip(",;|<>@\"'")
+            end, core = start + len(value), value.rstrip(".)!?]}")
+            over = [(a, b) for a, _, b, _ in base if a < end and start < b]
+            if len(value) >= 8 and not any(a <= start and start + len(core) <= b for a, b in over) and (over or guess_cost(core) >= threshold):
                 out.append((start, 3, end, start))
     return sorted(out)
 

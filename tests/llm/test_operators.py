@@ -235,6 +235,21 @@ def test_secret_scans(spark, odd, docs, none):
     assert all(not secrets.find(t) for t in clean[:-1])
 
 
+def test_secret_contexts(spark):
+    """Prefixed keywords, values with separators in them, and values that go beyond a base span."""
+    hard = "Kd8sWq2pLx#9vT!m4Zr"
+    texts = [f"{name}{hard}" for name in ("AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key = ", "DB_PASS=", "MYSQL_PWD=", "db_auth: ", "dbPass: ", "userPwd=", "password: ")]
+    values = ["x9@Qm!27zLpT4w", "Zq7,kfL2m9vXw31", "a;Kd8sWq2<pLx|9vT>m4", "kX9#v'Q2m!rT7zLp4"]
+    texts += [f"{a}{v}{b}" for v in values for a, b in (("password: ", ""), ("pwd=", ", next"), ('{"db_pass": "', '"}'))]
+    table = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    for t, r in zip(texts, sorted(secrets.redact(table).collect(), key=lambda r: r.doc_id), strict=True):
+        value = max(v for v in (hard, *values) if v in t)
+        assert r.text == t.replace(value, "[secret]") and not secrets.find(r.text)
+    assert secrets.find("compass: northeasterly-bound, spin: clockwise-turning") == []
+    assert [(a, secrets.KINDS[k], b) for a, k, b, _ in secrets.find("see //bob:kX9#vQ2m!rT7@host, ok")] == [(10, "guess", 22)]
+    assert [secrets.KINDS[k] for _, k, _, _ in secrets.find("password: changeme1, then (token=abcdefgh12).")] == ["assign", "assign"]
+
+
 def brute_fingerprint(text, k=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
