@@ -2,13 +2,14 @@
 
 Labelled text of each language goes into a suffix automaton. A text is parsed greedily into longest matches with each
 automaton; the language that needs fewest phrases wins, with the count normalised by the logarithm of the automaton's
-text length (a phrase costs a pointer into that text) and by the number of characters. The automata become dense
-transition tables, and the whole text is parsed, in segments of ``SEGMENT`` characters that all advance together; a phrase
+text length (a phrase costs a pointer into that text) and by the number of characters. Each language has its own alphabet,
+all characters of its sample; others end a phrase. The automata become transition tables, dense for as many languages as
+``DENSE`` bytes hold, those with small tables first, and sorted for the others. The whole text is parsed, in segments of ``SEGMENT`` characters that all advance together; a phrase
 ends where its segment ends.
 
 The automata are fitted on a bounded sample: of each language up to ``sample_docs`` labelled documents, chosen by the
-hash of their ids, with ``sample_chars`` characters in all. At most ``most_languages`` languages are learned, those with
-most documents. Everything else covers every document.
+hash of their ids, with ``sample_chars`` characters in all, a window from each quarter of a text that is longer than its
+share. Every labelled language is learned, and everything else covers every document.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled text every text is ``und``;
 ties go to the language first by code point; repeated rows get equal results; an empty table gives no rows.
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import by_value, per_batch, worker_cache
 
 SEGMENT = 256
-SYMBOLS = 128
+DENSE = 128 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def automaton(symbols: list[int], width: int = SYMBOLS) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence; row 0 is the root, and 0 means that there is no transition."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of every state of the suffix automaton of a sequence; state 0 is the root, to which none leads."""
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -58,23 +59,48 @@ def automaton(symbols: list[int], width: int = SYMBOLS) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    table = np.zeros((len(steps), width), np.int32)
-    for i, s in enumerate(steps):
-        if s:
-            table[i, list(s)] = list(s.values())
-    return table
+    return steps
+
+
+class Table:
+    """The state after a state and a symbol; 0 if there is no transition."""
+
+    def __init__(self, steps: list[dict[int, int]], width: int, dense: bool) -> None:
+        self.width = width
+        self.keys = np.array([i * width + c for i, s in enumerate(steps) for c in s], np.int64)
+        self.to = np.array([t for s in steps for t in s.values()], np.int32)
+        if dense:
+            self.flat = np.zeros(len(steps) * width, np.int32)
+            self.flat[self.keys] = self.to
+        else:
+            order = np.argsort(self.keys)
+            self.keys, self.to, self.flat = self.keys[order], self.to[order], None
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.flat is not None:
+            return self.flat[state * self.width + symbol]
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0)
 
 
 class Models:
-    """Automata and the table from code points to symbols: the most frequent characters, and one symbol for all others."""
+    """Automata, the table from code points to symbols, and each language's own symbols; 0 is a character that was not seen."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         lower = {lang: text.lower() for lang, text in sorted(samples.items())}
-        often = [c for c, _ in sorted(Counter("".join(lower.values())).items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 1]]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for n, c in enumerate(often, 1):
+        self.symbol, seen = np.zeros(0x110000, np.int32), sorted({*"".join(lower.values())})
+        for n, c in enumerate(seen, 1):
             self.symbol[ord(c)] = n
-        self.tables = {lang: (automaton(self.encode(text).tolist()), float(np.log2(len(text) + 2))) for lang, text in lower.items()}
+        codes = {lang: self.encode(text) for lang, text in lower.items()}
+        width = {lang: len(np.unique(c)) + 1 for lang, c in codes.items()}
+        built, left = {}, DENSE
+        for lang in sorted(lower, key=lambda x: (len(codes[x]) * width[x], x)):
+            own = np.zeros(len(seen) + 1, np.int32)
+            own[np.unique(codes[lang])] = np.arange(1, width[lang])
+            left -= 4 * 2 * (len(codes[lang]) + 1) * width[lang]  # an automaton has at most two states a character
+            built[lang] = Table(automaton(own[codes[lang]].tolist()), width[lang], left >= 0), own
+        self.tables = {lang: (*built[lang], float(np.log2(len(text) + 2))) for lang, text in lower.items()}
 
     def encode(self, text: str) -> np.ndarray:
         return self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -85,7 +111,7 @@ class Models:
         sizes = np.array([len(c) for c in codes])
         parts = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(codes)), parts)
-        spans = np.full((len(owner), SEGMENT), 0, np.uint8)
+        spans = np.full((len(owner), SEGMENT), 0, np.int32)
         lengths, at = np.empty(len(owner), int), 0
         for c, n in zip(codes, parts.tolist(), strict=True):
             if n:
@@ -97,17 +123,16 @@ class Models:
         by_step, lengths, owner = np.ascontiguousarray(spans[order].T), lengths[order], owner[order]
         going = np.searchsorted(-lengths, -np.arange(SEGMENT), side="left")  # segments longer than t
         out = np.zeros((len(codes), len(self.tables)))
-        for col, (table, cost) in enumerate(self.tables.values()):
-            flat, width = table.ravel(), table.shape[1]
+        for col, (table, own, cost) in enumerate(self.tables.values()):
             state, phrases = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
             for t in range(SEGMENT):
                 n = int(going[t])
                 if not n:
                     break
-                now, c = state[:n], by_step[t, :n].astype(np.int32)
-                to = flat[now * width + c]
+                now, c = state[:n], own[by_step[t, :n]]
+                to = table.next(now, c)
                 lost = to == 0
-                again = flat[c[lost]]
+                again = table.next(np.zeros(int(lost.sum()), np.int32), c[lost])
                 phrases[:n][lost] += (now[lost] > 0).astype(np.int32) + (again == 0)
                 to[lost] = again
                 state[:n] = to
@@ -116,21 +141,27 @@ class Models:
         return out
 
 
-def samples(docs: DataFrame, learn, sample_docs: int = 64, sample_chars: int = 24_000, most_languages: int = 32, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """Labelled text of every language: at most ``most_languages`` times ``sample_chars`` characters, whatever the input."""
+def samples(docs: DataFrame, learn, sample_docs: int = 64, sample_chars: int = 24_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
+    """Labelled text of every language: at most ``sample_chars`` characters of each, whatever the input."""
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = sorted(known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect())
-    if not found:
-        return {}
     hashed = F.xxhash64(F.col(key).cast("string"))
-    chosen = known.where(F.col(lang).isin([r[lang] for r in found])).groupBy(lang, F.pmod(hashed, F.lit(sample_docs)).alias("_lane")).agg(F.min_by(key, hashed).alias("_id"))
-    ids = sorted({r["_id"] for r in chosen.collect() if r["_id"] is not None})
-    rows = known.where(F.col(key).isin(ids)).select(lang, key, F.substring(text, 1, sample_chars).alias("t")).dropDuplicates([lang, key]).collect()
+    chosen = known.groupBy(lang, F.pmod(hashed, F.lit(sample_docs)).alias("_lane")).agg(F.min_by(key, hashed).alias("_id")).where("_id is not null").collect()
+    if not chosen:
+        return {}
+    many = Counter(r[lang] for r in chosen)
+    picks = [(r[lang], r["_id"], max(1, sample_chars // many[r[lang]])) for r in chosen]
+    kinds = f"_lang {docs.schema[lang].dataType.simpleString()}, _id {docs.schema[key].dataType.simpleString()}, _most int"
+    picks = F.broadcast(docs.sparkSession.createDataFrame(picks, kinds))  # sample_docs rows a language
+    rows = known.join(picks, (F.col(lang) == F.col("_lang")) & (F.col(key) == F.col("_id")))
+    n, part = F.char_length(text), F.expr("_most div 4")
+    quarter = (n / 4).cast("int")
+    windows = [F.substring(text, quarter * k + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(k)), F.greatest(quarter - part, F.lit(0)) + 1).cast("int") + 1, part) for k in range(4)]
+    taken = F.when(n <= F.col("_most"), F.col(text)).otherwise(F.concat_ws("\n", *windows))
+    rows = rows.select(lang, key, taken.alias("t")).groupBy(lang, key).agg(F.min("t").alias("t")).collect()
     out = {}
-    for r in found:
-        own = [x["t"] for x in sorted((x for x in rows if x[lang] == r[lang]), key=lambda x: x[key])]
-        quota = sample_chars // max(1, len(own))
-        out[r[lang]] = "\n".join(t[:quota] for t in own)
+    for r in sorted(rows, key=lambda x: (x[lang], x[key])):
+        out.setdefault(r[lang], []).append(r["t"])
+    out = {k: "\n".join(v) for k, v in out.items()}
     return {k: v for k, v in out.items() if LETTER.search(v)}
 
 

@@ -212,6 +212,28 @@ def test_cross_parsing():
     assert models.bits([text, ""])[0, 0] == pytest.approx(phrases * math.log2(len(sample) + 2) / len(text))
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Forty languages, each with letters of its own, behind one long header; dense and sorted tables."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang in range(40):
+        letters = [chr(0x4E00 + 40 * lang + i) for i in range(30)]
+        for d in range(8 if lang < 39 else 3):
+            words = ["".join(rng.choice(letters, 4)) for _ in range(150)]
+            rows.append((len(rows), f"l{lang:02}", "licence header of all languages " * 8 + " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = language_id.samples(table, F.col("doc_id") % 2 == 0, sample_chars=1200)
+    assert len(learned) == 40 and all(len(t) <= 1300 for t in learned.values())
+    bits = {}
+    for dense in (language_id.DENSE, 0):
+        monkeypatch.setattr(language_id, "DENSE", dense)
+        bits[dense] = language_id.Models(learned).bits([t.lower() for _, _, t in rows])
+        assert [f"l{x:02}" for x in bits[dense].argmin(axis=1)] == [lang for _, lang, _ in rows]
+    assert len(bits) == 2 and np.array_equal(*bits.values())
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table, learned).collect()}
+    assert got == {k: lang for k, lang, _ in rows}
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
