@@ -3,7 +3,8 @@
 Documents longer than a sequence are cut into full pieces, the shorter one first. The histogram of piece lengths has as
 many bins as a sequence has tokens, whatever the input's size, so the driver plans over it:
 
-1. It enumerates patterns of two to four lengths that fill a sequence exactly.
+1. It enumerates patterns of two to four lengths that fill a sequence exactly: all pairs, and of the triples and quadruples
+   the ``MOST`` each whose rarest length is most frequent. Lengths in no pattern are packed by the last step.
 2. Projected gradient descent fits a non-negative repeat count for each pattern, by least squares against the histogram.
 3. Repeat counts are rounded down and clipped to what is left of each length.
 4. What remains is packed best fit, longest first, in runs of equal lengths over runs of equal sequences.
@@ -11,13 +12,13 @@ many bins as a sequence has tokens, whatever the input's size, so the driver pla
 The plan is a table of runs: so many pieces of one length, from one rank on, go to consecutive sequences at one offset.
 Executors number the pieces of each length and look their run up.
 
-Defined cases: a null or empty text is one piece that holds the end token alone; repeated rows are packed each for
-itself; an empty table gives no rows.
+Defined cases: a null or empty text is one piece that holds the end token alone; repeated rows, also of one id, are packed
+each for itself, in any order where they are alike; a tie of two patterns goes to the first by lengths; an empty table
+gives no rows. Columns beside key and text are not looked at, whatever their names; the key may have any but the result's.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -27,11 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import by_value, per_batch, running, stored, worker_cache
 
-LANES = 1024
+#: Pieces of one length that one task numbers, about.
+LANE = 200_000
+#: Patterns of three lengths, and of four, at most.
+MOST = 20_000
 
 
 def encoder(path: str, pattern: str):
-    """The byte-level BPE of a ``tokenizer.json`` file, run by tiktoken: the same ids, several times as fast."""
+    """The byte-level BPE of a ``tokenizer.json`` file, run by tiktoken: the same ids, several times as fast.
+
+    Added tokens that stand in a text are one id each, as ``tokenizers`` has it by default.
+    """
     cache = worker_cache()
     if path not in cache:
         import json
@@ -40,12 +47,12 @@ def encoder(path: str, pattern: str):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        special = {t["content"] for t in json.load(open(path))["added_tokens"]}
+        special = {t["content"]: t["id"] for t in json.load(open(path))["added_tokens"]}
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in letters]
         byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in token): n for token, n in own.get_vocab(with_added_tokens=False).items() if token not in special}
-        cache[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        cache[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return cache[path]
 
 
@@ -55,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, most: int = 2048, end:
     def cut(batch: pd.DataFrame) -> pd.DataFrame:
         own, out = encoder(tokenizer, pattern), []
         for k, t in zip(batch["key"], batch["text"], strict=True):
-            ids = np.array([*(own.encode_ordinary(t) if t else ()), end], dtype="<u4")
+            ids = np.array([*(own.encode(t, allowed_special="all") if t else ()), end], dtype="<u4")
             at, stop = 0, len(ids) % most or most
             for n in range(-(-len(ids) // most)):
                 out.append((k, n, at, stop - at, zlib.crc32(ids[at:stop].tobytes())))
@@ -67,26 +74,35 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, most: int = 2048, end:
     return per_batch(cut, rows, "key string, piece int, start long, length long, ids_crc32 long").withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
 
 
-def patterns(have: np.ndarray, most: int, limit: int = 60_000) -> list[tuple[int, ...]]:
-    """Sets of two, three and four lengths that occur and fill a sequence exactly; the most frequent lengths first."""
+def patterns(have: np.ndarray, most: int, limit: int = MOST) -> list[tuple[int, ...]]:
+    """Sets of two, three and four lengths that occur and fill a sequence exactly, at most ``limit`` of three and of four.
+
+    A set can repeat as often as its rarest length allows; sets that can repeat most come first.
+    """
+    have = have.astype(np.int64).copy()
+    have[0] = have[most] = 0
     there = np.flatnonzero(have)
-    there = there[(there > 0) & (there < most)]
-    is_there = np.zeros(most + 1, bool)
-    is_there[there] = True
-    out = [(int(a), int(most - a)) for a in there if a * 2 <= most and is_there[most - a]]
-    often = there[np.argsort(-have[there], kind="stable")]
-    for size, width in ((3, 400), (4, 60)):
-        top = np.sort(often[:width])
-        sums = [(int(a),) for a in top]
-        for _ in range(size - 2):
-            sums = [(*s, int(b)) for s in sums for b in top if b >= s[-1] and sum(s) + b < most]
-        for s in sums:
-            last = most - sum(s)
-            if last >= s[-1] and is_there[last]:
-                out.append((*s, last))
-                if len(out) >= limit:
-                    return out
-    return out
+
+    def best(sets: np.ndarray) -> np.ndarray:
+        sets = sets[(np.diff(sets, axis=1) >= 0).all(axis=1) & (sets[:, -1] < most)]
+        score = have[sets].min(axis=1)
+        sets, score = sets[score > 0], score[score > 0]
+        return sets[np.lexsort((*sets.T[::-1], -score))[:limit]]
+
+    a, b = np.repeat(there, len(there)), np.tile(there, len(there))
+    on = (a <= b) & (a + b <= most)
+    pairs = np.stack([a, b], 1)[on]
+    sums = pairs.sum(axis=1)
+    twos = pairs[sums == most]
+    threes = best(np.column_stack([pairs, most - sums])[most - sums > 0])
+    # a quadruple is two pairs; of each sum those that can repeat most
+    pairs, sums = (x[np.lexsort((*pairs.T[::-1], -have[pairs].min(axis=1), sums))] for x in (pairs, sums))
+    rank = np.arange(len(sums)) - np.searchsorted(sums, sums)
+    pairs, sums = pairs[rank < 8], sums[rank < 8]
+    by_sum = {n: pairs[sums == n] for n in np.unique(sums).tolist()}
+    fours = [np.column_stack([np.repeat(low, len(high), axis=0), np.tile(high, (len(low), 1))]) for n, low in by_sum.items() if (high := by_sum.get(most - n)) is not None]
+    fours = best(np.concatenate(fours) if fours else np.empty((0, 4), np.int64))
+    return [tuple(x) for sets in (twos, threes, fours) for x in sets.tolist()]
 
 
 def repeat_counts(have: np.ndarray, sets: list[tuple[int, ...]], rounds: int = 300) -> np.ndarray:
@@ -168,10 +184,11 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, most: int = 2048, end: i
     Returns key, piece, start, length, ids_crc32, sequence_id and offset.
     """
     rows = stored(pieces(docs, tokenizer, pattern, most, end, key, text), "pieces")
-    runs, _ = plan({r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}, most)
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    runs, _ = plan(histogram, most)
     table = docs.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length long, rank long, n long, first long, place long")
     table = stored(table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "n", "first", "place"))).alias("runs")).coalesce(1), "pack-plan")
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(LANES)))
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(max(histogram.values(), default=0) // LANE + 1)))
     rows = running(rows, ["length"], "lane", [F.col(key), F.col("piece"), F.col("ids_crc32")], F.lit(1), "at")
     rows = rows.join(F.broadcast(table), "length")  # a row for each length, with as many runs as there are patterns at most
     run = F.element_at(F.filter("runs", lambda r: (r["rank"] <= F.col("at")) & (F.col("at") < r["rank"] + r["n"])), 1)
