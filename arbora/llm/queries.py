@@ -50,7 +50,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    found = secrets.scan(_read(spark, sf_dir, "documents"), vocabulary=tokenizer()[0])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
