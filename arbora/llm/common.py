@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,27 +30,53 @@ def worker_cache() -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this machine serves a local session, whose executors are in the driver; on a cluster
+    that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Paths of the tables stored in each open ``scratch``.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, and gives the planner the table's true size, by which
-    it broadcasts small tables and shuffles large ones.
+    it broadcasts small tables and shuffles large ones. The files stay, as results may be read from them at any later time,
+    but inside :func:`scratch`.
     """
-    path = f"{shared_dir(df.sparkSession)}/arbora/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/arbora/{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    for paths in _OPEN[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what is stored inside, but for the table stored last, which belongs to the next outer ``scratch``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        *gone, last = _OPEN.pop() or [""]
+        for paths in _OPEN[-1:]:
+            paths.append(last)
+        for path in gone:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """``crc32`` of an id's decimal text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)).cast("int")

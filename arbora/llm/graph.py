@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_value, scratch, stored
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -19,29 +19,28 @@ def _checksum(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``(u, v)``; the root is the smallest node that can be reached.
 
-    Loops, repeated edges and either direction are allowed; null ends are dropped. Without edges the result is empty.
+    Loops, repeated edges and either direction are allowed; null ends are dropped. Without edges the result is empty. Minima
+    are stored before they are joined, so that adaptive execution can split the edges of a hub.
     """
+    spark = edges.sparkSession
     down = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = stored(down(edges), "edges")
-    seen = _checksum(now)
-    while seen[0]:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = down(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = stored(down(small), "edges")
-        last, seen = seen, _checksum(now)
-        if seen == last:
-            break
+    with scratch(spark):
+        now = stored(down(edges), "edges")
+        seen = _checksum(now)
+        while seen[0]:
+            with scratch(spark):
+                both = now.union(now.select("v", "u"))
+                least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+                large = stored(down(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+                least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+                small = large.join(least, "u")
+                now = stored(down(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))), "edges")
+            last, seen = seen, _checksum(now)
+            if seen == last:
+                break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-from .common import by_value  # noqa: E402
-
-
 class Forest:
     """Union-find over the items of one task."""
 

@@ -8,47 +8,49 @@ of the forests' union are the groups.
 
 Shards, by radius:
 
-* up to 2: the fingerprint is cut into four blocks of 16 bits. Fingerprints that differ in two bits agree in at least two
-  blocks, so the six pairs of blocks are shard keys and no link is lost.
-* beyond, for similar word sets: nodes are the distinct shingle sets, and shard keys are the minima of eight independent
-  hashes over the shingles. Texts of Jaccard similarity s share a key but for a chance of (1 - s) ** 8, which is 3 in a
-  million at 0.8. Fingerprints are of the distinct shingles here. No Hamming distance bounds the similarity, so the tree
-  only finds links early: what it leaves apart in a shard is paired again by the number of smallest shingle hashes that
-  two members share, whatever their distance. Every pair is held against a sketch of the smallest shingle hashes. Sets
-  within the sketch are compared exactly. Where sketches leave a pair in doubt, between ``LOST`` below the least
-  similarity and ``DOUBT`` above it, its two nodes are marked, unless what the sketches hold rules the similarity out; a
-  second pass over the marked nodes of each shard decides by the whole sets.
-
-A shard of more than ``TILE`` members is cut into tiles by hash, and each pair of tiles is a task of its own: one tile's
-tree, searched by the other's members. So no shard has to fit a task, and none is capped.
+* up to 2: the fingerprint is cut into three blocks. Fingerprints that differ in two bits agree in at least one of them, so
+  the first bits of the three blocks are shard keys, as many bits as bring shards to ``SHARD`` members on average, and no
+  link is lost for any number of bits. All that separates the members of a shard is up to its tree. A shard of more than
+  ``TILE`` members is cut into tiles by hash, and each pair of tiles is a task: one tile's tree, searched by the other's.
+* beyond, for similar word sets: nodes are the distinct shingle sets, and shard keys are ``BANDS`` bands of ``ROWS`` minima
+  of independent hashes over the shingles. Two sets of Jaccard similarity s share a key but for a chance of
+  (1 - s ** 3) ** 18, which is 3 in a million at 0.8, whatever their fingerprints. Shards of equal members are searched
+  once. No Hamming distance bounds the similarity, so the tree only finds links early; what it leaves apart is counted by
+  shared shingles. Every pair is decided by its two whole sets.
+
+A set can only be linked if the least similarity's share of its shingles occurs in another set of the shard. Sets that fall
+short are dropped before any pair is looked at, and again while that makes others fall short: of a shard of unlike
+documents with one passage in common nothing is left. Small shards go to tasks by the thousand. A shard of more than
+``WEIGHT`` shingles is first thinned in the same way by joins, and its sets are held against the one that has most in
+common with the others; those linked to it need not be compared with one another. Only the sets not linked to it meet each
+other and the linked ones, by pairs of tiles. So no shard has to fit a task, and none is capped.
 
 Defined cases: a null, empty or blank text has fingerprint 0 and links like any other; fewer words than a shingle has
-make one shingle; ids may repeat or be null (a null id is never the smallest); an empty table gives no rows.
+make one shingle; ids may repeat or be null (a null id is never the smallest); an empty table gives no rows; of other
+columns only :func:`deduplicate` returns any, all as they are, whatever their names but those that start with ``dedup_``.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, known_small, per_batch, stored
+from .common import by_value, per_batch, stored
 from .graph import Forest, components
 
-TILE = 1000
-CHUNK = 2000
-SKETCH = 128
-#: Three standard deviations of the similarity that a sketch gives at 0.8.
-DOUBT = 0.1
-#: A sketch shows 0.8 as less than 0.6 in under 2 of a million pairs (Chernoff: exp(-128 KL(0.6, 0.8)) is 1.5e-6), no more than shards miss.
-LOST = 0.2
-KEYS = 8
-#: Hamming distance within which the tree looks for texts of similarity 0.8: 64 bits differ in 10 on average there. Not a limit.
-RADIUS = 18
+#: Members of a shard on average, and the most that one tree holds, of fingerprints within 2 bits.
+SHARD, TILE = 500, 2000
+BLOCKS = ((0, 22), (22, 21), (43, 21))
+BANDS, ROWS = 18, 3
+#: Shingles that one task takes of similar sets: 4 bytes each.
+WEIGHT = 4_000_000
+#: Hamming distance within which the tree finds similar sets early: at similarity 0.8 some 10 of 64 bits differ. Not a limit.
+RADIUS = 8
+#: Odd factors of the minima's hashes: the shingles' own hashes are uniform, and a product with an odd number permutes them.
+FACTORS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 1) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -74,57 +76,20 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
-def sets(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Of the distinct shingles: an id of the set, minima of ``KEYS`` hashes as shard keys, and 31-bit hashes in order."""
+def sets(hashes: np.ndarray) -> tuple[int, int, list[int], np.ndarray]:
+    """Of the distinct shingles: their fingerprint, an id of the set, its bands, and the 31-bit hashes in order."""
     own = np.unique(hashes)
     node = xxhash.xxh64_intdigest(own.astype("<u8").tobytes()) - (1 << 63)
     if not len(own):
-        return node, np.empty(0, np.int64), np.empty(0, np.int32)
-    keys = []
+        return 0, node, [], np.empty(0, np.int32)
+    least = np.full(len(FACTORS), (1 << 64) - 1, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(KEYS):
-            mixed = (own ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            keys.append(int((mixed ^ (mixed >> np.uint64(29))).min()) & (1 << 62) - 1)
+        for at in range(0, len(own), 8192):
+            least = np.minimum(least, (own[at : at + 8192, None] * FACTORS).min(axis=0))
         mixed = (own ^ (own >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return node, np.array(keys, np.int64), np.unique((mixed >> np.uint64(33)).astype(np.int32))
-
-
-def similarity(a: frozenset, b: frozenset, least: float = 0.0) -> tuple[float, bool]:
-    """Jaccard similarity of two sets from their smallest hashes, and whether it is exact; 0 if it is below ``least``."""
-    both = len(a & b)
-    if len(a) < SKETCH and len(b) < SKETCH:
-        return both / (len(a) + len(b) - both) if a or b else 1.0, True
-    if both < least * SKETCH:
-        return 0.0, False
-    last = sorted(a | b)[SKETCH - 1]
-    return sum(x <= last for x in a & b) / SKETCH, False
-
-
-def possible(a: np.ndarray, b: np.ndarray, n: int, m: int, least: float) -> bool:
-    """Whether sets of n and m members, of which a and b are the smallest ``SKETCH``, can have the similarity at all."""
-    last = min(a[-1] if len(a) < n else b[-1], b[-1] if len(b) < m else a[-1]) if len(a) < n or len(b) < m else max(a[-1], b[-1])
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    most = min(n - np.searchsorted(a, last, "right"), m - np.searchsorted(b, last, "right")) + both
-    return most >= least * (n + m - most) - 1e-9
-
-
-def sharing(sketch: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float):
-    """Blocks of pairs whose sketches share as much as the similarity needs, whatever their fingerprints."""
-    sizes = np.array([len(x) for x in sketch])
-    values, owner = np.concatenate([sketch[x] for x in left]), np.repeat(np.arange(len(left)), sizes[left])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    for begin in range(0, len(right), 32):
-        who = right[begin : begin + 32]
-        wanted, of = np.concatenate([sketch[x] for x in who]), np.repeat(np.arange(len(who)), sizes[who])
-        first = np.searchsorted(values, wanted, "left")
-        counts = np.searchsorted(values, wanted, "right") - first
-        at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        shared = np.bincount(np.repeat(of, counts) * len(left) + owner[at], minlength=len(who) * len(left)).reshape(len(who), len(left))
-        a, b = sizes[who][:, None], sizes[left][None]
-        i, j = np.nonzero(shared >= np.where((a < SKETCH) & (b < SKETCH), least / (1 + least) * (a + b), (least - LOST) * SKETCH) - 1e-9)
-        yield who[i], left[j]
+    rows = least.reshape(BANDS, ROWS)
+    bands = [xxhash.xxh64_intdigest(rows[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+    return fingerprint(own), node, bands, np.unique((mixed >> np.uint64(33)).astype(np.int32))
 
 
 class Tree:
@@ -132,6 +97,7 @@ class Tree:
 
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
+        self.looked = 0
         item = np.arange(1, len(values))
         at, parents, distances, children = np.zeros(len(item), np.int64), [], [], []
         while len(item):
@@ -152,13 +118,14 @@ class Tree:
     def near(self, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the values wanted, of the tree's values within the radius, and their distances.
 
-        From a node at distance d only the edges from d - radius to d + radius are followed.
+        From a node at distance d only the edges from d - radius to d + radius are followed. ``looked`` counts the distances.
         """
         out = []
         for begin in range(0, len(wanted) if len(self.values) else 0, 256):
             who = np.arange(begin, min(begin + 256, len(wanted)))
             node = np.zeros(len(who), np.int64)
             while len(who):
+                self.looked += len(who)
                 d = np.bitwise_count(wanted[who] ^ self.values[node]).astype(np.int64)
                 hit = d <= radius
                 out.append((who[hit], node[hit], d[hit]))
@@ -171,145 +138,225 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, empty)
 
 
-def links(group: pd.DataFrame, radius: int, least: float, whole: bool = False) -> list[tuple[int, int, bool]]:
-    """A spanning forest of the links of one shard, or between two tiles of one.
+def near_links(group: pd.DataFrame, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the radius of one shard, or between two tiles of one."""
+    values, nodes, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["node"].tolist(), group["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side)
+    two = bool(len(left) and len(right))
+    if not two:
+        left = right = np.arange(len(side))
+    tree, forest, out = Tree(values[left]), Forest(len(nodes)), []
+    for begin in range(0, len(right), 256):  # so that a group of near copies never has all its pairs in memory
+        who, at, _ = tree.near(values[right[begin : begin + 256]], radius)
+        i, j = right[begin + who], left[at]
+        on = slice(None) if two else i > j
+        for a, b in zip(i[on].tolist(), j[on].tolist(), strict=True):
+            if forest.join(a, b):
+                out.append((nodes[a], nodes[b]))
+    return out
 
-    With ``least`` the nodes for which a sketch is not enough follow, as links to themselves that are not sure. With ``whole``
-    those pairs are decided by all shingles instead, and only their links are returned.
+
+def peeled(grams: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets that can be linked at all, and the shingles that at least two of them hold, as (owner, shingle) in order of owner.
+
+    Similar sets share the least similarity's part of either, so a set that has less of it in common with all others has no
+    link; without it others may fall short.
     """
-    values, nodes, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["node"].tolist(), group["side"].to_numpy()
-    grams, size = (group["grams"].tolist(), group["size"].tolist()) if least else (None, None)
-    short = [x[:SKETCH] for x in grams] if least else None
-    sketch = [frozenset(x.tolist()) for x in short] if least else None
-    forest, out, marked = Forest(len(values)), [], np.zeros(len(values), bool)
+    sizes = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    _, what, counts = np.unique(np.concatenate(grams) if len(owner) else np.empty(0, np.int32), return_inverse=True, return_counts=True)
+    needed, alive = least * sizes - 1e-9, np.ones(len(grams), bool)
+    while True:
+        on = counts[what] > 1
+        owner, what = owner[on], what[on]
+        keep = np.bincount(owner, minlength=len(grams)) >= needed
+        gone = alive & ~keep
+        if not gone.any():
+            return np.flatnonzero(alive), owner, what
+        alive &= keep
+        on = alive[owner]
+        counts = counts - np.bincount(what[~on], minlength=len(counts))
+        owner, what = owner[on], what[on]
+
+
+def similar_links(nodes: list[int], fps: np.ndarray, grams: list[np.ndarray], least: float, radius: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose similarity is at least ``least``.
+
+    ``joined`` marks sets that are known to be connected with one another.
+    """
+    sizes, out = np.array([len(g) for g in grams]), []
 
     def linked(i: int, j: int) -> bool:
-        if not least:
-            return True
-        close, exact = similarity(sketch[i], sketch[j], least - LOST)
-        if exact or not least - LOST <= close < least + DOUBT:
-            return close >= least
-        if not possible(short[i], short[j], size[i], size[j], least):
-            return False
-        if not whole:
-            marked[[i, j]] = True
+        n, m = sizes[i], sizes[j]
+        if min(n, m) < least * max(n, m) - 1e-9:
             return False
         both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-        return both >= least * (len(grams[i]) + len(grams[j]) - both) - 1e-9
-
-    def roots() -> np.ndarray:
-        return np.array([forest.find(x) for x in range(len(nodes))])
-
-    def settle(i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            for a, b in zip(i[:CHUNK].tolist(), j[:CHUNK].tolist(), strict=True):
-                if forest.find(a) != forest.find(b) and not (marked[a] and marked[b]) and linked(a, b):
-                    forest.join(a, b)
-                    out.append((nodes[a], nodes[b], True))
-            i, j = i[CHUNK:], j[CHUNK:]
-            if len(i):
-                root = roots()
-                on = (root[i] != root[j]) & ~(marked[i] & marked[j])  # two marked nodes are left to the second pass
-                i, j = i[on], j[on]
-
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side) if side.any() and len(left) else np.arange(len(side))
-    left = left if len(left) and side.any() else right
-    two, tree = bool(side.any() and (side == 0).any()), Tree(values[left])
-    for begin in range(0, len(right), 256):  # so that a group of near copies never has all its pairs in memory
-        who, at, d = tree.near(values[right[begin : begin + 256]], radius)
-        i, j = right[begin + who], left[at]
-        root = roots()
-        on = ((i != j) if two else (i > j)) & (root[i] != root[j]) & ~(marked[i] & marked[j])
-        order = np.argsort(d[on], kind="stable")  # near pairs first: they connect most, and what is connected is not looked at
-        settle(i[on][order], j[on][order])
-    if least and len(nodes):
-        root = roots()
+        return both >= least * (n + m - both) - 1e-9
+
+    if len(nodes) == 2:
+        return [(nodes[0], nodes[1])] if linked(0, 1) else []
+    alive, owner, what = peeled(grams, least)
+    if len(alive) < 2:
+        return out
+    forest = Forest(len(nodes))
+    if joined is not None and joined.any():
+        first, *rest = np.flatnonzero(joined).tolist()
+        for i in rest:
+            forest.join(first, i)
+
+    def settle(i: int, j: int) -> None:
+        if forest.find(i) != forest.find(j) and linked(i, j) and forest.join(i, j):
+            out.append((nodes[i], nodes[j]))
+
+    def apart() -> np.ndarray:
+        """The sets outside the largest component, whose own pairs need no look."""
+        root = np.array([forest.find(x) for x in alive.tolist()])
         found, counts = np.unique(root, return_counts=True)
-        apart = root != found[counts.argmax()]  # pairs within the largest group need no second look
-        for some, others in [(right[apart[right]], left), (right[~apart[right]], left[apart[left]])][: 1 + two]:
-            for i, j in sharing(short, others, some, least) if len(some) and len(others) else ():
-                root = roots()
-                on = (root[i] != root[j]) & ~(marked[i] & marked[j])
-                settle(i[on], j[on])
-    return out + [(nodes[x], nodes[x], False) for x in np.flatnonzero(marked).tolist()]
+        return alive[root != found[counts.argmax()]]
+
+    tree = Tree(fps[alive])
+    for begin in range(0, len(alive), 256):  # nearest first: they connect most, and what is connected is not looked at
+        rest = alive[begin : begin + 256]
+        who, at, d = tree.near(fps[rest], radius)
+        order = np.argsort(d, kind="stable")
+        for i, j in zip(rest[who][order].tolist(), alive[at][order].tolist(), strict=True):
+            settle(i, j)
+    by_owner = np.searchsorted(owner, np.arange(len(nodes) + 1))
+    order = np.argsort(what, kind="stable")
+    holder = owner[order]
+    start = np.searchsorted(what[order], np.arange(what.max() + 2))
+    todo = apart()
+    lengths = (start[what + 1] - start[what]).astype(np.int64)
+    work = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.full(len(nodes), -1)
+    place[alive] = np.arange(len(alive))
+    at = 0
+    while at < len(todo):  # queries in blocks of bounded work and memory
+        end, load = at, 0
+        while end < len(todo) and (end == at or load < 4_000_000) and (end - at + 1) * len(alive) <= 8_000_000 + len(alive):
+            load += int(work[by_owner[todo[end] + 1]] - work[by_owner[todo[end]]])
+            end += 1
+        who = todo[at:end]
+        at = end
+        spans = np.concatenate([np.arange(by_owner[x], by_owner[x + 1]) for x in who.tolist()])
+        of = np.repeat(np.arange(len(who)), by_owner[who + 1] - by_owner[who])
+        n = lengths[spans]
+        hits = np.repeat(start[what[spans]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(np.repeat(of, n) * len(alive) + place[holder[hits]], minlength=len(who) * len(alive)).reshape(len(who), len(alive))
+        i, j = np.nonzero(shared >= least / (1 + least) * (sizes[who][:, None] + sizes[alive][None]) - 1e-9)
+        for a, b in zip(who[i].tolist(), alive[j].tolist(), strict=True):  # the counts are of whole sets, and so decide
+            if forest.join(a, b):
+                out.append((nodes[a], nodes[b]))
+    return out
 
 
 def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """``(key, fp, node)`` of every document, and with ``similar`` also shard keys, all shingles' hashes and the text's hash ``seen``.
+    """``(key, fp, node)`` of every document, and with ``similar`` also bands, all shingles' hashes and the text's hash ``seen``.
 
     With ``similar`` the fingerprint is of the distinct shingles, as the similarity is.
     """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        hashes = [shingle_hashes(t, k) for t in batch["text"]]
-        out = pd.DataFrame({"key": batch["key"], "fp": np.array([fingerprint(np.unique(h) if similar else h) for h in hashes], np.uint64).astype(np.int64)})
+        out = pd.DataFrame({"key": batch["key"]})
         if similar:
-            out["node"], out["keys"], out["grams"] = zip(*map(sets, hashes), strict=True) if hashes else ([], [], [])
-            out["seen"] = batch["seen"]
-        return out
+            found = [sets(shingle_hashes(t, k)) for t in batch["text"]]
+            out["fp"] = np.array([f for f, *_ in found], np.uint64).astype(np.int64)
+            out["node"], out["bands"], out["grams"] = ([f[i] for f in found] for i in (1, 2, 3))
+            return out.assign(size=[len(f[3]) for f in found], seen=batch["seen"])
+        return out.assign(fp=np.array([fingerprint(shingle_hashes(t, k)) for t in batch["text"]], np.uint64).astype(np.int64))
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = "key string, fp long" + ", node long, keys array<long>, grams array<int>, seen long" * similar
+    schema = "key string, fp long" + ", node long, bands array<long>, grams array<int>, size int, seen long" * similar
     seen = [F.xxhash64(text).alias("seen")] * similar
     rows = per_batch(run, docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *seen), schema).withColumn("key", F.col("key").cast(kind))
     return rows if similar else rows.withColumn("node", F.col("fp"))
 
 
-SHARD = ["part", "value", "a", "b"]
-
-
-def searched(dealt: DataFrame, radius: int, least: float, whole: bool = False) -> DataFrame:
-    """``links`` of every shard: ``(u, v, sure)`` and the shard."""
+def within(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(u, v)``: forests of the fingerprints ``node`` that differ in ``radius`` bits, 2 at most."""
+    bits = max(0, min(21, int(np.log2(max(1, nodes.count() / SHARD)))))
+    keys = [F.struct(F.lit(p).alias("part"), F.shiftrightunsigned("node", at + wide - bits).bitwiseAND((1 << bits) - 1).alias("value")) for p, (at, wide) in enumerate(BLOCKS)]
+    dealt = nodes.select("node", F.explode(F.array(*keys)).alias("s")).select("node", "s.part", "s.value")
+    shards = dealt.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = dealt.join(F.broadcast(shards), ["part", "value"])  # 3 * 2 ** 21 rows at most
+    dealt = dealt.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # in the pair (t, t) all are on side 0; in (a, b) tile a is on side 0 and tile b on side 1
+    dealt = dealt.select("part", "value", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.col("node").alias("fp"), "node", (F.col("tile") > F.col("other")).cast("int").alias("side"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(links(group, radius, least, whole), columns=["u", "v", "sure"]).astype({"u": "int64", "v": "int64", "sure": bool})
-        return out.assign(**{c: group[c].iloc[0] for c in SHARD})
+        return pd.DataFrame(near_links(group, radius), columns=["u", "v"], dtype="int64")
 
-    return dealt.groupBy(*SHARD).applyInPandas(run, "u long, v long, sure boolean, part int, value long, a int, b int")
+    return dealt.groupBy("part", "value", "a", "b").applyInPandas(run, "u long, v long")
 
 
-def decided(rows: DataFrame, dealt: DataFrame, found: DataFrame, radius: int, least: float, most_broadcast: int = 2_000_000) -> DataFrame:
-    """Links among the marked nodes, by their whole shingle sets."""
-    marked = found.where("not sure").select(F.col("u").alias("node"), *SHARD)
-    ends = known_small(marked.select("node").distinct(), most_broadcast)
-    grams = stored(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")).withColumn("size", F.size("grams")), "doubtful-sets")
-    again = dealt.select("node", "side", *SHARD).join(marked, ["node", *SHARD]).join(grams, "node")
-    return searched(again, radius, least, whole=True)
+def alike(rows: DataFrame, chosen: DataFrame, radius: int, least: float) -> DataFrame:
+    """``(u, v)``: forests of the sets whose similarity is at least ``least``; of the stored ``rows`` those that ``chosen`` names."""
+    dealt = rows.select("row", "node", "size", "bands").join(chosen, "row").select("row", "node", "size", F.posexplode("bands").alias("part", "value"))
+    shards = dealt.groupBy("part", "value").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
+    shards = stored(shards.groupBy("n", "weight", "who").agg(F.min(F.struct("part", "value")).alias("s")).select("s.part", "s.value", "weight"), "shards")
+    lanes = int((shards.where(F.col("weight") <= WEIGHT).agg(F.sum("weight")).first()[0] or 0) // (WEIGHT // 2) + 1)
+    dealt = stored(dealt.select("row", "node", "part", "value").join(shards, ["part", "value"]), "dealt")
+    whole = rows.select("row", "fp", "grams")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, shard in group.groupby(["part", "value"], sort=False):
+            out += similar_links(shard["node"].tolist(), shard["fp"].to_numpy(np.int64).view(np.uint64), shard["grams"].tolist(), least, radius, shard["joined"].to_numpy() if "joined" in shard else None)
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    small = dealt.where(F.col("weight") <= WEIGHT).withColumn("lane", F.pmod(F.xxhash64("part", "value"), F.lit(lanes)))
+    found = small.select("lane", "part", "value", "row", "node").join(whole, "row").groupBy("lane").applyInPandas(run, "u long, v long")
+    if shards.where(F.col("weight") > WEIGHT).isEmpty():
+        return found
+    return found.union(alike_in_large(stored(dealt.where(F.col("weight") > WEIGHT).select("part", "value", "row", "node").join(whole, "row").drop("row"), "large-shards"), run, least))
+
+
+def alike_in_large(rows: DataFrame, run, least: float, rounds: int = 3) -> DataFrame:
+    """The links of shards that no task can hold: ``rows`` are ``(part, value, node, fp, grams)``."""
+    shard = ["part", "value"]
+    for n in range(rounds):  # sets that share too little with all others of the shard have no link
+        held = rows.select(*shard, "node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+        often = held.groupBy(*shard, "gram").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        shared = held.join(often, [*shard, "gram"]).groupBy(*shard, "node").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+        shared = stored(shared.where(F.col("shared") >= F.col("size") * least - 1e-9), "large-shared")
+        rows = stored(rows.drop("shared").join(shared.drop("size"), [*shard, "node"]), "large-peeled")
+    middle = rows.groupBy(*shard).agg(F.max_by("node", F.struct(F.col("shared") / F.size("grams"), "node")).alias("middle"))
+    middle = stored(rows.join(middle, [*shard]).where("node = middle").select(*shard, "middle", F.col("grams").alias("its")), "large-middles")
+    both = F.size(F.array_intersect("grams", "its"))
+    rows = rows.join(middle, shard).withColumn("joined", both >= (F.size("grams") + F.size("its") - both) * least - 1e-9).drop("its", "shared")
+    rows = stored(rows, "large-joined")
+    tiles = rows.groupBy(*shard).agg(*[F.ceil(F.sum(F.when(F.col("joined") == j, F.size("grams")).otherwise(0)) / (WEIGHT / 2)).cast("int").alias(n) for n, j in (("on", True), ("off", False))])
+    rows = rows.join(tiles, shard)
+    tile = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("joined"), F.col("on")).otherwise(F.col("off")), F.lit(1))).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    # linked sets meet the tiles of those that are not, and those meet one another too
+    met = F.when(F.col("joined"), F.transform(upto("off"), lambda o: F.struct(o.alias("a"), (-1 - tile).alias("b")))).otherwise(
+        F.concat(F.transform(upto("on"), lambda o: F.struct(tile.alias("a"), (-1 - o).alias("b"))), F.transform(upto("off"), lambda o: F.struct(F.least(tile, o).alias("a"), F.greatest(tile, o).alias("b"))))
+    )
+    dealt = rows.select(*shard, "node", "fp", "grams", "joined", F.explode(met).alias("m")).select("*", "m.a", "m.b").drop("m")
+    found = dealt.groupBy(*shard, "a", "b").applyInPandas(run, "u long, v long")
+    return found.union(rows.where("joined and node <> middle").select(F.col("middle").alias("u"), F.col("node").alias("v")))
 
 
 def _grouped(docs: DataFrame, k: int, radius: int, least: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``fingerprints``, stored, and ``(node, first)``: the first row of the node's group.
+    """The rows of ``fingerprints``, stored, and ``(node, first)``, stored: the first row of the node's group.
 
     That is its smallest key; with ``least`` a struct of the smallest key, null last, and the smallest ``seen`` under it.
     """
-    rows = stored(fingerprints(docs, k, key, text, bool(least)), "fingerprints")
+    rows = fingerprints(docs, k, key, text, bool(least))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()) if least else rows, "fingerprints")
     head = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "seen")) if least else F.min("key")
-    more = [F.first("keys").alias("keys"), F.first("size").alias("size"), F.slice(F.first("grams"), 1, SKETCH).alias("sketch")] if least else []
-    slim = rows.withColumn("size", F.size("grams")).withColumn("grams", F.slice("grams", 1, SKETCH)) if least else rows  # whole sets are not shuffled here
-    nodes = stored(slim.groupBy("node").agg(head.alias("first"), F.first("fp").alias("fp"), *more), "distinct-fingerprints")
-    if least:
-        dealt = nodes.select("node", F.posexplode("keys").alias("part", "value"))
-    else:
-        block = lambda b: F.shiftrightunsigned("node", 16 * b).bitwiseAND(0xFFFF)
-        pairs = [F.struct(F.lit(i).alias("part"), (block(a) * 65536 + block(b)).alias("value")) for i, (a, b) in enumerate(combinations(range(4), 2))]
-        dealt = nodes.select("node", F.explode(F.array(*pairs)).alias("s")).select("node", "s.part", "s.value")
-    shards = dealt.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = dealt.join(shards, ["part", "value"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("node", "part", "value", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    # in the pair (t, t) all are on side 0; in (a, b) tile a is on side 0 and tile b on side 1
-    dealt = dealt.withColumn("part", F.col("part").cast("int")).withColumn("value", F.col("value").cast("long"))
-    if least:
-        dealt = stored(dealt, "dealt")
-        found = stored(searched(dealt.join(nodes.select("node", "fp", "size", F.col("sketch").alias("grams")), "node"), radius, least), "links")
-        found = found.where("sure").union(decided(rows, dealt, found, radius, least))
+    nodes = stored(rows.groupBy("node").agg(head.alias("first"), *([F.min("row").alias("row")] if least else [])), "distinct-fingerprints")
+    if least:  # one row of each set, known by its number: equal sets of many rows meet nowhere
+        found = alike(rows, nodes.select("row"), radius, least)
     else:
-        found = searched(dealt.withColumn("fp", F.col("node")), radius, least)
-    found = components(found.select("u", "v")).join(nodes.select("node", "first"), "node")
-    firsts = found.groupBy("root").agg(F.min("first").alias("of_all"))
-    linked = found.join(firsts, "root").select("node", "of_all")
-    return rows, nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
+        found = within(nodes, radius)
+    found = stored(components(found).join(nodes.select("node", "first"), "node"), "linked")
+    firsts = stored(found.groupBy("root").agg(F.min("first").alias("of_all")), "group-firsts")
+    linked = found.select("node", "root").join(firsts, "root").select("node", "of_all")
+    known = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
+    return rows, stored(known, "firsts")
 
 
 def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,9 +381,11 @@ def deduplicate(docs: DataFrame, k: int = 5, radius: int = RADIUS, least: float
     rows, nodes = _grouped(docs, k, radius, least, key, text)
     keep = nodes.select("first.key", "first.seen").distinct()
     blank = rows.where(F.col("key").isNull() & (F.size("grams") == 0)).agg(F.min("seen").alias("seen")).where("seen is not null")
-    keep = keep.union(blank.select(F.lit(None).cast(docs.schema[key].dataType), "seen")).toDF("_kept", "_of").distinct()
-    some = docs.withColumn("_seen", F.xxhash64(text)).join(keep, F.col(key).eqNullSafe(F.col("_kept")) & (F.col("_seen") == F.col("_of")))
-    return some.dropDuplicates([key, "_seen"]).drop("_kept", "_of", "_seen")
+    keep = keep.union(blank.select(F.lit(None).cast(docs.schema[key].dataType), "seen"))
+    known = lambda c, seen: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("dedup_key"), F.col(c).isNull().alias("dedup_none"), seen.alias("dedup_seen")]
+    names = ["dedup_key", "dedup_none", "dedup_seen"]
+    keep = stored(keep.select(*known("key", F.col("seen"))).distinct(), "kept-rows")
+    return docs.select("*", *known(key, F.xxhash64(text))).join(keep, names).dropDuplicates(names).select(*docs.columns)
 
 
 by_value(__name__)
