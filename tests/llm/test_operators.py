@@ -25,7 +25,8 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame([(*r, 7, "clash") for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, size string").cache()
+    names = "size key node seen fp row lane target taken spans score piece start length shard slot llr kept n_words _s _size _whole _copy _last _kept _seen".split()
+    return spark.createDataFrame([(*r, 7, *["clash"] * len(names)) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)).cache()
 
 
 @pytest.fixture(scope="session")
@@ -44,7 +45,7 @@ def labels(spark):
 
 
 def inputs(odd, docs, none):
-    return [odd.drop("size"), docs, none.drop("size")]
+    return [odd, docs, none]
 
 
 def test_sharding(spark, odd, docs, none):
@@ -79,7 +80,6 @@ def test_packing(spark, odd, docs, none):
 
     path, pattern = queries.tokenizer()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     for table in inputs(odd, docs, none):
         want, tokens = Counter(), 0
         for r in table.collect():
@@ -103,6 +103,17 @@ def test_packing(spark, odd, docs, none):
         assert len(held) <= max(math.ceil(tokens / 2048) * 1.06 + 2, 0)
 
 
+def test_patterns_of_all_sizes():
+    rng = np.random.default_rng(0)
+    for n in (2_000_000, 2000):
+        have = np.bincount(np.clip(rng.lognormal(6, 1, n).astype(int), 1, 2048), minlength=2049)
+        found = packing.patterns(have, 2048)
+        sizes = Counter(map(len, found))
+        assert {*sizes} == {2, 3, 4} and max(sizes[3], sizes[4]) <= packing.MOST and len({*found}) == len(found)
+        assert all(sum(p) == 2048 and [*p] == sorted(p) and have[[*p]].all() for p in found)
+    assert packing.patterns(np.bincount([512, 2048], minlength=2049), 2048) == [(512, 512, 512, 512)]
+
+
 def test_plan_uses_every_length_once():
     rng = np.random.default_rng(0)
     lengths = np.clip(rng.lognormal(6, 1, 20_000).astype(int), 1, 2048)
@@ -166,7 +177,12 @@ def test_quality_rules(spark, odd, docs, none, labels):
         good = {r.doc_id for r in trusted.collect()}
         raw, target = Counter(), Counter()
         size = quality_rules.BUCKETS  # parts as PARTS has them, for texts without combining marks
-        parts = lambda t: [xxhash.xxh64_intdigest(p.encode(), 42) % size for p in re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", t or "")]
+        def parts(t):
+            own = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", t or "")
+            first = [xxhash.xxh64_intdigest(p.encode(), 42) for p in own]
+            raw = [h.to_bytes(8, "little") for h in first]
+            return [h % size for h in first] + [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) % size for a, b in zip(raw, raw[1:], strict=False)]
+
         for r in own:
             raw.update(p := parts(r.text))
             if r.doc_id in good:
@@ -183,6 +199,37 @@ def test_quality_rules(spark, odd, docs, none, labels):
     assert {r.kept for r in quality_rules.judge(docs, trusted.where("false")).where("not base_failed").collect()} == {True}
 
 
+def test_trusted_ids_beyond_a_broadcast(docs, labels):
+    trusted = labels.where("quality = 1")
+    want = quality_rules.log_ratios(docs, trusted)
+    assert quality_rules.log_ratios(docs, trusted, most_broadcast=10) == want and any(want)
+
+
+def test_repeated_words_are_exact(spark, monkeypatch):
+    """Places beside hashes, for short texts as for long ones; and a text of a million words, of which few are repeated."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, top, n)) for n in (2, 3, 40, 400) for top in (2, 8, 40, 10**9)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for packed in (quality_rules.PACKED, 3):
+        monkeypatch.setattr(quality_rules, "PACKED", packed)
+        assert [r.n_repeat_words for r in quality_rules.base_counts(table).orderBy("doc_id").collect()] == [brute_counts(t)[4] for t in texts]
+    words = [f"w{i}" for i in range(1_000_000)]
+    words[900_000:900_005] = words[5:10]
+    big = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    assert quality_rules.base_counts(big).first().n_repeat_words == 10
+
+
+def test_order_of_words_counts(spark):
+    """A text of trusted words in a wrong order scores below the text itself."""
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(words[a : a + 60]) for a in rng.integers(0, 240, 60)]
+    mixed = [" ".join(rng.permutation(t.split())) for t in texts]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + mixed)], "doc_id long, text string")
+    got = {r.doc_id: r.llr for r in quality_rules.judge(table, table.where("doc_id < 60").select("doc_id")).collect()}
+    assert min(got[i] for i in range(60)) > max(got[i] for i in range(60, 120))
+
+
 def test_quality_rules_keeps_the_good(spark, docs, labels):
     rows = quality_rules.judge(docs, labels.where("quality = 1")).where("not base_failed").join(labels, "doc_id").where("kept").collect()
     assert {r.quality for r in rows} == {1}
@@ -257,6 +304,52 @@ def test_secret_scans(spark, odd, docs, none):
     assert all(not secrets.find(t) for t in clean[:-1])
 
 
+def segment_cost(value):
+    """Guesses (log10) of a value as one word, repeat, walk, date or brute-force character; infinite if it is none."""
+    low, n, out = value.lower(), len(value), math.inf
+    one = lambda c: 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
+    two = math.log10(2)
+    if n == 1:
+        return one(value)
+    rank = secrets.WORDS.get(low) or 2 * secrets.WORDS.get(low.translate(secrets.LEET), 0)
+    if n >= 3 and rank:
+        out = math.log10(rank + 1) + two + (0 if value == low else two if value[0] != low[0] else math.log10(n + 1))
+    for unit in (1, 2, 3, 4):
+        if n - unit >= max(2, unit) and all(value[i] == value[i - unit] for i in range(unit, n)):
+            out = min(out, sum(map(one, value[:unit])) + math.log10(n / unit + 1) + two)
+    if n >= 3 and all((a, b) in secrets.BESIDE for a, b in zip(low, low[1:], strict=False)):
+        out = min(out, math.log10(47) + 2 * math.log10(n) + two)
+    if 4 <= n <= 10 and secrets.DATE.fullmatch(value):
+        out = min(out, math.log10(365 * 120) + two)
+    return out
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    """All segmentations of short values; a run of a repeat or a walk may be taken from any place on."""
+    rng = np.random.default_rng(9)
+    pieces = ["pass", "p4ss", "Admin", "qwe", "asdf", "12", "1999", "aaa", "abab", "X", "#", "é", "token", "31.12.99", "zz"]
+    values = ["".join(rng.choice(pieces, k)) for k in (1, 2, 3) for _ in range(25)] + ["".join(rng.choice([*"aA1qw#"], 8)) for _ in range(25)]
+    for value in values:
+        best = [0.0] + [math.inf] * len(value)
+        for j in range(1, len(value) + 1):
+            best[j] = min(best[i] + segment_cost(value[i:j]) for i in range(j))
+        assert best[-1] - 1e-9 <= secrets.guess_cost(value), value
+        assert secrets.guess_cost(value) <= best[-1] + 1e-9, (value, secrets.guess_cost(value), best[-1])
+
+
+def test_guess_spans_recall_and_precision():
+    """Random values are found, words and dates are not; at the threshold, with a vocabulary as without."""
+    rng = np.random.default_rng(10)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#%&*+"]
+    hard = ["".join(rng.choice(letters, rng.integers(12, 30))) for _ in range(300)]
+    easy = [a + b for a in ("password", "changeme", "example", "Summer", "qwerty", "admin") for b in ("1999", "123", "2024-01-02", "aaaaaaa", "!", "")]
+    for vocabulary in (None, queries.tokenizer()[0]):
+        found = [bool(secrets.find(f"pwd: {v} .", vocabulary=vocabulary)) for v in hard]
+        assert np.mean(found) > 0.99
+        assert not [v for v in easy if secrets.find(f"pwd: {v} .", vocabulary=vocabulary)]
+    assert secrets.guess_cost("correcthorsebatterystaple", queries.tokenizer()[0]) < secrets.guess_cost("correcthorsebatterystaple")
+
+
 def test_secret_contexts(spark):
     """Prefixed keywords, values with separators in them, and values that go beyond a base span."""
     hard = "Kd8sWq2pLx#9vT!m4Zr"
@@ -379,14 +472,45 @@ def test_similar_pairs_beyond_the_radius(spark):
         assert groups == {k: k - k % 10 if k % 10 < 2 else k for k, _ in docs}
 
 
-def test_possible_is_a_bound():
+def test_peeling_keeps_every_linked_set():
     rng = np.random.default_rng(3)
-    for n, m, both in ((100, 100, 90), (300, 280, 250), (1000, 900, 850), (1000, 1000, 700), (120, 140, 118), (500, 500, 0)):
-        for _ in range(20):
-            pool = rng.permutation(1 << 20)[: n + m - both].astype(np.int32)
-            a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
-            assert both / (n + m - both) < 0.8 or simhash.possible(a[: simhash.SKETCH], b[: simhash.SKETCH], n, m, 0.8)
-    assert not simhash.possible(np.arange(128), np.arange(500, 628), 500, 500, 0.8)
+    grams = []
+    for g in range(6):
+        own = rng.integers(0, 1 << 30, 120)
+        grams += [np.unique(np.concatenate([own[e:], rng.integers(0, 1 << 30, e)])).astype(np.int32) for e in (0, 2, 5, 9, 14, 20, 30, 60)]
+    passage = rng.integers(0, 1 << 30, 60)
+    grams += [np.unique(np.concatenate([passage, rng.integers(0, 1 << 30, 80)])).astype(np.int32) for _ in range(40)]
+    order = rng.permutation(len(grams))
+    grams = [grams[i] for i in order]
+    whole = [{*g.tolist()} for g in grams]
+    links = {(i, j) for i in range(len(grams)) for j in range(i) if len(whole[i] & whole[j]) >= 0.8 * len(whole[i] | whole[j])}
+    alive, owner, what = simhash.peeled(grams, 0.8)
+    assert {x for pair in links for x in pair} <= {*alive.tolist()} and not {*alive.tolist()} & {*np.flatnonzero(order >= 48).tolist()}
+    for radius in (0, simhash.RADIUS):
+        fps = np.array([simhash.fingerprint(g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for g in grams], np.uint64)
+        found = simhash.similar_links([*range(len(grams))], fps, grams, 0.8, radius)
+        assert all((max(p), min(p)) in links for p in found)
+        assert brute_groups([*range(len(grams))], [*range(len(grams))], lambda a, b: (max(a, b), min(a, b)) in {(max(p), min(p)) for p in found}) == brute_groups([*range(len(grams))], [*range(len(grams))], lambda a, b: (max(a, b), min(a, b)) in links)
+
+
+def test_large_shards_give_the_same_groups(spark, monkeypatch):
+    """Shards that are thinned and tiled, and shards of one task each."""
+    rng = np.random.default_rng(6)
+    rows, common = [], [f"common{i}" for i in range(40)]
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(40):
+            own = [*words]
+            for at in rng.choice(120, rng.integers(1, 5), replace=False):
+                own[at] = f"new{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, " ".join(common + [f"u{i}w{j}" for j in range(60)])) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda: {r.doc_id: r.component_id for r in simhash.near_groups(table, k=5, radius=simhash.RADIUS, least=0.8).collect()}
+    want = groups()
+    assert 3 < len({*want.values()}) < len(rows)
+    monkeypatch.setattr(simhash, "WEIGHT", 1000)
+    assert groups() == want
 
 
 def test_components(spark):
