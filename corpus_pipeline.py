@@ -1,7 +1,11 @@
 """A corpus pipeline: quality rules, near-duplicates, secrets, mixture, packing.
 
 Each stage takes what its predecessor kept, as ``(spark, docs, sf_dir)``, and all but the last return the columns of
-``documents``. ``run`` writes each stage's rows to the shared folder and reads them again for the next.
+``documents``. ``run`` writes each stage's rows to the shared folder and reads them again for the next; what else a stage
+has written is removed with its end.
+
+Defined cases are those of the operators: any column may be null, texts empty or of any length, rows repeated and tables
+empty; columns beside those of ``documents`` are left out by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import mixing, packing, quality_rules, queries, secrets, simhash
-from arbora.llm.common import stored
+from arbora.llm.common import scratch, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the values of secrets replaced by a mark."""
-    clean = secrets.redact(_documents(docs))
+    clean = secrets.redact(_documents(docs), vocabulary=queries.tokenizer()[0])
     return _documents(clean.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
@@ -55,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
