@@ -4,15 +4,19 @@ Labelled text of each language goes into a suffix automaton. A text is parsed gr
 automaton; the language that needs fewest phrases wins, with the count normalised by the logarithm of the automaton's
 text length (a phrase costs a pointer into that text) and by the number of characters. Each language has its own alphabet,
 all characters of its sample; others end a phrase. The automata become transition tables, dense for as many languages as
-``DENSE`` bytes hold, those with small tables first, and sorted for the others. The whole text is parsed, in segments of ``SEGMENT`` characters that all advance together; a phrase
-ends where its segment ends.
+``DENSE`` bytes hold, those with small tables first, and sorted for the others.
+
+The whole text is parsed, for all texts of a batch at once: their segments of ``SEGMENT`` characters advance together, each
+from the root. Then every segment is entered again in the state in which its predecessor really ends, until a phrase begins
+where one began before; from there on both parses are one. So phrases are those of the uncut text.
 
 The automata are fitted on a bounded sample: of each language up to ``sample_docs`` labelled documents, chosen by the
 hash of their ids, with ``sample_chars`` characters in all, a window from each quarter of a text that is longer than its
 share. Every labelled language is learned, and everything else covers every document.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled text every text is ``und``;
-ties go to the language first by code point; repeated rows get equal results; an empty table gives no rows.
+ties go to the language first by code point; repeated rows get equal results; an id with several texts is learned from by
+the least of them; an empty table gives no rows. Columns beside key, text and lang are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,47 +124,86 @@ class Models:
                 lengths[at + n - 1] = len(c) - (n - 1) * SEGMENT
                 at += n
         order = np.argsort(-lengths, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        follows = np.zeros(len(owner), bool)
+        follows[1:] = owner[1:] == owner[:-1]
+        after = place[follows]  # segments that continue a text, and the ones before them
+        before = place[np.flatnonzero(follows) - 1]
         by_step, lengths, owner = np.ascontiguousarray(spans[order].T), lengths[order], owner[order]
-        going = np.searchsorted(-lengths, -np.arange(SEGMENT), side="left")  # segments longer than t
         out = np.zeros((len(codes), len(self.tables)))
         for col, (table, own, cost) in enumerate(self.tables.values()):
-            state, phrases = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
-            for t in range(SEGMENT):
-                n = int(going[t])
-                if not n:
-                    break
-                now, c = state[:n], own[by_step[t, :n]]
-                to = table.next(now, c)
-                lost = to == 0
-                again = table.next(np.zeros(int(lost.sum()), np.int32), c[lost])
-                phrases[:n][lost] += (now[lost] > 0).astype(np.int32) + (again == 0)
-                to[lost] = again
-                state[:n] = to
-            phrases += state > 0
+            phrases = phrases_of(table, own[by_step], lengths, before, after)
             out[:, col] = np.bincount(owner, phrases, len(codes)) * cost / np.maximum(sizes, 1)
         return out
 
 
+def step(table: Table, now: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after symbols ``c``, and where a phrase begins with them. State 0 is between phrases."""
+    to = table.next(now, c)
+    lost = to == 0
+    to[lost] = table.next(np.zeros(int(lost.sum()), np.int32), c[lost])
+    return to, lost | (now == 0)
+
+
+def phrases_of(table: Table, symbols: np.ndarray, lengths: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each segment (a column of ``symbols``, longest first) where texts are parsed without a cut."""
+    width, n = symbols.shape
+    going = np.searchsorted(-lengths, -np.arange(width), side="left")  # segments longer than t
+    begins, state = np.zeros((width, n), bool), np.zeros(n, np.int32)
+    for t in range(int(lengths.max(initial=0))):
+        now = slice(0, int(going[t]))
+        state[now], begins[t, now] = step(table, state[now], symbols[t, now])
+    phrases = begins.sum(axis=0)
+    ends, entered = state.copy(), np.zeros(n, np.int32)
+    todo, into = after, ends[before]
+    while len(todo):
+        changed = into != entered[todo]
+        todo, into = todo[changed], into[changed]
+        entered[todo] = into
+        phrases[todo] = begins[:, todo].sum(axis=0)
+        who, now, t, late = todo, into, 0, []
+        while len(who):
+            over = lengths[who] <= t
+            late.append((who[over], now[over]))
+            who, now = who[~over], now[~over]
+            if not len(who):
+                break
+            now, new = step(table, now, symbols[t, who])
+            was = begins[t, who]
+            phrases[who] += new.astype(phrases.dtype) - was
+            on = ~(new & was)
+            who, now, t = who[on], now[on], t + 1
+        # a segment without a place where both parses begin a phrase ends in another state than from the root
+        ended = state.copy()
+        for x, s in late:
+            ended[x] = s
+        moved = np.zeros(n, bool)
+        moved[todo] = ended[todo] != ends[todo]
+        ends[todo] = ended[todo]
+        on = moved[before]
+        todo, into = after[on], ends[before[on]]
+    return phrases
+
+
 def samples(docs: DataFrame, learn, sample_docs: int = 64, sample_chars: int = 24_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
     """Labelled text of every language: at most ``sample_chars`` characters of each, whatever the input."""
-    known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    hashed = F.xxhash64(F.col(key).cast("string"))
-    chosen = known.groupBy(lang, F.pmod(hashed, F.lit(sample_docs)).alias("_lane")).agg(F.min_by(key, hashed).alias("_id")).where("_id is not null").collect()
+    known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    hashed = F.xxhash64(F.col("id").cast("string"))
+    chosen = known.groupBy("lang", F.pmod(hashed, F.lit(sample_docs)).alias("lane")).agg(F.min_by("id", hashed).alias("id")).where("id is not null").collect()
     if not chosen:
         return {}
-    many = Counter(r[lang] for r in chosen)
-    picks = [(r[lang], r["_id"], max(1, sample_chars // many[r[lang]])) for r in chosen]
-    kinds = f"_lang {docs.schema[lang].dataType.simpleString()}, _id {docs.schema[key].dataType.simpleString()}, _most int"
-    picks = F.broadcast(docs.sparkSession.createDataFrame(picks, kinds))  # sample_docs rows a language
-    rows = known.join(picks, (F.col(lang) == F.col("_lang")) & (F.col(key) == F.col("_id")))
-    n, part = F.char_length(text), F.expr("_most div 4")
+    many = Counter(r["lang"] for r in chosen)
+    picks = [(r["lang"], r["id"], max(1, sample_chars // many[r["lang"]])) for r in chosen]
+    picks = F.broadcast(docs.sparkSession.createDataFrame(picks, f"lang {known.schema['lang'].dataType.simpleString()}, id {known.schema['id'].dataType.simpleString()}, most int"))  # sample_docs rows a language
+    n, part = F.char_length("text"), F.expr("most div 4")
     quarter = (n / 4).cast("int")
-    windows = [F.substring(text, quarter * k + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(k)), F.greatest(quarter - part, F.lit(0)) + 1).cast("int") + 1, part) for k in range(4)]
-    taken = F.when(n <= F.col("_most"), F.col(text)).otherwise(F.concat_ws("\n", *windows))
-    rows = rows.select(lang, key, taken.alias("t")).groupBy(lang, key).agg(F.min("t").alias("t")).collect()
+    windows = [F.substring("text", quarter * k + F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(k)), F.greatest(quarter - part, F.lit(0)) + 1).cast("int") + 1, part) for k in range(4)]
+    taken = F.when(n <= F.col("most"), F.col("text")).otherwise(F.concat_ws("\n", *windows))
+    rows = known.join(picks, ["lang", "id"]).select("lang", "id", taken.alias("t")).groupBy("lang", "id").agg(F.min("t").alias("t")).collect()
     out = {}
-    for r in sorted(rows, key=lambda x: (x[lang], x[key])):
-        out.setdefault(r[lang], []).append(r["t"])
+    for r in sorted(rows, key=lambda x: (x["lang"], x["id"])):
+        out.setdefault(r["lang"], []).append(r["t"])
     out = {k: "\n".join(v) for k, v in out.items()}
     return {k: v for k, v in out.items() if LETTER.search(v)}
 

@@ -245,18 +245,23 @@ def test_language_id(spark, odd, docs, none):
     assert language_id.identify(none, {"en": "a"}).collect() == []
 
 
-def test_cross_parsing():
-    text, sample = "abracadabra xyz abra" * 40, "abracad"
-    models = language_id.Models({"x": sample})
-    phrases = 0
-    for at in range(0, len(text), language_id.SEGMENT):
-        part = text[at : at + language_id.SEGMENT]
-        while part:
+def test_cross_parsing(monkeypatch):
+    """Whole texts by longest matches, whatever the segments: phrases shorter and longer than one, and characters that are not known."""
+    rng = np.random.default_rng(7)
+    sample = "abracadabra, " + "".join(rng.choice([*"abcd "], 600))
+    texts = ["abracadabra xyz abra" * 40, "", "zzzz", sample * 3, sample[5:400] + "?" + sample[100:] * 2, *("".join(rng.choice([*"abcd x"], n)) for n in (1, 5, 300, 3000))]
+    want = []
+    for text in texts:
+        phrases, at = 0, 0
+        while at < len(text):
             n = 1
-            while n < len(part) and part[: n + 1] in sample:
+            while at + n < len(text) and text[at : at + n + 1] in sample:
                 n += 1
-            phrases, part = phrases + 1, part[n:]
-    assert models.bits([text, ""])[0, 0] == pytest.approx(phrases * math.log2(len(sample) + 2) / len(text))
+            phrases, at = phrases + 1, at + n
+        want.append(phrases * math.log2(len(sample) + 2) / max(1, len(text)))
+    for segment in (256, 64, 3, 1):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        assert language_id.Models({"x": sample}).bits(texts)[:, 0].tolist() == pytest.approx(want)
 
 
 def test_every_language_is_learned(spark, monkeypatch):
