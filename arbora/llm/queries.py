@@ -79,7 +79,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    sample = training.labelled(docs, _read(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 4) != 2)
+    sample = training.labelled_rows(docs, _read(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 4) != 2)
     return _scored(toxicity.score(docs, toxicity.fit(sample)), 4, 2)
 
 

@@ -6,9 +6,13 @@ beginnings that the labelled sample shows to mark toxic texts, in whatever langu
 voter fires on either class; correlations that the classes leave between voters are estimated from the residuals, and a voter
 counts the less, the more it repeats others. A linear classifier is then trained on the posterior labels, and scores.
 
-Lexicon and models are fitted on a bounded sample of labelled rows (``most``, see :func:`training.labelled`); every document
-is scored on its whole text. Defined cases: a null or empty text has no hits and a score like any other; without a sample the
-seed lexicon alone votes; repeated rows get equal scores; an empty table gives no rows.
+Lexicon and models are fitted on a bounded sample of labelled rows (``most``, see :func:`training.labelled_rows`); every
+document is scored on its whole text. Texts stay on the executors: the driver gets the lexicon's candidates with their counts,
+and of each sampled row the entries that are not zero.
+
+Defined cases: a null or empty text has no hits and a score like any other; without a sample the seed lexicon alone votes;
+copies and near copies in the sample count once in the lexicon, by the largest key; ties of entries go by code points;
+repeated rows get equal scores; an empty table gives no rows. Columns beside key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, per_batch
+from .common import by_value, per_batch, stored
 
 SEED = "idiot stupid moron loser pathetic worthless scum trash disgusting clown imbecile dumb filthy coward jerk fool".split()
 TOKEN = re.compile(r"[^\W_]+")
@@ -32,11 +36,8 @@ PATTERNS = ("two_hits", "three_hits", "repeated_hit", "addressed", "shouted", "d
 
 
 STEMS = range(4, 10)
-
-
-def entries(token: str) -> list[str]:
-    """What a lexicon may hold of a word: the word, and its beginnings with a star."""
-    return [token, *(token[:n] + "*" for n in STEMS if n < len(token))]
+#: What a lexicon may hold of a word: the word, and its beginnings with a star.
+ENTRIES = f"concat(array(word), transform(filter(sequence({STEMS[0]}, {STEMS[-1]}), n -> n < char_length(word)), n -> concat(left(word, n), '*')))"
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -47,42 +48,37 @@ def tail(k: int, n: int, p: float) -> float:
     return -n * (share * math.log(share / p) + ((1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0.0)) / math.log(10)
 
 
-def signature(tokens: list[str]) -> int:
-    """Equal for copies, and mostly for near copies: the least hash of three words in a row."""
-    return min((zlib.crc32(" ".join(tokens[i : i + 3]).encode()) for i in range(max(1, len(tokens) - 2))), default=0)
+def signature(tokens: list[str], minima: int = 4) -> str:
+    """Equal for copies, and mostly for near copies: the least of several hashes of three words in a row."""
+    grams = [" ".join(tokens[i : i + 3]).encode() for i in range(max(1, len(tokens) - 2))]
+    return " ".join(str(min(zlib.crc32(g, m) for g in grams)) for m in range(minima))
 
 
-def lexicon(texts, y: np.ndarray, least_docs: int = 4, least_share: float = 0.6, least_words: int = 3, chance: float = 0.0, most_words: int = 200) -> list[str]:
+def lexicon(sample: DataFrame, least_docs: int = 4, least_share: float = 0.6, least_words: int = 3, chance: float = 0.0, most_words: int = 200) -> list[str]:
     """Seed words, and the words and word beginnings that occur in toxic texts far more often than chance has it.
 
-    ``chance`` is log10 of the number of entries that may get in by chance, over all candidates. Copies count once. A
-    beginning must be that of ``least_words`` words, and stands for the longer entries that it covers as surely.
+    ``sample`` is ``(key, text, y)``. ``chance`` is log10 of the number of entries that may get in by chance, over all
+    candidates. Copies count once. A beginning must be that of ``least_words`` words, and stands for the longer entries that
+    it covers as surely.
     """
-    last = {signature(TOKEN.findall((t or "").lower())): i for i, t in enumerate(texts)}
-    known: dict[str, tuple[str, ...]] = {}
-
-    def count(label: int, wanted=None) -> Counter:
-        out: Counter = Counter()
-        for i in last.values():
-            if int(y[i]) == label:
-                own: set[str] = set()
-                for t in {*TOKEN.findall((texts[i] or "").lower())}:
-                    if (found := known.get(t)) is None:
-                        found = known[t] = tuple(e for e in entries(t) if wanted is None or e in wanted)
-                    own.update(found)
-                out.update(own)
-        return out
 
-    toxic = {e: k for e, k in count(1).items() if k >= least_docs}
-    words = Counter(e for own in known.values() for e in own if e[-1] == "*" and e in toxic)
-    toxic = {e: k for e, k in toxic.items() if e[-1] != "*" or words[e] >= least_words}
-    known.clear()
-    clean = count(0, toxic)
-    base = float(np.clip(sum(int(y[i]) for i in last.values()) / max(1, len(last)), 0.01, 0.5))
-    share = {e: k / (k + clean[e]) for e, k in toxic.items()}
-    limit = chance - math.log10(max(1, len(toxic)))
-    kept = {e: log for e, k in toxic.items() if share[e] >= least_share and (log := tail(k, k + clean[e], base)) <= limit}
-    for e in sorted(kept, key=len):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        tokens = [TOKEN.findall((t or "").lower()) for t in batch["text"]]
+        return pd.DataFrame({"key": batch["key"], "y": batch["y"].astype(int), "copy": [signature(t) for t in tokens], "words": [sorted({*t}) for t in tokens]})
+
+    rows = per_batch(run, sample.select(F.col("key").cast("string").alias("key"), "text", "y"), "key string, y int, copy string, words array<string>")
+    rows = stored(rows.groupBy("copy").agg(F.max_by(F.struct("y", "words"), "key").alias("r")).select("copy", "r.*"), "lexicon-words")
+    many = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    held = lambda y: rows.where(F.col("y") == y).select("copy", F.explode("words").alias("word")).select("copy", "word", F.explode(F.expr(ENTRIES)).alias("entry"))
+    toxic = held(1).groupBy("entry").agg(F.countDistinct("copy").alias("k"), F.countDistinct("word").alias("words"))
+    toxic = stored(toxic.where((F.col("k") >= least_docs) & (~F.col("entry").endswith("*") | (F.col("words") >= least_words))), "lexicon-candidates")
+    clean = held(0).join(toxic.select("entry"), "entry").groupBy("entry").agg(F.countDistinct("copy").alias("clean"))
+    found = toxic.join(clean, "entry", "left").select("entry", "k", F.coalesce("clean", F.lit(0)).alias("clean")).where(F.col("k") >= least_share * (F.col("k") + F.col("clean"))).collect()
+    base = float(np.clip(many.get(1, 0) / max(1, sum(many.values())), 0.01, 0.5))
+    limit = chance - math.log10(max(1, toxic.count()))
+    share = {r["entry"]: r["k"] / (r["k"] + r["clean"]) for r in found}
+    kept = {r["entry"]: log for r in found if (log := tail(r["k"], r["k"] + r["clean"], base)) <= limit}
+    for e in sorted(kept, key=lambda e: (len(e), e)):
         word = e.rstrip("*")
         if any((up := word[:n] + "*") in kept and share[up] >= share[e] - 0.05 for n in STEMS if n < len(word)):
             del kept[e]
@@ -90,19 +86,23 @@ def lexicon(texts, y: np.ndarray, least_docs: int = 4, least_share: float = 0.6,
 
 
 class Model:
-    def __init__(self, texts, y: np.ndarray) -> None:
-        y = np.asarray(y, float)
-        self.words = lexicon(texts, y) if len(y) else sorted(SEED)
-        self.at = {w: i for i, w in enumerate(self.words)}
-        self.stems = sorted({len(w) - 1 for w in self.words if w[-1] == "*"})
+    """A lexicon, and the linear classifier over its features; before it is trained the seed words decide."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.at = {w: i for i, w in enumerate(words)}
+        self.stems = sorted({len(w) - 1 for w in words if w[-1] == "*"})
         self.weights = np.zeros(self.width() + 1)
-        x = self.matrix(texts)
-        if not len(x) or not x.any():
-            self.weights[:-1][: len(self.words)] = 3.0
-            self.weights[-1] = -3.0
-            return
-        self.rates, self.correlation, post = self.label_model(self.votes(x), float(np.clip(y.mean(), 0.01, 0.5)), y)
-        self.fit(x, post)
+        self.weights[: len(words)] = 3.0
+        self.weights[-1] = -3.0
+
+    def train(self, x: np.ndarray, y: np.ndarray) -> Model:
+        """Posterior labels of the label model, and the classifier on them."""
+        if x.any():
+            self.rates, self.correlation, post = self.label_model(self.votes(x), float(np.clip(y.mean(), 0.01, 0.5)), y)
+            self.weights[:] = 0
+            self.fit(x, post)
+        return self
 
     def width(self) -> int:
         return 2 * len(self.words) + len(PATTERNS)
@@ -184,8 +184,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    return Model(sample["text"].tolist(), sample["y"].to_numpy(float))
+def fit(sample: DataFrame) -> Model:
+    """The model of a bounded sample ``(key, text, y)``; only features that are not zero come to the driver."""
+    model = Model(lexicon(sample))
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [model.row(t) for t in batch["text"]]
+        at = [np.flatnonzero(r) for r in rows]
+        return pd.DataFrame({"key": batch["key"], "y": batch["y"].astype(float), "at": at, "x": [r[a] for r, a in zip(rows, at, strict=True)]})
+
+    rows = per_batch(run, sample.select(F.col("key").cast("string").alias("key"), "text", "y"), "key string, y double, at array<int>, x array<double>").toPandas().sort_values("key")
+    x = np.zeros((len(rows), model.width()))
+    for i, (at, values) in enumerate(zip(rows["at"], rows["x"], strict=True)):
+        x[i, at] = values
+    return model.train(x, rows["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +16,3 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
     chosen = chosen.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most).withColumnRenamed(key, "_k")
     rows = docs.select(F.col(key), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_k"))  # most rows
     return rows.groupBy(F.col("_k").alias("key")).agg(F.min("_t").alias("text"), F.first("_y").alias("y"))
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, **options) -> pd.DataFrame:
-    """The texts and labels of :func:`labelled_rows`, on the driver."""
-    return labelled_rows(docs, labels, label, learn, **options).orderBy("key").select("text", "y").toPandas()

@@ -529,8 +529,7 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def held(spark, name, label, modulus, which):
-    sf = "/root/testdata/sf0.01"
+def held(spark, name, label, modulus, which, sf="/root/testdata/sf0.01"):
     rows = getattr(queries, name)(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % modulus == which for r in rows)
     return [(r[label], r.score, r.predicted) for r in rows]
@@ -551,22 +550,29 @@ def test_toxicity(spark, odd, docs, none, labels):
     rows = held(spark, "op10_toxicity", "toxic", 4, 2)
     hits = [y for y, s, p in rows if p]
     assert np.mean(hits) > 0.9 and sum(hits) > 0.55 * sum(y for y, _, _ in rows)
-    model = toxicity.fit(training.labelled(none, labels, "toxic", F.lit(True)))
+    model = toxicity.fit(training.labelled_rows(none, labels, "toxic", F.lit(True)))
     clean, foul = model.score(["a fine day", "you are a stupid idiot"])
     assert clean < 0.3 < foul
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect()) and toxicity.score(none, model).collect() == []
 
 
-def test_lexicon_learns_words_and_beginnings():
+def test_toxicity_on_more_rows(spark):
+    rows = held(spark, "op10_toxicity", "toxic", 4, 2, sf="/root/testdata/sf0.1")
+    hits = [y for y, s, p in rows if p]
+    assert np.mean(hits) > 0.95 and sum(hits) >= 0.9 * sum(y for y, _, _ in rows)
+
+
+def test_lexicon_learns_words_and_beginnings(spark):
     rng = np.random.default_rng(4)
     made = lambda n: " ".join("".join(rng.choice([*"aeioubdgklmnrst"], 5)) for _ in range(n))
     bad = [f"{made(30)} zworg{made(1)} {made(30)}" for _ in range(40)]
     good = [made(60) for _ in range(400)]
     texts = [*bad, *good, *[made(10) + " qqqq" + made(5)] * 30]  # copies of one text are no evidence
-    y = np.array([1] * 40 + [0] * 400 + [1] * 30)
-    words = toxicity.lexicon(texts, y)
+    y = [1] * 40 + [0] * 400 + [1] * 30
+    sample = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(texts, y, strict=True))], "key long, text string, y int")
+    words = toxicity.lexicon(sample)
     assert any(w.startswith("zwor") and w[-1] == "*" for w in words) and not [w for w in words if w.startswith("qq")]
-    model = toxicity.Model(texts, y)
+    model = toxicity.fit(sample)
     assert model.score(["nothing here", made(20) + " zworgunseen"]).tolist()[0] < 0.3 <= model.score([made(20) + " zworgunseen"])[0]
 
 
