@@ -1,9 +1,10 @@
 """Embedding near-dedup by PCA-ordered, tiled comparison.
 
-Vectors are turned into the basis of their principal components, largest first, and scaled to length 1. Tiles of vectors
+Vectors are scaled to length 1 and turned to their ``LEAD`` leading principal components, largest first. Tiles of vectors
 are compared pairwise; a comparison accumulates the leading dimensions first, adds the product of the suffixes' norms as
 an upper bound of the rest, and drops the pairs that cannot reach the threshold. What is left is computed exactly, in
-double precision, from the vectors as given.
+double precision, from the vectors as given. The components come from two passes of sums over all vectors (a random sketch
+of the second moments, and the moments within its range); any orthonormal axes give the same links.
 
 Equal vectors of a label are collapsed first and counted. Two unit vectors of cosine c lie within sqrt(2 - 2c) of each
 other along the first component, so labels are cut into cells of that width along it, and only a cell's own and its next
@@ -12,7 +13,8 @@ bounded size. A task gives link counts and a spanning forest, never its pairs. T
 vectors, as the method is; no partner is capped.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
-link with nothing; vectors of different lengths never link; ids may repeat or be null; an empty table gives no rows.
+link with nothing; vectors of different lengths never link; ids may repeat or be null (a null id is never the smallest); an
+empty table gives no rows. Columns beside key, vector and label are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,50 +27,70 @@ from pyspark.sql import functions as F
 from .common import by_value, stored
 from .graph import Forest, components
 
-TILE = 2000
+TILE = 8000
+BLOCK = 1000
 STEP = 16
+LEAD = 64
 
 
-def moments(batches):
-    """Sums of outer products of the unit vectors of a partition, by number of dimensions."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for d, part in batch.groupby("d"):
-            x = np.stack(part["vector"].to_numpy()).astype(float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            sums[d] = sums.get(d, 0) + x.T @ x
-    for d, s in sums.items():
-        i, j = np.divmod(np.arange(s.size), len(s))
-        yield pd.DataFrame({"d": d, "i": i, "j": j, "x": s.ravel()})
+def unit_vectors(batch: pd.DataFrame):
+    """The unit vectors of a batch, by number of dimensions."""
+    for d, part in batch.groupby("d"):
+        x = np.stack(part["vector"].to_numpy()).astype(float)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+        yield int(d), x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bases(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes as columns, by number of dimensions; the driver gets d * d sums, whatever the number of rows."""
-    sums = classes.select(F.size("vector").alias("d"), "vector").mapInPandas(moments, "d int, i int, j int, x double").groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toPandas()
+def summed(classes: DataFrame, product) -> dict[int, np.ndarray]:
+    """The sum of ``product(d, unit vectors)``, a matrix, over all vectors of each number of dimensions."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for d, x in unit_vectors(batch):
+                sums[d] = sums.get(d, 0) + product(d, x)
+        for d, s in sums.items():
+            i, j = np.divmod(np.arange(s.size), s.shape[1])
+            yield pd.DataFrame({"d": d, "i": i, "j": j, "x": s.ravel()})
+
+    rows = classes.select(F.size("vector").alias("d"), "vector").mapInPandas(run, "d int, i int, j int, x double").groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toPandas()
     out = {}
-    for d, part in sums.groupby("d"):
-        m = np.zeros((d, d))
-        m[part["i"], part["j"]] = part["x"]
-        out[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+    for d, part in rows.groupby("d"):
+        out[int(d)] = np.zeros((part["i"].max() + 1, part["j"].max() + 1))
+        out[int(d)][part["i"], part["j"]] = part["x"]
     return out
 
 
+def bases(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Leading principal axes as columns, by number of dimensions; the driver gets ``LEAD`` sums a dimension, whatever the rows."""
+    wide = lambda d: min(d, LEAD)
+    random = lambda d: np.random.default_rng(d).normal(size=(d, wide(d)))
+    span = {d: np.linalg.qr(s)[0] for d, s in summed(classes, lambda d, x: x.T @ (x @ random(d))).items()}
+    inside = summed(classes, lambda d, x: (x @ span[d]).T @ (x @ span[d]))
+    return {d: span[d] @ np.linalg.eigh((s + s.T) / 2)[1][:, ::-1] for d, s in inside.items()}
+
+
 def compare(a: np.ndarray, b: np.ndarray, basis: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of ``a`` and ``b`` of cosine at least ``least``."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    pa, pb = a @ basis / na[:, None], b @ basis / nb[:, None]
+    pa, pb = a / na[:, None] @ basis, b / nb[:, None] @ basis
     rest_a, rest_b = (np.sqrt(np.maximum(0, 1 - np.cumsum(p * p, axis=1))) for p in (pa, pb))
-    to = min(STEP, a.shape[1])
-    i, j = np.nonzero(pa[:, :to] @ pb[:, :to].T + np.outer(rest_a[:, to - 1], rest_b[:, to - 1]) >= least - 1e-7)
-    i, j, sums = i.astype(np.int32), j.astype(np.int32), None
-    while to < a.shape[1] and len(i):
-        sums = np.einsum("ij,ij->i", pa[i, :to], pb[j, :to]) if sums is None else sums
-        end = min(2 * to, a.shape[1])
-        sums = sums + np.einsum("ij,ij->i", pa[i, to:end], pb[j, to:end])
-        on = sums + rest_a[i, end - 1] * rest_b[j, end - 1] >= least - 1e-7
-        i, j, sums, to = i[on], j[on], sums[on], end
-    hit = np.concatenate([np.einsum("ij,ij->i", a[i[k : k + 65536]], b[j[k : k + 65536]]) / (na[i[k : k + 65536]] * nb[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.empty(0)]) >= least
-    return i[hit], j[hit]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for begin in range(0, len(a), BLOCK):
+        own, left, to, wide = slice(begin, begin + BLOCK), rest_a[begin : begin + BLOCK], min(STEP, basis.shape[1]), basis.shape[1]
+        sums = pa[own, :to] @ pb[:, :to].T
+        i, j = np.nonzero(sums + np.outer(left[:, to - 1], rest_b[:, to - 1]) >= least - 1e-7)
+        sums, i = sums[i, j], i + begin
+        while to < wide and len(i):
+            end = min(2 * to, wide)
+            sums = sums + np.concatenate([np.einsum("ij,ij->i", pa[i[k : k + 65536], to:end], pb[j[k : k + 65536], to:end]) for k in range(0, len(i), 65536)])
+            on = sums + rest_a[i, end - 1] * rest_b[j, end - 1] >= least - 1e-7
+            i, j, sums, to = i[on], j[on], sums[on], end
+        for k in range(0, len(i), 65536):
+            x, y = i[k : k + 65536], j[k : k + 65536]
+            hit = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y]) >= least
+            found.append((x[hit], y[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def near_vectors(
@@ -136,9 +158,10 @@ def near_vectors(
     linked = roots.join(least_of, "root").select("node", "reached")
     known = own.join(counts, "node", "left").join(linked, "node", "left")
     known = known.select("node", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("reached", "least_key").alias("component_id"))
-    out = rows.select("key", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    known = stored(known, "vector-known")
+    sound_rows = rows.where("node is not null").select("key", "node").join(known, "node").select("key", "n_links", "component_id")
+    out = sound_rows.union(rows.where("node is null").select("key", F.lit(0).cast("long"), "key"))
+    return out.select(F.col("key").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 by_value(__name__)
