@@ -1,12 +1,16 @@
 """Sharding by fixed virtual slots.
 
-A record's key is hashed into one of thousands of virtual slots, for good. Bytes are summed per slot, and a versioned
-map says which shard holds which slot. Rebalancing edits the map: it moves whole slots from shards that hold more than
-their share to those that hold least. Only DataFrame and SQL functions run here.
+A record, its key and text, is hashed into one of thousands of virtual slots, for good. Bytes are summed per slot, and a
+versioned map says which shard holds which slot. Rebalancing edits the map: it moves whole slots from shards that hold more
+than their share to those that hold least. Given a folder, a run loads the latest version there, edits it for the bytes it
+finds, and saves the next one; else it starts with version 0. Only DataFrame and SQL functions run here.
 
-Defined cases: a null text weighs 1 byte and has no checksum; a null key is replaced by the text's hash, so that rows
-without a key spread over the slots; repeated rows share a slot and get different places; an empty table gives no rows,
-and a map in which every slot has 0 bytes. Columns of the input beside key and text are not looked at.
+A slot that holds more than ``HOT`` times its part of the bytes, as a slot of many equal records does, cannot be moved as a
+whole without harm: its rows are dealt again to all slots by their numbers.
+
+Defined cases: a null text weighs 1 byte and has no checksum; a null key counts as an empty one; repeated rows share a slot,
+but for hot slots, and get different places; ties of slots go by number; an empty table gives no rows, and a map in which
+every slot has 0 bytes. Columns of the input beside key and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import running, stored
 
 SLOTS = 4096
+HOT = 8
 
 
 def with_slots(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Key, size (UTF-8 bytes of the text plus 1), the text's checksum and the virtual slot of every row."""
-    own = F.coalesce(F.xxhash64(F.col(key).cast("string")) if key else None, F.lit(0))
-    slot = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(own), F.lit(slots))
+    slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)), F.lit(slots))
     return df.select(
         F.col(key),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias("size"),
@@ -31,6 +35,16 @@ def with_slots(df: DataFrame, key: str = "doc_id", text: str = "text", slots: in
     )
 
 
+def cooled(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The stored rows, numbered by ``row``, with those of hot slots dealt again to all slots."""
+    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
+    part = F.sum("bytes").over(Window.partitionBy(F.lit(0))) / slots
+    hot = sums.select("virtual_slot", (F.col("bytes") > HOT * part).alias("hot")).where("hot")  # slots / HOT rows at most
+    rows = rows.join(F.broadcast(hot), "virtual_slot", "left")
+    again = F.pmod(F.xxhash64("virtual_slot", "row"), F.lit(slots)).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("hot"), again).otherwise(F.col("virtual_slot"))).drop("hot", "row")
+
+
 def slot_bytes(spark: SparkSession, rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Bytes of every slot, also of empty ones: ``slots`` rows, whatever the input's size."""
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
@@ -73,12 +87,41 @@ def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 16, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Shard and place of every document, by a stored map that balances bytes over ``shards`` shards.
+def latest(spark: SparkSession, maps: str) -> int | None:
+    """The newest version in a folder of maps, by the driver's view of the shared file system; None without any."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(maps)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+    return max((int(n.removeprefix("version-")) for n in found if n.startswith("version-")), default=None)
+
+
+def load_map(spark: SparkSession, maps: str, version: int | None = None) -> DataFrame:
+    """A saved map ``(virtual_slot, bytes, shard, version)``, the latest one if no version is named."""
+    return spark.read.parquet(f"{maps}/version-{latest(spark, maps) if version is None else version}")
+
+
+def save_map(slot_map: DataFrame, maps: str, version: int) -> DataFrame:
+    """Save a map under its version, which must be new, and read it back."""
+    slot_map.coalesce(1).write.parquet(f"{maps}/version-{version}")
+    return load_map(slot_map.sparkSession, maps, version)
+
+
+def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 16, slots: int = SLOTS, key: str = "doc_id", text: str = "text", maps: str | None = None) -> DataFrame:
+    """Shard and place of every document, by a map that balances bytes over ``shards`` shards.
 
-    Returns key, size, text_crc32, virtual_slot, shard, slot (place in the shard, gapless from 0) and map_version.
+    ``maps`` is a folder of versioned maps that runs share. Returns key, size, text_crc32, virtual_slot, shard, slot (place in
+    the shard, gapless from 0) and map_version.
     """
-    rows = stored(with_slots(docs, key, text, slots), "slotted")
-    slot_map = stored(rebalance(first_map(slot_bytes(spark, rows, slots), shards), shards).coalesce(1), "slot-map")
-    rows = rows.join(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version")), "virtual_slot")
+    rows = stored(with_slots(docs, key, text, slots).withColumn("row", F.monotonically_increasing_id()), "slotted")
+    rows = stored(cooled(rows, slots), "cooled")
+    sizes = slot_bytes(spark, rows, slots)
+    last = latest(spark, maps) if maps else None
+    if last is None:
+        before = first_map(sizes, shards)
+    else:
+        before = sizes.join(load_map(spark, maps, last).select("virtual_slot", "shard", "version"), "virtual_slot")
+    after = rebalance(before, shards)
+    slot_map = save_map(after, maps, (last or 0) + 1) if maps else stored(after.coalesce(1), "slot-map")
+    slot_map = slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"))
+    rows = rows.join(F.broadcast(slot_map), "virtual_slot")  # a row for each slot
     return running(rows, ["shard"], "virtual_slot", [F.col(key), F.col("text_crc32"), F.col("size")], F.lit(1), "slot").withColumn("slot", F.col("slot").cast("long"))

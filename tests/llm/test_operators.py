@@ -75,6 +75,29 @@ def test_rebalancing_moves_little(spark, docs):
     assert two.where("moved").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] < 0.25 * total
 
 
+def test_maps_are_loaded_and_edited(spark, docs, tmp_path):
+    """A later run keeps most slots where they were, under the next version; earlier versions stay."""
+    maps = str(tmp_path / "maps")
+    one = {r.virtual_slot: r.shard for r in sharding.shard_documents(spark, docs, 16, maps=maps).collect()}
+    two = sharding.shard_documents(spark, docs, 17, maps=maps).collect()
+    assert sharding.latest(spark, maps) == 2 and {r.map_version for r in two} == {2}
+    moved = {r.virtual_slot for r in two if one[r.virtual_slot] != r.shard}
+    assert {r.shard for r in two} == {*range(17)} and len(moved) < 0.3 * len(one)
+    assert {r.virtual_slot: r.shard for r in sharding.load_map(spark, maps, 1).collect()}.items() >= one.items()
+
+
+def test_hot_records_are_split(spark):
+    """A third of all rows under one key, and a third equal in key and text."""
+    rows = [(1, f"text {i} " * 9) for i in range(3000)] + [(2, "the same text " * 6)] * 3000 + [(i + 10, f"other {i} " * 9) for i in range(3000)]
+    got = sharding.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    loads, places = Counter(), defaultdict(list)
+    for r in got:
+        loads[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert len(got) == 9000 and max(loads.values()) < 1.1 * min(loads.values()) and len(loads) == 16
+    assert all(sorted(p) == [*range(len(p))] for p in places.values())
+
+
 def test_packing(spark, odd, docs, none):
     from tokenizers import Tokenizer
 
@@ -151,6 +174,19 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(table.where("false")).collect() == []
 
 
+def test_long_vectors(spark):
+    """More dimensions than leading axes, and steps of every bound."""
+    rng = np.random.default_rng(4)
+    for d in (100, 3000):
+        base = rng.normal(size=(6, d))
+        x = np.concatenate([base + rng.normal(size=(6, d)) * s for s in (0, 0.1, 0.3, 0.35, 0.4, 0.45)])
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        want = ((unit @ unit.T) >= 0.93).sum(axis=1) - 1
+        table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table).collect()}
+        assert [got[i] for i in range(len(x))] == want.tolist() and 0 < want.max() and not want.min()
+
+
 def test_embedding_tiles(spark, monkeypatch):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     one = sorted(map(tuple, embedding_dedup.near_vectors(table).collect()))
