@@ -45,8 +45,8 @@ from .graph import Forest, components
 SHARD, TILE = 500, 2000
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 BANDS, ROWS = 18, 3
-#: Shingles that one task takes of similar sets: 4 bytes each.
-WEIGHT = 4_000_000
+#: Shingles, of 4 bytes each, that one task takes of a large shard, and those of small shards that go together.
+WEIGHT, LANE = 4_000_000, 250_000
 #: Hamming distance within which the tree finds similar sets early: at similarity 0.8 some 10 of 64 bits differ. Not a limit.
 RADIUS = 8
 #: Odd factors of the minima's hashes: the shingles' own hashes are uniform, and a product with an odd number permutes them.
@@ -295,7 +295,7 @@ def alike(rows: DataFrame, chosen: DataFrame, radius: int, least: float) -> Data
     dealt = rows.select("row", "node", "size", "bands").join(chosen, "row").select("row", "node", "size", F.posexplode("bands").alias("part", "value"))
     shards = dealt.groupBy("part", "value").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
     shards = stored(shards.groupBy("n", "weight", "who").agg(F.min(F.struct("part", "value")).alias("s")).select("s.part", "s.value", "weight"), "shards")
-    lanes = int((shards.where(F.col("weight") <= WEIGHT).agg(F.sum("weight")).first()[0] or 0) // (WEIGHT // 2) + 1)
+    lanes = int((shards.where(F.col("weight") <= WEIGHT).agg(F.sum("weight")).first()[0] or 0) // LANE + 1)
     dealt = stored(dealt.select("row", "node", "part", "value").join(shards, ["part", "value"]), "dealt")
     whole = rows.select("row", "fp", "grams")
 
