@@ -11,18 +11,33 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Edge:
-    """A child's foreign key to its parent."""
+    """A child's foreign key to its parent. Both may have the same name."""
 
     parent_key: str
     child_key: str
 
-    def on(self) -> Column:
-        return F.col(self.parent_key) == F.col(self.child_key)
+
+def _apart(df: DataFrame, taken: Sequence[str], prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with a prefix before names that are taken, and every column's name now."""
+    names = {c: c for c in df.columns}
+    for c in df.columns:
+        while names[c] in taken or (names[c] != c and names[c] in df.columns):
+            names[c] = prefix + names[c]
+    return df.withColumnsRenamed({c: n for c, n in names.items() if c != n}), names
+
+
+def _joined(left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str, prefix: str) -> DataFrame:
+    right, names = _apart(right, left.columns, prefix)
+    return left.join(right, F.col(left_key) == F.col(names[right_key]), how)
 
 
 def flatten(parent: DataFrame, child: DataFrame, edge: Edge, how: str = "inner", keep_parent: bool = False, keep_child: bool = False) -> DataFrame:
-    """Parent and child rows side by side; kept rows follow as rows of their own, with nulls for the other side."""
-    out = parent.join(child, edge.on(), how)
+    """Parent and child rows side by side; kept rows follow as rows of their own, with nulls for the other side.
+
+    A child's column whose name the parent has too is named ``child_`` and its name.
+    """
+    child, names = _apart(child, parent.columns, "child_")
+    out = parent.join(child, F.col(edge.parent_key) == F.col(names[edge.child_key]), how)
     for keep, df in ((keep_parent, parent), (keep_child, child)):
         if keep:
             out = out.unionByName(df, allowMissingColumns=True)
@@ -30,24 +45,25 @@ def flatten(parent: DataFrame, child: DataFrame, edge: Edge, how: str = "inner",
 
 
 def ancestors(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:
-    """Each child row with its parent; a child without one stays."""
-    return child.join(parent, edge.on(), "left")
+    """Each child row with its parent; a child without one stays. A name that both have gets ``parent_`` before the parent's."""
+    return _joined(child, edge.child_key, parent, edge.parent_key, "left", "parent_")
 
 
 def branch(parent: DataFrame, child: DataFrame, edge: Edge) -> DataFrame:
     """The child rows below the given parents."""
-    return child.join(parent, edge.on(), "left_semi")
+    return _joined(child, edge.child_key, parent.select(edge.parent_key), edge.parent_key, "left_semi", "parent_")
 
 
 def product(parent: DataFrame, first: DataFrame, first_edge: Edge, second: DataFrame, second_edge: Edge) -> DataFrame:
-    """For each parent every pair of rows of two branches."""
-    return parent.join(first, first_edge.on()).join(second, second_edge.on())
+    """For each parent every pair of rows of two branches; names that are taken get ``first_`` or ``second_`` before them."""
+    out = _joined(parent, first_edge.parent_key, first, first_edge.child_key, "inner", "first_")
+    return _joined(out, second_edge.parent_key, second, second_edge.child_key, "inner", "second_")
 
 
 def nest(parent: DataFrame, child: DataFrame, edge: Edge, columns: Sequence[str | Column], into: str) -> DataFrame:
     """Parents with their children as a sorted array of structs; an empty array where there are none."""
-    rows = child.groupBy(edge.child_key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(into))
-    out = parent.join(rows, edge.on(), "left").drop(edge.child_key)
+    rows = child.groupBy(F.col(edge.child_key).alias("_up")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(into))
+    out = parent.join(rows, F.col(edge.parent_key) == F.col("_up"), "left").drop("_up")
     return out.withColumn(into, F.coalesce(into, F.array()))
 
 
@@ -57,6 +73,27 @@ def select(parents: DataFrame, where: Column, children: Sequence[tuple[DataFrame
     return kept, [branch(kept, child, edge) for child, edge in children]
 
 
+def select_tree(root: Node, where: Column) -> dict[str, DataFrame]:
+    """Of a whole group the root rows that satisfy a condition and all rows below them, by table, at any depth."""
+    out = {root.name: root.rows.where(F.coalesce(where, F.lit(False)))}
+
+    def below(node: Node) -> None:
+        for child in node.children:
+            out[child.name] = branch(out[node.name], child.rows, child.edge)
+            below(child)
+
+    below(root)
+    return out
+
+
+def hkey_union(*keys: DataFrame) -> DataFrame:
+    """The keys that any of the frames holds, once each; by position, as the first frame names them."""
+    out = keys[0]
+    for more in keys[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
 @dataclass(frozen=True)
 class Node:
     """A table of a group, with its children: name, rows, columns to show, and the edge to its parent."""
@@ -93,4 +130,4 @@ def dump(root: Node, depth: int | None = None) -> DataFrame:
 
 def inconsistent(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:
     """Child rows whose key has no parent. A NULL key is consistent."""
-    return child.where(F.col(edge.child_key).isNotNull()).join(parent.select(edge.parent_key), edge.on(), "left_anti")
+    return _joined(child.where(F.col(edge.child_key).isNotNull()), edge.child_key, parent.select(edge.parent_key), edge.parent_key, "left_anti", "parent_")

@@ -8,11 +8,12 @@ facts about table groups and not enforced, but :meth:`Engine.orphans` finds the
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import register
@@ -40,14 +41,20 @@ class Engine:
         self.schema = schema
         self.definitions: dict[str, dialect.TableDefinition] = {}
         self.prepared: dict[str, str] = {}
-        self.cursors: dict[str, Iterator[Row]] = {}
+        self.cursors: dict[str, tuple[DataFrame, Iterator[Row] | None]] = {}
         self.sequences: dict[str, Sequence] = {}
         self.procedures: dict[str, Callable[..., DataFrame]] = {}
         self.settings: dict[str, str] = {}
         self.views: dict[str, str] = {}
         self.functions: dict[str, tuple[str, bool]] = {}
+        self.scratch: list[str] = []
         register(spark)
 
+    def close(self) -> None:
+        """Drop the tables from which results of earlier statements are read."""
+        while self.scratch:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.scratch.pop()}")
+
     # queries
 
     def sql(self, statement: str, parameters: list | tuple = ()) -> DataFrame:
@@ -73,9 +80,54 @@ class Engine:
         return plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), mode)
 
     def _run(self, statement: str, parameters: list | tuple) -> DataFrame:
+        if "VALUE FOR" in " ".join(statement.upper().split()):
+            statement = dialect.sequences_named(statement)
+        if "NEXTVAL" in statement.upper() and (numbered := self._numbered(statement, parameters)) is not None:
+            return numbered
         with lenient(self.spark):
             return self.spark.sql(dialect.to_spark(self._catalog(self._numbers(statement))), args=list(parameters) or None)
 
+    def _numbered(self, statement: str, parameters: list | tuple) -> DataFrame | None:
+        """``SELECT ..., NEXTVAL('s') [AS name] ... FROM ...``: the next value for each row, in the rows' order; None without FROM."""
+        ts = solid(tokens(statement))
+        depth, end = 0, None
+        for i, t in enumerate(ts):
+            depth += (t.text == "(") - (t.text == ")")
+            if not depth and t.word == "FROM" and end is None:
+                end = i
+        if ts[0].word != "SELECT" or end is None:
+            return None
+        items, sequences = [], {}
+        for n, item in enumerate(split(ts[1:end], ",")):
+            if any(t.word == "NEXTVAL" for t in item):
+                stop = closing(item, 1) if item[0].word == "NEXTVAL" else 0
+                rest = [t.word for t in item[stop + 1 :]]
+                if item[0].word != "NEXTVAL" or not (not rest or len(rest) == 1 and item[-1].kind in ("name", "quoted") or len(rest) == 2 and rest[0] == "AS"):
+                    raise ValueError("NEXTVAL stands alone in the list of a SELECT from tables")
+                sequences[n] = self._sequence([t.text.strip("'\"`") for t in item[2:stop]])
+                item = [Token("done", "CAST(NULL AS BIGINT)"), Token("name", "AS"), item[-1] if len(item) > stop + 1 else Token("name", "next_value")]
+            items.append(" ".join(t.text for t in item))
+        if not sequences:
+            return None
+        rest = " ".join(t.text for t in ts[end:])
+        rows = self._run(f"SELECT {', '.join(items)} {rest}", parameters)
+        names = rows.columns
+        rows = self._kept(rows.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+        for n, sequence in sequences.items():
+            rows = sequence.number(rows, "row_no", f"c{n}")
+        rows = rows.orderBy("row_no") if "ORDER" in {t.word for t in ts[end:]} else rows
+        return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
+
+    def _sequence(self, given: list[str]) -> Sequence:
+        return self.sequences[".".join(x for x in given if x not in (",", ".")).split(".")[-1].lower()]
+
+    def _kept(self, df: DataFrame, tag: str) -> DataFrame:
+        """The rows as a table that results may be read from, until :meth:`close`."""
+        name = f"arb_{tag}_{uuid.uuid4().hex[:8]}"
+        self._keep(name, df)
+        self.scratch.append(name)
+        return self.spark.table(name)
+
     def _catalog(self, statement: str) -> str:
         """Tables of ``information_schema`` replaced by frames of what the catalog holds now."""
         if "information_schema" not in statement.lower():
@@ -94,7 +146,7 @@ class Engine:
 
     def _numbers(self, statement: str) -> str:
         """Calls that the driver answers, replaced by values; one value for a statement."""
-        if not any(name in statement.upper() for name in ("VAL", "CURRENT_SE", "COLUMN_TYPE_STRING")):
+        if not any(name in statement.upper() for name in ("VAL(", "VAL (", "CURRENT_SE", "COLUMN_TYPE_STRING", "SLEEP")):
             return statement
         ts = tokens(statement)
         quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
@@ -105,7 +157,10 @@ class Engine:
             end = closing(ts, at + 1) if called else at
             given = [t.text.strip("'\"`") for t in solid(ts[at + 2 : end]) if t.kind in ("text", "quoted", "name")]
             if called and word in ("NEXTVAL", "CURRVAL"):
-                out.append(str(getattr(self.sequences[given[-1].split(".")[-1].lower()], word.lower())()))
+                out.append(str(getattr(self._sequence(given), word.lower())()))
+            elif called and word == "SLEEP":
+                time.sleep(float(text(ts[at + 2 : end])))
+                out.append("0")
             elif called and word == "CURRENT_SETTING":
                 out.append(quoted(self.settings.get(given[0].lower(), self.spark.conf.get(given[0], None))))
             elif called and word == "COLUMN_TYPE_STRING":
@@ -151,12 +206,22 @@ class Engine:
                 self._keep(name.strip('"`'), df if with_data else df.limit(0))
                 return self._empty()
             self.definitions[definition.name.lower()] = definition
+            for column, (start, step) in definition.identity.items():
+                self.sequences[f"{definition.name}/{column}".lower()] = Sequence(start, step)
             self.spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in definition.columns)).write.format("parquet").saveAsTable(definition.name)
             return self._empty()
         if kind == "SEQUENCE":
             words = [t.word or t.text for t in ts]
-            after = lambda *names: next((int(words[i + len(names)]) for i in range(len(words) - len(names)) if words[i : i + len(names)] == [*names]), 1)
-            self.sequences[ts[2].text.lower()] = Sequence(after("START", "WITH"), after("INCREMENT", "BY"))
+
+            def after(*names: str, other: int | None = None) -> int | None:
+                at = next((i + len(names) for i in range(len(words) - len(names)) if words[i : i + len(names)] == [*names]), None)
+                return other if at is None else -int(words[at + 1]) if words[at] == "-" else int(words[at])
+
+            cycle = "CYCLE" in words and words[words.index("CYCLE") - 1] != "NO"
+            step = after("INCREMENT", "BY", other=1)
+            low, high = after("MINVALUE"), after("MAXVALUE")
+            start = after("START", "WITH", other=(1 if low is None else low) if step > 0 else (-1 if high is None else high))
+            self.sequences[ts[2].text.split(".")[-1].lower()] = Sequence(start, step, low, high, cycle)
             return self._empty()
         if kind in ("INDEX", "UNIQUE", "GROUP"):  # there are no indexes; scans prune by file statistics
             return self._empty()
@@ -164,8 +229,48 @@ class Engine:
             self.views[ts[2].text.strip('"`').lower()] = text(tokens(statement)[next(i for i, t in enumerate(tokens(statement)) if t.word == "AS") + 1 :])
             self.spark.sql(dialect.to_spark(statement).replace("CREATE VIEW", "CREATE TEMPORARY VIEW", 1))
             return self._empty()
+        if kind in ("PROCEDURE", "FUNCTION") or "FUNCTION" in [t.word for t in ts[:4]] or "PROCEDURE" in [t.word for t in ts[:4]]:
+            return self._routine(ts)
         return None
 
+    def _routine(self, ts: list[Token]) -> DataFrame | None:
+        """``CREATE [OR REPLACE] FUNCTION f(x INT) RETURNS INT LANGUAGE SQL ... AS 'x + 1'``, and PROCEDURE with a statement of ``$1``, ``$2``."""
+        words = [t.word for t in ts]
+        if "LANGUAGE" not in words or words[words.index("LANGUAGE") + 1] != "SQL":
+            return None
+        at = next(i for i, w in enumerate(words) if w in ("FUNCTION", "PROCEDURE"))
+        name, end = ts[at + 1].text.strip('"`'), closing(ts, at + 2)
+        last = ts[-1].text
+        body = last[2:-2] if last.startswith("$$") else last[1:-1].replace("''", "'")
+        if words[at] == "PROCEDURE":
+            self.procedure(name, lambda spark, *given: self._executed(body, list(given)))
+            return self._empty()
+        parameters = ", ".join(f"{part[0].text} {dialect.column_type(part[1:])}" for part in split(ts[at + 3 : end], ",") if part)
+        result = dialect.column_type(ts[words.index("RETURNS") + 1 : words.index("LANGUAGE")])
+        with lenient(self.spark):
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {dialect.to_spark(body)}")
+        self.functions[name.lower()] = (result, True)
+        return self._empty()
+
+    def _executed(self, statement: str, given: list) -> DataFrame:
+        """A statement with ``$1``, ``$2`` ... or ``?`` for values."""
+        inner = tokens(statement)
+        places = [int(t.text[1:]) for t in inner if t.kind == "place"]
+        return self.sql("".join("?" if t.kind == "place" else t.text for t in inner), [given[n - 1] for n in places] or given)
+
+    def _rename(self, statement: str, ts: list[Token], parameters) -> DataFrame:
+        """``RENAME TABLE a TO b``; definitions and the children's keys follow."""
+        old, new = ts[2].text.strip('"`'), ts[-1].text.strip('"`')
+        self.spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+        if (own := self.definitions.pop(old.lower(), None)) is not None:
+            own.name = new
+            self.definitions[new.lower()] = own
+            for column in own.identity:
+                self.sequences[f"{new}/{column}".lower()] = self.sequences.pop(f"{old}/{column}".lower())
+        for child in self.definitions.values():
+            child.parents = [(new if to.lower() == old.lower() else to, *rest) for to, *rest in child.parents]
+        return self._empty()
+
     def _drop(self, statement: str, ts: list[Token], parameters) -> DataFrame | None:
         kind, name = ts[1].word, ts[-1].text.strip('"`')
         if kind in ("INDEX", "GROUP"):
@@ -174,8 +279,11 @@ class Engine:
             self.sequences.pop(name.lower(), None)
             return self._empty()
         if kind == "VIEW":
+            self.views.pop(name.lower(), None)
             self.spark.catalog.dropTempView(name)
             return self._empty()
+        if kind == "TABLE":
+            self.definitions.pop(name.lower(), None)
         return None
 
     def _truncate(self, statement: str, ts: list[Token], parameters) -> DataFrame:
@@ -187,11 +295,12 @@ class Engine:
         df.write.format("parquet").saveAsTable(name)
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        """Write a table's new rows beside the old ones, then swap."""
-        new = f"{name}_{uuid.uuid4().hex[:8]}"
-        self._keep(new, df)
-        self.spark.sql(f"DROP TABLE {name}")
-        self.spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+        """Write a table's new rows beside the old ones, then swap; the old ones go last, so the rows are never without a table."""
+        mark = uuid.uuid4().hex[:8]
+        self._keep(f"{name}_new_{mark}", df)
+        self.spark.sql(f"ALTER TABLE {name} RENAME TO {name}_old_{mark}")
+        self.spark.sql(f"ALTER TABLE {name}_new_{mark} RENAME TO {name}")
+        self.spark.sql(f"DROP TABLE {name}_old_{mark}")
 
     def _alter(self, statement: str, ts: list[Token], parameters) -> DataFrame | None:
         words = [t.word for t in ts]
@@ -238,25 +347,44 @@ class Engine:
         return self._run(f"SELECT {returning} FROM {view}", ())
 
     def _insert(self, statement: str, ts: list[Token], parameters) -> DataFrame:
+        """Columns that are left out, or given as DEFAULT, get their defaults; numbered ones the next value for each row."""
         ts, returning = self._returning(ts)
         name, at = ts[2].text.strip('"`'), 3
         table = self.spark.table(name)
-        columns = table.columns
-        if ts[at].text == "(" and ts[at + 1].word not in ("SELECT", "VALUES"):
+        own = self.definitions.get(name.lower())
+        defaults, identity = (own.defaults, own.identity) if own else ({}, {})
+        columns = None
+        if ts[at].text == "(" and ts[at + 1].word not in ("SELECT", "VALUES", "WITH"):
             end = closing(ts, at)
             columns = [t.text.strip('"`') for t in ts[at + 1 : end] if t.text != ","]
             at = end + 1
-        source = " ".join("NULL" if t.word == "DEFAULT" else t.text for t in ts[at:])
-        rows = self._run(f"SELECT * FROM ({source}) AS v" if ts[at].word == "VALUES" else source, parameters)
-        rows = rows.toDF(*columns)
+        if ts[at].word == "DEFAULT":  # DEFAULT VALUES
+            columns, rows = [], self.spark.range(1).select()
+        elif ts[at].word == "VALUES":
+            given = [split(row[1:-1], ",") for row in split(ts[at + 1 :], ",")]
+            columns = columns or table.columns[: len(given[0])]
+            value = lambda c, v: defaults.get(c.lower(), "NULL") if [t.word for t in v] == ["DEFAULT"] else " ".join(t.text for t in v)
+            written = ", ".join(f"({', '.join(value(c, v) for c, v in zip(columns, row, strict=True))})" for row in given)
+            rows = self._run(f"SELECT * FROM (VALUES {written}) AS v", parameters).toDF(*columns)
+        else:
+            rows = self._run(" ".join(t.text for t in ts[at:]), parameters)
+            columns = columns or table.columns[: len(rows.columns)]
+            rows = rows.toDF(*columns)
+        there = {c.lower(): c for c in columns}
+        other = lambda c: F.expr(dialect.to_spark(self._numbers(defaults[c.lower()]))) if c.lower() in defaults else F.lit(None)
+        with lenient(self.spark):
+            rows = rows.select(*[(F.col(there[c.lower()]) if c.lower() in there else other(c)).cast(k).alias(c) for c, k in table.dtypes])
         kinds = dict(table.dtypes)
-        rows = rows.select(*[(F.col(c) if c in columns else F.lit(None)).cast(kinds[c]).alias(c) for c in table.columns])
-        if returning is not None or name in str(source).split():  # read once: what is returned is what was written
-            view = f"{name}_rows_{uuid.uuid4().hex[:8]}"
-            self._keep(view, rows)
-            rows = self.spark.table(view)
-        rows.write.mode("append").format("parquet").saveAsTable(name)
-        return self._answer(rows, returning, None)
+        for c in table.columns:
+            if c.lower() in identity:
+                kept = self._kept(rows.withColumn("row_no", F.monotonically_increasing_id()), "identity")
+                new = self.sequences[f"{name}/{c}".lower()].number(kept.where(F.col(c).isNull()), "row_no", c)
+                rows = kept.where(F.col(c).isNotNull()).unionByName(new.withColumn(c, F.col(c).cast(kinds[c]))).drop("row_no")
+        if returning is not None or name in [t.text.strip('"`') for t in ts[at:]]:  # read once: what is returned is what was written
+            rows = self._kept(rows, "inserted")
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").format("parquet").saveAsTable(name)
+        return self._answer(rows, returning, seen.get["n"])
 
     def _update(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         ts, returning = self._returning(ts)
@@ -281,7 +409,9 @@ class Engine:
             other = " ".join(t.text for t in ts[source + 1 : where])
             rowed, key = table.withColumn("_row", F.monotonically_increasing_id()), f"{name}_old_{uuid.uuid4().hex[:8]}"
             self._keep(key, rowed)  # numbers must not change between the two reads
-            hits = self._run(f"SELECT {alias}._row AS _hit, {', '.join(new)} FROM {key} AS {alias}, {other} WHERE {condition}", parameters).dropDuplicates(["_hit"])
+            self.scratch.append(key)
+            hits = self._run(f"SELECT {alias}._row AS _hit, {', '.join(new)} FROM {key} AS {alias}, {other} WHERE {condition}", parameters)
+            hits = hits.groupBy("_hit").agg(F.min(F.struct(*[f"new_{c}" for c in table.columns])).alias("_new")).select("_hit", "_new.*")  # of several matches always the same
             all_ = self.spark.table(key).join(hits, F.col("_row") == F.col("_hit"), "left").withColumn("_is", F.col("_hit").isNotNull())
         else:
             all_ = self._run(f"SELECT {alias}.*, {', '.join(new)}, coalesce({condition}, FALSE) AS _is FROM {name} AS {alias}", parameters)
@@ -300,9 +430,7 @@ class Engine:
 
     def _swap(self, name: str, done: DataFrame, columns: list[str], returning: str | None, drop: bool = False) -> DataFrame:
         """Keep the judged rows as a table of their own, put its rows in the table's place, and return those that are hit."""
-        judged = f"{name}_judged_{uuid.uuid4().hex[:8]}"
-        self._keep(judged, done)
-        rows = self.spark.table(judged)
+        rows = self._kept(done, "judged")
         self._replace(name, (rows.where(~F.col("_is")) if drop else rows).select(*columns))
         return self._answer(rows.where("_is").select(*columns), returning)
 
@@ -321,9 +449,7 @@ class Engine:
             end = closing(ts, 2)
             if end > 3:
                 given = list(self._run("SELECT " + " ".join(t.text for t in ts[3:end]), ()).first())
-        inner = tokens(inner)
-        places = [int(t.text[1:]) for t in inner if t.kind == "place"]
-        return self.sql("".join("?" if t.kind == "place" else t.text for t in inner), [given[n - 1] for n in places] or given)
+        return self._executed(inner, given)
 
     def _deallocate(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         del self.prepared[ts[-1].text.lower()]
@@ -332,13 +458,17 @@ class Engine:
     def _declare(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         inner = tokens(statement)
         at = next(i for i, t in enumerate(inner) if t.word == "FOR")
-        self.cursors[ts[1].text.lower()] = self.sql(text(inner[at + 1 :]), parameters).toLocalIterator()
+        self.cursors[ts[1].text.lower()] = self.sql(text(inner[at + 1 :]), parameters), None
         return self._empty()
 
     def _fetch(self, statement: str, ts: list[Token], parameters) -> DataFrame:
-        """FETCH [NEXT | n | ALL] FROM name. Rows come from the tasks one partition at a time."""
-        cursor = self.cursors[ts[-1].text.lower()]
-        words = [t.word or t.text for t in ts[1:]]
+        """FETCH [NEXT | n | ALL] FROM name. Rows come from the tasks one partition at a time; all of them stay where they are."""
+        name, words = ts[-1].text.lower(), [t.word or t.text for t in ts[1:]]
+        df, cursor = self.cursors[name]
+        if cursor is None:
+            self.cursors[name] = df, (cursor := iter(()) if words[0] == "ALL" else df.toLocalIterator())
+            if words[0] == "ALL":
+                return df
         most = None if words[0] == "ALL" else int(words[0]) if words[0].isdigit() else 1
         rows = []
         while most is None or len(rows) < most:
@@ -346,7 +476,7 @@ class Engine:
             if row is None:
                 break
             rows.append(row)
-        return self.spark.createDataFrame(rows) if rows else self._empty()
+        return self.spark.createDataFrame(rows, df.schema)
 
     def _close(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         del self.cursors[ts[-1].text.lower()]
@@ -356,7 +486,8 @@ class Engine:
         given = list(parameters)
         if len(ts) > 4:
             given = list(self._run("SELECT " + " ".join(t.text for t in ts[3 : closing(ts, 2)]), parameters).first())
-        return self.procedures[ts[1].text.lower()](self.spark, *given)
+        done = self.procedures[ts[1].text.lower()](self.spark, *given)
+        return self.spark.createDataFrame([tuple(done.values())], [*done]) if isinstance(done, dict) else done
 
     def _copy(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         """``COPY table [(columns)] FROM 'path' ...`` and ``COPY table | (query) TO 'path' ...`` with CSV options."""
@@ -389,9 +520,8 @@ class Engine:
 
     def _show(self, statement: str, ts: list[Token], parameters) -> DataFrame | None:
         name = ts[1].text.lower()
-        if name in self.settings:
-            return self.spark.createDataFrame([(self.settings[name],)], f"`{name}` string")
-        return None
+        value = self.settings.get(name, self.spark.conf.get(name, None) if len(ts) == 2 else None)
+        return None if value is None else self.spark.createDataFrame([(value,)], f"`{name}` string")
 
     def _begin(self, statement: str, ts: list[Token], parameters) -> DataFrame:
         return self._empty()
@@ -416,7 +546,7 @@ class Engine:
         self.spark.udf.register(name, own if deterministic else own.asNondeterministic())
 
     def procedure(self, name: str, f: Callable[..., DataFrame]) -> None:
-        """A routine for CALL: takes the session and values, and returns a frame."""
+        """A routine for CALL: takes the session and values, and returns a frame, or a dictionary of its OUT parameters for one row."""
         self.procedures[name.lower()] = f
 
     # groups
@@ -430,7 +560,7 @@ class Engine:
     def orphans(self, child: str, parent: str | None = None) -> DataFrame:
         """Rows whose foreign key has no parent."""
         to, edge = self._parent(child, parent)
-        return groups.inconsistent(self.spark.table(child), self.spark.table(to).withColumnRenamed(edge.parent_key, "_pk"), groups.Edge("_pk", edge.child_key))
+        return groups.inconsistent(self.spark.table(child), self.spark.table(to), edge)
 
     def group(self, root: str) -> groups.Node:
         """The tree of tables below ``root``, by their grouping keys. A key of the same name as its parent's is renamed inside."""
@@ -459,6 +589,55 @@ class Engine:
         own = self.definitions[root.lower()].key[0]
         return groups.dump(groups.Node(node.name, node.rows.where(F.col(own).cast("string") == str(key)), node.columns, None, node.children), depth)
 
+    def dump_script(self, root: str) -> DataFrame:
+        """A group as INSERT statements, ``(level, statement)``: a table's rows after those of its parent's level."""
+
+        def written(c: str, kind: str) -> Column:
+            value = F.col(c).cast("string")
+            plain = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal")
+            return F.coalesce(value if plain else F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+
+        def lines(node: groups.Node, level: int) -> DataFrame:
+            kinds = dict(node.rows.dtypes)
+            values = F.concat_ws(", ", *[written(c, kinds[c]) for c in node.columns])
+            out = node.rows.select(F.lit(level).alias("level"), F.concat(F.lit(f'INSERT INTO "{node.name}" VALUES('), values, F.lit(");")).alias("statement"))
+            for child in node.children:
+                out = out.union(lines(child, level + 1))
+            return out
+
+        return lines(self.group(root), 0)
+
+    def delete_entity(self, root: str, key: str) -> DataFrame:
+        """Delete a root row by its primary key, with all rows below it; returns how many rows went from each table."""
+        node, own = self.group(root), self.definitions[root.lower()].key[0]
+        found = groups.select_tree(node, F.col(own).cast("string") == str(key))
+        gone, counts = {}, []
+
+        def visit(node: groups.Node, parent: str | None) -> None:
+            gone[node.name] = self._kept(found[node.name], "entity")
+            counts.append((node.name, gone[node.name].count()))
+            for child in node.children:
+                visit(child, node.name)
+
+        def drop(node: groups.Node, parent: groups.Node | None) -> None:
+            for child in node.children:
+                drop(child, node)
+            if parent is None:
+                rest = node.rows.where(~F.coalesce(F.col(own).cast("string") == str(key), F.lit(False)))
+            else:
+                ups = gone[parent.name].select(F.col(node.edge.parent_key).alias("gone_key")).distinct()
+                rest = node.rows.join(ups, F.col(node.edge.child_key) == F.col("gone_key"), "left_anti")
+            self._replace(node.name, rest.select(*node.columns))
+
+        visit(node, None)
+        drop(node, None)
+        return self.spark.createDataFrame(counts, "table_name string, n long")
+
+    def update_entity(self, root: str, key: str, body: str) -> DataFrame:
+        """Put a nested JSON text in the place of a root row and all below it; returns the root's key."""
+        self.delete_entity(root, key)
+        return self.insert_entity(root, body)
+
     def insert_entity(self, root: str, body: str) -> DataFrame:
         """A nested JSON text as rows of the group's tables; returns the root's key."""
 

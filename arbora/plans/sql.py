@@ -45,7 +45,6 @@ BOTH = {
     "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 10",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "setop_precedence": "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_nationkey > 20",
-    "eq_any": "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)",
     "any_gt": "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT p_size FROM part WHERE p_brand = 'Brand#11')",
     "all_ge": "SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT p_size FROM part WHERE p_brand = 'Brand#11')",
     "ne_all": "SELECT n_name FROM nation WHERE n_nationkey <> ALL (SELECT s_nationkey FROM supplier)",
@@ -56,8 +55,6 @@ BOTH = {
     "fn_concat_ws": "SELECT c_custkey, concat_ws('-', c_mktsegment, nullif(c_name, ''), 'z') AS c FROM customer",
     "fn_date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(dayofyear(o_orderdate) AS INT) AS n, last_day(o_orderdate) AS l FROM orders",
     "fn_cond_null": "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS a, nullif(c_mktsegment, 'BUILDING') AS b FROM customer",
-    "view": "WITH v AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS m FROM v GROUP BY n",
-    "ctas": "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_orderstatus",
     "ext_window_rank": "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST) AS INT) AS r FROM customer",
     "ext_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
 }
@@ -90,14 +87,12 @@ TWO = {
         "SELECT o_orderkey, strftime(o_orderdate, '%U')::INT AS w0, CASE WHEN strftime(o_orderdate, '%U') = '00' THEN strftime(make_date(year(o_orderdate) - 1, 12, 31), '%U') ELSE strftime(o_orderdate, '%U') END::INT AS w2, strftime(o_orderdate, '%W')::INT AS w5, CASE WHEN month(o_orderdate) = 12 AND weekofyear(o_orderdate) = 1 THEN 53 ELSE weekofyear(o_orderdate) END::INT AS w3,"
         " CASE WHEN strftime(o_orderdate, '%W') = '00' THEN strftime(make_date(year(o_orderdate) - 1, 12, 31), '%Y%W') ELSE strftime(o_orderdate, '%Y%W') END::INT AS y7, strftime(o_orderdate, '%Y/%-m/%-d %A %H:%M:%S') AS f, dayname(o_orderdate) AS d, epoch(o_orderdate)::BIGINT + 719528 * 86400::BIGINT AS s, o_orderdate::DATE AS b, 200000::BIGINT + CASE WHEN month(o_orderdate) = 1 THEN -88 ELSE month(o_orderdate) - 1 END AS p FROM orders",
     ),
-    "regex_match": ("SELECT c_custkey FROM customer WHERE c_name RLIKE '(?i)customer#0+1[0-9]+$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+1[0-9]+$')"),
     "join_broadcast": ("SELECT /*+ BROADCAST(n) */ n_name, count(*) AS n FROM customer JOIN nation n ON c_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "group_concat": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "group_concat_distinct": (
         "SELECT o_orderstatus, listagg(DISTINCT o_orderpriority, ';') WITHIN GROUP (ORDER BY o_orderpriority) AS p FROM orders GROUP BY o_orderstatus",
         "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS p FROM orders GROUP BY o_orderstatus",
     ),
-    "agg_first": ("SELECT o_custkey, min_by(o_orderstatus, o_orderkey) AS f FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS f FROM orders GROUP BY o_custkey"),
     "fn_locate_replace": ("SELECT p_partkey, locate('a', p_name) AS l, replace(p_name, 'a', '__') AS r FROM part", "SELECT p_partkey, CAST(instr(p_name, 'a') AS INT) AS l, replace(p_name, 'a', '__') AS r FROM part"),
     "fn_hex_base64": ("SELECT p_partkey, hex(p_brand) AS h, base64(CAST(p_brand AS BINARY)) AS b FROM part", "SELECT p_partkey, hex(p_brand) AS h, base64(encode(p_brand)) AS b FROM part"),
     "fn_md5": ("SELECT p_partkey, md5(p_name) AS m FROM part", "SELECT p_partkey, md5(p_name) AS m FROM part"),
@@ -108,8 +103,25 @@ TWO = {
     "fn_date_diff": ("SELECT o_orderkey, datediff(o_orderdate, DATE '1994-02-28') AS d FROM orders", "SELECT o_orderkey, CAST(date_diff('day', DATE '1994-02-28', CAST(o_orderdate AS DATE)) AS INT) AS d FROM orders"),
     "fn_timestampdiff": ("SELECT event_id, timestampdiff(HOUR, TIMESTAMP '2020-01-01 00:00:00', ts) AS h FROM events", "SELECT event_id, datesub('hour', TIMESTAMP '2020-01-01 00:00:00', ts) AS h FROM events"),
     "fn_unixtime": ("SELECT event_id, unix_timestamp(ts) AS u FROM events", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS u FROM events"),
-    "update_join": (
-        "SELECT s_suppkey, coalesce(n_name, '?') AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON s_nationkey = n_nationkey",
-        "SELECT s_suppkey, coalesce(n_name, '?') AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON s_nationkey = n_nationkey",
+    "eq_any": ("SELECT n_name FROM nation WHERE n_nationkey = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)", "SELECT n_name FROM nation WHERE n_nationkey = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"),
+    "agg_first": (
+        "SELECT o_orderpriority, FIRST(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS f, FIRST(CASE WHEN o_orderkey < 0 THEN 1 END) AS n FROM orders GROUP BY o_orderpriority",
+        "SELECT o_orderpriority, max(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS f, max(CASE WHEN o_orderkey < 0 THEN 1 END) AS n FROM orders GROUP BY o_orderpriority",
+    ),
+    "regex_match": (
+        "SELECT c_custkey, REGEX(c_name, '^Customer#0+1[0-9]+$') AS a, IREGEX(c_mktsegment, 'build') AS b, REGEX(c_mktsegment, 'MACH', 'i') AS c, c_name REGEX '9$' AS d, NOT (c_mktsegment BLIKE 'build%') AS e FROM customer WHERE c_name IREGEX 'CUSTOMER' AND c_custkey MOD 3 = 1",
+        "SELECT c_custkey, regexp_matches(c_name, '^Customer#0+1[0-9]+$') AS a, regexp_matches(c_mktsegment, 'build', 'i') AS b, regexp_matches(c_mktsegment, 'MACH', 'i') AS c, regexp_matches(c_name, '9$') AS d, c_mktsegment NOT LIKE 'build%' AS e FROM customer WHERE c_custkey % 3 = 1",
+    ),
+    "cast_sql": (
+        "SELECT c_custkey, CAST(concat(c_custkey, 'abc') AS INT) AS a, CAST(c_name AS INT) AS b, CAST(c_acctbal AS INT) AS c, CAST(concat(c_acctbal, 'e') AS BIGINT) AS d, CONVERT(concat(c_custkey, '.5x'), SIGNED) AS e, CAST(c_acctbal * 1e9 AS INT) AS f, CAST(c_acctbal AS INT UNSIGNED) AS g, CAST(concat(c_nationkey, '.25?') AS DOUBLE) AS h, CAST(c_mktsegment AS CHAR(4)) AS i FROM customer",
+        "SELECT c_custkey, c_custkey::INT AS a, 0 AS b, floor(c_acctbal + 0.5)::INT AS c, round(c_acctbal::DECIMAL(18,2))::BIGINT AS d, c_custkey + 1 AS e, least(greatest(floor(c_acctbal * 1e9 + 0.5), -2147483648), 2147483647)::INT AS f, greatest(floor(c_acctbal + 0.5), 0)::BIGINT AS g, c_nationkey + 0.25::DOUBLE AS h, left(c_mktsegment, 4) AS i FROM customer",
+    ),
+    "fulltext_sql": (
+        "SELECT doc_id FROM documents WHERE FULL_TEXT_SEARCH(text, '+the -(stupid idiot) (\"of the\" and)')",
+        "WITH t AS (SELECT doc_id, ' ' || array_to_string(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), ' ') || ' ' AS w FROM documents) SELECT doc_id FROM t WHERE contains(w, ' the ') AND NOT (contains(w, ' stupid ') OR contains(w, ' idiot '))",
+    ),
+    "fn_sql_forms": (
+        "SELECT p_partkey, SUBSTRING(p_name FROM 2 FOR 3) AS a, p_partkey MOD 7 AS b, TIME('2001-01-01 10:11:12') AS c, CAST(SIGN(p_size - 20) AS INT) AS d FROM part",
+        "SELECT p_partkey, substring(p_name, 2, 3) AS a, p_partkey % 7 AS b, '10:11:12' AS c, sign(p_size - 20)::INT AS d FROM part",
     ),
 }

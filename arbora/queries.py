@@ -141,7 +141,7 @@ def _flat(df):
 
 def _groups(how="inner", **keep):
     def run(s, d):
-        orders = _t(s, d, "orders").where("o_orderkey % 3 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1000000))
+        orders = _t(s, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1000000))
         return _flat(groups.flatten(_t(s, d, "customer"), orders, CO, how, **keep))
 
     return run
@@ -168,17 +168,137 @@ def select_star_star(s, d):
     return groups.nest(_t(s, d, "customer").select("c_custkey", "c_name"), lines, CO, ["o_orderkey", "lines"], "orders").select("c_custkey", "c_name", F.to_json("orders").alias("orders"))
 
 
-def insert_returning(s, d):
-    table = _t(s, d, "nation")
-    return dml.insert(table, s.createDataFrame([(100, "ATLANTIS", 1)], "a int, b string, c int"))[0]
+def _engine(s, d, *names, **tables):
+    """An engine in a database of its own, with copies of tables."""
+    database = f"arbora_{uuid.uuid4().hex[:8]}"
+    s.sql(f"CREATE DATABASE {database}")
+    before = s.catalog.currentDatabase()
+    s.catalog.setCurrentDatabase(database)
+    try:
+        for name in names:
+            s.catalog.dropTempView(name)
+            _t(s, d, name).write.saveAsTable(name)
+        yield Engine(s)
+    finally:
+        s.catalog.setCurrentDatabase(before)
 
 
-def update_returning(s, d):
-    return dml.update(_t(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") == 3, s_nationkey=F.col("s_nationkey") + 100)[1]
+def _by_engine(*names):
+    """A query that runs statements on copies of tables; what it returns is read by full names, whatever database is current then."""
 
+    def wrap(f):
+        def run(s, d):
+            for engine in _engine(s, d, *names):
+                return f(engine)
 
-def delete_returning(s, d):
-    return dml.delete(_t(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") < 12)[0]
+        run.__name__, run.__module__ = f.__name__, __name__
+        return run
+
+    return wrap
+
+
+@_by_engine("nation")
+def insert_returning(e):
+    return e.sql("INSERT INTO nation VALUES (100, 'ATLANTIS', 1), (101, 'LEMURIA', 2) RETURNING n_nationkey, lower(n_name) AS n, n_regionkey + 1 AS r")
+
+
+@_by_engine("nation")
+def insert_default(e):
+    e.script("""CREATE TABLE n (id SERIAL, n_name STRING, region INT DEFAULT 7, mark STRING DEFAULT 'x' NOT NULL);
+        INSERT INTO n (n_name, region) SELECT n_name, n_regionkey FROM nation ORDER BY n_nationkey; INSERT INTO n VALUES (DEFAULT, 'a', DEFAULT), (NULL, 'b', NULL); INSERT INTO n (n_name) VALUES ('c')""")
+    return e.sql("SELECT * FROM n")
+
+
+@_by_engine("nation")
+def nextval_rows(e):
+    e.script("CREATE SEQUENCE s START WITH 10 INCREMENT BY 5")
+    return e.sql("SELECT n_name, NEXTVAL('s') AS a FROM nation WHERE n_regionkey < 3 ORDER BY n_name DESC")
+
+
+@_by_engine("nation")
+def nextval_insert(e):
+    e.script("CREATE SEQUENCE s MAXVALUE 1000; CREATE TABLE t (k BIGINT, v STRING); INSERT INTO t VALUES (NEXT VALUE FOR s, 'x'), (NEXT VALUE FOR s, 'y'); INSERT INTO t SELECT NEXT VALUE FOR s, n_name FROM nation ORDER BY n_nationkey")
+    return e.sql("SELECT k, v FROM t")
+
+
+@_by_engine("supplier")
+def update_returning(e):
+    return e.sql("UPDATE supplier SET s_nationkey = s_nationkey + 100 WHERE s_nationkey = 3 RETURNING s_suppkey, s_nationkey")
+
+
+@_by_engine("supplier", "nation")
+def update_join(e):
+    e.sql("UPDATE supplier SET s_name = n.n_name FROM nation n WHERE n.n_nationkey = supplier.s_nationkey AND n.n_regionkey < 3")
+    return e.sql("SELECT s_suppkey, s_name FROM supplier")
+
+
+@_by_engine("supplier")
+def delete_returning(e):
+    return e.sql("DELETE FROM supplier WHERE s_nationkey < 12 RETURNING s_suppkey, s_nationkey")
+
+
+@_by_engine("supplier")
+def delete_rest(e):
+    e.sql("DELETE FROM supplier WHERE s_nationkey < 12")
+    return e.sql("SELECT s_suppkey, s_nationkey FROM supplier")
+
+
+@_by_engine("orders")
+def ctas(e):
+    e.sql("CREATE TABLE totals AS SELECT o_orderstatus, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_orderstatus WITH DATA")
+    return e.sql("SELECT * FROM totals")
+
+
+@_by_engine("orders")
+def view(e):
+    e.sql("CREATE VIEW of_customers AS SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+    out = e.sql("SELECT n, count(*) AS m FROM of_customers GROUP BY n")
+    e.sql("DROP VIEW of_customers")
+    return out
+
+
+@_by_engine("nation")
+def routine_sql(e):
+    e.script("CREATE FUNCTION twice(x INT) RETURNS INT LANGUAGE SQL PARAMETER STYLE ROW AS $$ x * 2 $$; CREATE PROCEDURE of_region(IN r INT) LANGUAGE SQL PARAMETER STYLE ROW AS 'SELECT n_name, twice(n_nationkey) AS t FROM nation WHERE n_regionkey = $1'")
+    return e.sql("CALL of_region(2)")
+
+
+@_by_engine("customer", "orders")
+def select_star_star_sql(e):
+    e.script("""CREATE TABLE c (cid BIGINT PRIMARY KEY, seg STRING); CREATE TABLE o (oid BIGINT PRIMARY KEY, cid BIGINT, status STRING, GROUPING FOREIGN KEY (cid) REFERENCES c (cid));
+        INSERT INTO c SELECT c_custkey, c_mktsegment FROM customer; INSERT INTO o SELECT o_orderkey, o_custkey, o_orderstatus FROM orders""")
+    return e.sql("SELECT ** FROM c WHERE cid < 40").select("cid", "seg", F.to_json("o").alias("o"))
+
+
+def _coi_names(s, d):
+    """Customers and orders whose keys have the same name."""
+    return _t(s, d, "customer").select(F.col("c_custkey").alias("cid"), "c_mktsegment"), _t(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cid"))
+
+
+def flatten_same_key(s, d):
+    customers, orders = _coi_names(s, d)
+    return groups.flatten(customers, orders, groups.Edge("cid", "cid"), "left").select("cid", "c_mktsegment", "o_orderkey", "child_cid")
+
+
+def nest_same_key(s, d):
+    customers, orders = _coi_names(s, d)
+    return groups.nest(customers, orders, groups.Edge("cid", "cid"), ["o_orderkey", "cid"], "orders").select("cid", F.to_json("orders").alias("orders"))
+
+
+def branch_same_key(s, d):
+    customers, orders = _coi_names(s, d)
+    return groups.branch(customers.where("c_mktsegment = 'BUILDING'"), orders, groups.Edge("cid", "cid"))
+
+
+def product_same_key(s, d):
+    customers, orders = _coi_names(s, d)
+    few = orders.where("o_orderkey < 2000")
+    return groups.product(customers, few, groups.Edge("cid", "cid"), few.withColumnRenamed("o_orderkey", "other"), groups.Edge("cid", "cid")).select("cid", "o_orderkey", "other", "first_cid", "second_cid")
+
+
+def group_select_tree(s, d):
+    found = groups.select_tree(_coi(s, d), F.col("c_acctbal") > 9000)
+    return found["customer"].select(F.lit("customer").alias("t"), F.col("c_custkey").alias("k")).union(found["orders"].select(F.lit("orders"), "o_orderkey")).union(found["lines"].select(F.lit("lines"), F.col("l_orderkey") * 10 + F.col("l_linenumber")))
 
 
 def info_schema_columns(s, d):
@@ -242,7 +362,7 @@ def group_select(s, d):
 
 def hkey_union(s, d):
     orders = _t(s, d, "orders")
-    return orders.where("o_totalprice > 400000").select("o_custkey").union(orders.where("o_orderpriority = '1-URGENT'").select("o_custkey")).distinct()
+    return groups.hkey_union(orders.where("o_totalprice > 400000").select("o_custkey"), orders.where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 def foreign_key_orphans(s, d):
@@ -278,8 +398,11 @@ def fn_crc32(s, d):
 
 
 def fn_aes(s, d):
-    name = F.col("n_name")
-    return _t(s, d, "nation").select("n_nationkey", C.aes_decrypt(C.aes_encrypt(name, F.lit("a long key of words")), F.lit("a long key of words")).cast("string").alias("n"))
+    """A round trip, and the known answer of the standard's example (FIPS 197, C.1) as the first block."""
+    name, key = F.col("n_name"), F.lit("a long key of words")
+    known = C.aes_encrypt(F.unhex(F.lit("00112233445566778899AABBCCDDEEFF")), F.unhex(F.lit("000102030405060708090A0B0C0D0E0F")))
+    wrapped = C.aes_encrypt(F.unhex(F.lit("00112233445566778899AABBCCDDEEFF")), F.unhex(F.lit("F00102030405060708090A0B0C0D0E0FF0")))  # the key's last byte folds into its first
+    return _t(s, d, "nation").select("n_nationkey", C.aes_decrypt(C.aes_encrypt(name, key), key).cast("string").alias("n"), F.left(F.hex(known), F.lit(32)).alias("known"), F.left(F.hex(wrapped), F.lit(32)).alias("wrapped"))
 
 
 def _scratch(s):

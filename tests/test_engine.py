@@ -141,6 +141,45 @@ def test_groups(engine):
     engine.script("DELETE FROM customers WHERE cid = 7; DELETE FROM addresses WHERE cid = 7")
 
 
+def test_entities_and_scripts(engine):
+    engine.insert_entity("customers", '{"cid": 8, "name": "O\'Neil", "orders": [{"oid": 801, "order_date": "2012-01-01", "items": [{"iid": 8011, "sku": "s", "quan": 2}]}]}')
+    script = [r.statement for r in engine.dump_script("customers").orderBy("level", "statement").collect()]
+    assert script[0] == "INSERT INTO \"customers\" VALUES(1, 'Smith');" and "INSERT INTO \"customers\" VALUES(8, 'O''Neil');" in script and "INSERT INTO \"addresses\" VALUES(101, 1, 'MA', NULL);" in script
+    assert script.index('INSERT INTO "orders" VALUES(801, 8, \'2012-01-01\');') < script.index('INSERT INTO "items" VALUES(8011, 801, \'s\', 2);')
+    engine.update_entity("customers", "8", '{"cid": 8, "name": "New", "addresses": [{"aid": 802, "state": "VT"}]}')
+    assert json.loads(engine.entity("customers", "8").first()[0]) == {"cid": 8, "name": "New", "addresses": [{"aid": 802, "cid": 8, "state": "VT"}]}
+    assert {tuple(r) for r in engine.delete_entity("customers", "8").collect()} == {("customers", 1), ("orders", 0), ("items", 0), ("addresses", 1)}
+    assert [engine.spark.table(t).count() for t in ("customers", "orders", "items", "addresses")] == [3, 4, 4, 2]
+
+
+def test_sequences_and_defaults(engine):
+    engine.script("CREATE SEQUENCE up START WITH 3 MAXVALUE 5 NO CYCLE; CREATE SEQUENCE round START WITH 2 INCREMENT BY -1 MINVALUE 1 MAXVALUE 2 CYCLE")
+    assert [engine.sql("SELECT NEXT VALUE FOR up AS v").first()[0] for _ in range(3)] == [3, 4, 5]
+    assert engine.sql("SELECT CURRENT VALUE FOR up AS v").first()[0] == 5 and [engine.sql("SELECT NEXTVAL('test', 'round') AS v").first()[0] for _ in range(3)] == [2, 1, 2]
+    with pytest.raises(ValueError, match="exhausted"):
+        engine.sql("SELECT NEXT VALUE FOR up AS v")
+    with pytest.raises(ValueError, match="stands alone"):
+        engine.sql("SELECT NEXTVAL('round') + 1 FROM customers")
+    engine.script("CREATE TABLE d (id SERIAL PRIMARY KEY, n1 INT, n2 INT DEFAULT 1, t TIMESTAMP DEFAULT CURRENT TIMESTAMP, g INT GENERATED BY DEFAULT AS IDENTITY (START WITH 50, INCREMENT BY 10)); INSERT INTO d VALUES (DEFAULT); INSERT INTO d DEFAULT VALUES")
+    assert rows(engine.sql("INSERT INTO d (n1, n2, t) VALUES (3, NULL, NULL), (4, DEFAULT, DEFAULT), (5, 100, TIMESTAMP '2001-01-01 13:05:59')")) == [(3,)]
+    assert sorted(rows(engine.sql("SELECT id, n1, n2, t IS NULL, g FROM d")), key=lambda r: r[0]) == [(1, None, 1, False, 50), (2, None, 1, False, 60), (3, 3, None, True, 70), (4, 4, 1, False, 80), (5, 5, 100, False, 90)]
+    engine.script("RENAME TABLE d TO d2; INSERT INTO d2 (n1) VALUES (6)")
+    assert rows(engine.sql("SELECT id, g FROM d2 WHERE n1 = 6")) == [(6, 100)] and rows(engine.sql("SELECT SLEEP(0.01) AS s")) == [(0,)]
+    engine.procedure("bounds", lambda spark, n: {"low": -n, "high": n})
+    assert engine.sql("CALL bounds(4)").first().asDict() == {"low": -4, "high": 4}
+    engine.sql("SET zone TO 'x'")
+    assert rows(engine.sql("SHOW zone")) == [("x",)]
+    engine.close()
+
+
+def test_update_from_several_matches(engine):
+    """Always the same match, and nothing is lost while tables are swapped."""
+    engine.script("CREATE TABLE u AS SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(id, s); CREATE TABLE w AS SELECT * FROM (VALUES (1, 'z'), (1, 'y'), (1, 'x')) AS v(id, s)")
+    assert rows(engine.sql("UPDATE u SET s = w.s FROM w WHERE w.id = u.id RETURNING id, s")) == [(1, "x")]
+    assert sorted(rows(engine.sql("SELECT * FROM u"))) == [(1, "x"), (2, "b")]
+    assert not [t.name for t in engine.spark.catalog.listTables() if "_old_" in t.name and t.name.startswith("u_old") and t.name not in engine.scratch]
+
+
 def test_table_definition():
     d = dialect.table_definition('CREATE TABLE IF NOT EXISTS s.t ("A" INT UNSIGNED NOT NULL, b BIGINT UNSIGNED, c DECIMAL(5, 2), d DATETIME, e CHAR(3) FOR BIT DATA, f TIME, CONSTRAINT k PRIMARY KEY ("A", b), UNIQUE (c), FOREIGN KEY (b) REFERENCES u (x))')
     assert d.name == "s.t" and d.key == ["A", "b"] and d.parents == [("u", ["b"], ["x"], False)]
@@ -203,6 +242,9 @@ def test_search(spark):
     got = lambda q, **k: rows(full_text_search(df, q, "body", **k).select("id", "hits").orderBy("id"))
     assert got("red blue") == [(1, 1), (2, 1), (3, 1)] and got('+"red car"') == [(1, 1)] and got("+red old") == [(1, 1), (2, 2)] and got("car NOT title:old") == [(1, 1)] and got("") == []
     assert got("red old", limit=1, tie="id") == [(2, 2)]
+    assert got("+red -(old blue)") == [(1, 1)] and got("+(red blue) +(title:old car)") == [(1, 2), (2, 3)] and got("blue (red AND old)") == [(2, 2), (3, 1)] and got("(") == []
+    plan = full_text_search(df, "+red +car old", "body")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(body") == 1
 
 
 def test_tumbling_stream(spark, tmp_path):
