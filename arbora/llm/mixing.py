@@ -7,7 +7,8 @@ documents, and by one more of those that come first in a seeded order. Only Data
 
 Defined cases: a null text or one without words has 0 words, and so takes 0; a null source is a source of its own, last
 in order; rows with equal ids stand side by side in the seeded order, the smaller first; without any words all targets
-are 0; an empty table gives no rows.
+are 0; an empty table gives no rows. :func:`mix` does not look at columns beside key, text and source; :func:`apply_mix`
+carries them, whatever their names but those that start with ``mix_``. The sources, a row each, are ordered in one task.
 """
 
 from __future__ import annotations
@@ -66,9 +67,10 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     drawn = lambda: F.md5(F.coalesce(F.concat(F.col(key).cast("string"), F.lit(seed)), F.lit("")).cast("binary"))
     place = lambda size: F.struct(drawn().alias("a"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("b"), size.alias("c"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    plan = plan.withColumn("_whole", whole).groupBy(F.col(source).alias("_s")).agg(F.max("_whole").alias("_whole"), F.max(F.when(F.col("repeats") > F.col("_whole"), place(F.col("size")))).alias("_last"))
+    plan = plan.withColumn("mix_whole", whole).groupBy(F.col(source).alias("mix_s"))
+    plan = plan.agg(F.max("mix_whole").alias("mix_whole"), F.max(F.when(F.col("repeats") > F.col("mix_whole"), place(F.col("size")))).alias("mix_last"))
     plan = stored(plan, "mix-plan")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size).join(plan, F.col(source).eqNullSafe(F.col("_s")))
-    more = (F.col("_size") > 0) & F.coalesce(place(F.col("_size")) <= F.col("_last"), F.lit(False))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_whole") + more.cast("int")))).select(*docs.columns)
+    rows = docs.withColumn("mix_size", size).join(plan, F.col(source).eqNullSafe(F.col("mix_s")))
+    more = (F.col("mix_size") > 0) & F.coalesce(place(F.col("mix_size")) <= F.col("mix_last"), F.lit(False))
+    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_whole") + more.cast("int")))).select(*docs.columns)

@@ -7,7 +7,8 @@ whole batches at once.
 
 The model is fitted on a bounded sample of labelled rows (``most`` rows, see :func:`training.labelled_rows`); every document is
 scored on its whole text. Defined cases: a null or empty text has features of 0 and a score like any other; without labels
-of both kinds the score is the share of label 1, or 0.5; repeated rows get equal scores; an empty table gives no rows.
+of both kinds the score is the share of label 1, or 0.5; ties of pairs go by feature; repeated rows get equal scores; an
+empty table gives no rows. Columns beside key and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
