@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,9 @@ class Geometry:
         return 2 if self.areas() else 1 if self.segments() else 0
 
 
+@lru_cache(4096)
 def parse_wkt(text: str) -> Geometry:
+    """The geometry of a text; a constant is parsed once in a worker."""
     tokens, at = [], 0
     text = text.strip()
     while at < len(text):

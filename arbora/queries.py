@@ -432,9 +432,10 @@ def ext_stream_tumbling(s, d):
     table, base = _t(s, d, "events"), _scratch(s)
     stream = s.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     out = tumbling(stream, "ts", "1 hour", ["event_type"], n=F.count("*"), v=F.round(F.sum("value"), 4))
-    put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")
-    out.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{base}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "v")
+    put = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{base}/out")
+    out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    last = s.read.parquet(f"{base}/out").groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "v"), "batch").alias("x"))  # an update replaces earlier ones
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "x.n", "x.v")
 
 
 def udf_scalar(s, d):

@@ -34,9 +34,17 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 _INSERT = re.compile(r"insert\s+(?:ignore\s+)?into\s+(?:[`\"]?\w+[`\"]?\.)?[`\"]?(\w+)[`\"]?\s*(?:\(([^)]*)\))?\s*values\s*", re.IGNORECASE)
+#: Comments at the start of lines, and whole quoted texts.
+_QUOTED = re.compile(r"^\s*(?:--|#)[^\n]*$|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", re.MULTILINE | re.DOTALL)
 _ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 
 
+def ends_in_text(statement: str) -> bool:
+    """Whether a statement's end is inside quotes, so that it goes on after the semicolon."""
+    rest = _QUOTED.sub("", statement)
+    return any(c in rest for c in "'\"`")
+
+
 def insert_rows(statement: str, table: str) -> list[list[str | None]]:
     """Field texts of the rows of an INSERT statement; none for another table or another statement."""
     m = _INSERT.match(statement.strip())
@@ -81,15 +89,25 @@ def insert_rows(statement: str, table: str) -> list[list[str | None]]:
 def read_sql_dump(spark: SparkSession, path: str, table: str, schema: StructType | str) -> DataFrame:
     """The rows of one table in SQL dump files: its INSERT statements, each ended by a semicolon at a line's end.
 
-    Files are split at those, so a dump of any size is read by many tasks. Fields are cast to the schema; text that does
-    not fit gives NULL. Statements of other tables are left out.
+    Files are split at those, so a dump of any size is read by many tasks; where one is inside quotes the statement goes on
+    with the next part. If that is another task's, which needs such a text at a block's end, there is an error, and
+    ``spark.sql.files.maxPartitionBytes`` must be larger. Fields are cast to the schema; text that does not fit gives NULL.
+    Statements of other tables are left out.
     """
     own = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches):
+        open_ = ""
         for batch in batches:
-            rows = [r for s in batch["value"] for r in insert_rows(s, table)]
+            rows = []
+            for s in batch["value"]:
+                s = f"{open_};\n{s}" if open_ else s
+                open_ = s if ends_in_text(s) else ""
+                if not open_:
+                    rows += insert_rows(s, table)
             yield pd.DataFrame({"fields": rows})
+        if open_:
+            raise ValueError("a quoted text with a semicolon at a line's end goes over the end of a block: read larger blocks")
 
     lines = spark.read.option("lineSep", ";\n").text(path).mapInPandas(run, "fields array<string>")
     return lines.select(*[F.get("fields", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(own.fields)])

@@ -227,9 +227,9 @@ def test_copy(engine, tmp_path):
 def test_sql_dump(spark, tmp_path):
     from arbora.sources.files import as_json, read_sql_dump
 
-    (tmp_path / "dump.sql").write_text("-- dump\nCREATE TABLE `t` (`a` int);\nINSERT INTO `t` VALUES (1,'it\\'s; a\\nline',2.5),(2,NULL,NULL),(3,'x''y','');\nINSERT INTO `u` VALUES (9,'no',1);\nINSERT INTO `t` (a,b,c) VALUES (4, 'NULL', -1e2);\n")
+    (tmp_path / "dump.sql").write_text("-- dump\nCREATE TABLE `t` (`a` int);\nINSERT INTO `t` VALUES (1,'it\\'s; a\\nline',2.5),(2,NULL,NULL),(3,'x''y','');\nINSERT INTO `u` VALUES (9,'no',1);\nINSERT INTO `t` (a,b,c) VALUES (4, 'NULL', -1e2);\nINSERT INTO `t` VALUES (5,'ends;\nINSERT INTO `t` VALUES (7,''z'',0);\nhere',1);\n")
     got = rows(read_sql_dump(spark, f"{tmp_path}/dump.sql", "t", "a int, b string, c double"))
-    assert got == [(1, "it's; a\nline", 2.5), (2, None, None), (3, "x'y", None), (4, "NULL", -100.0)]
+    assert got == [(1, "it's; a\nline", 2.5), (2, None, None), (3, "x'y", None), (4, "NULL", -100.0), (5, "ends;\nINSERT INTO `t` VALUES (7,'z',0);\nhere", 1.0)]
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert as_json(df).first()[0] == '{"a":1,"b":null}' and json.loads(as_json(df, meta=True).first()[0])["columns"][1] == {"name": "b", "type": "string"}
 
