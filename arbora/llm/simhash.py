@@ -277,8 +277,8 @@ def within(nodes: DataFrame, radius: int) -> DataFrame:
     bits = max(0, min(21, int(np.log2(max(1, nodes.count() / SHARD)))))
     keys = [F.struct(F.lit(p).alias("part"), F.shiftrightunsigned("node", at + wide - bits).bitwiseAND((1 << bits) - 1).alias("value")) for p, (at, wide) in enumerate(BLOCKS)]
     dealt = nodes.select("node", F.explode(F.array(*keys)).alias("s")).select("node", "s.part", "s.value")
-    shards = dealt.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = dealt.join(F.broadcast(shards), ["part", "value"])  # 3 * 2 ** 21 rows at most
+    shards = stored(dealt.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+    dealt = dealt.join(shards, ["part", "value"])  # small shards' sizes are broadcast by the planner, a large shard's rows can be split
     dealt = dealt.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # in the pair (t, t) all are on side 0; in (a, b) tile a is on side 0 and tile b on side 1
@@ -315,9 +315,9 @@ def alike(rows: DataFrame, chosen: DataFrame, radius: int, least: float) -> Data
 def alike_in_large(rows: DataFrame, run, least: float, rounds: int = 3) -> DataFrame:
     """The links of shards that no task can hold: ``rows`` are ``(part, value, node, fp, grams)``."""
     shard = ["part", "value"]
-    for n in range(rounds):  # sets that share too little with all others of the shard have no link
+    for _ in range(rounds):  # sets that share too little with all others of the shard have no link
         held = rows.select(*shard, "node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-        often = held.groupBy(*shard, "gram").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        often = stored(held.groupBy(*shard, "gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "large-often")  # so that a frequent shingle's rows can be split
         shared = held.join(often, [*shard, "gram"]).groupBy(*shard, "node").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
         shared = stored(shared.where(F.col("shared") >= F.col("size") * least - 1e-9), "large-shared")
         rows = stored(rows.drop("shared").join(shared.drop("size"), [*shard, "node"]), "large-peeled")
@@ -327,7 +327,7 @@ def alike_in_large(rows: DataFrame, run, least: float, rounds: int = 3) -> DataF
     rows = rows.join(middle, shard).withColumn("joined", both >= (F.size("grams") + F.size("its") - both) * least - 1e-9).drop("its", "shared")
     rows = stored(rows, "large-joined")
     tiles = rows.groupBy(*shard).agg(*[F.ceil(F.sum(F.when(F.col("joined") == j, F.size("grams")).otherwise(0)) / (WEIGHT / 2)).cast("int").alias(n) for n, j in (("on", True), ("off", False))])
-    rows = rows.join(tiles, shard)
+    rows = rows.join(stored(tiles, "large-tiles"), shard)
     tile = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("joined"), F.col("on")).otherwise(F.col("off")), F.lit(1))).cast("int")
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     # linked sets meet the tiles of those that are not, and those meet one another too
