@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -48,6 +49,9 @@ class Engine:
         self.views: dict[str, str] = {}
         self.functions: dict[str, tuple[str, bool]] = {}
         self.scratch: list[str] = []
+        self.indexes: dict[str, tuple[str, bool, list[tuple[str, str]]]] = {}
+        self.statistics: Counter[str] = Counter()
+        self.last_statement: str | None = None
         register(spark)
 
     def close(self) -> None:
@@ -61,6 +65,8 @@ class Engine:
         """The result of one statement; a statement without rows gives an empty frame or a count."""
         ts = solid(tokens(statement))
         first = ts[0].word
+        self.statistics[first] += 1
+        self.last_statement = statement
         own = getattr(self, f"_{first.lower()}", None)
         if own is not None:
             done = own(statement, ts, parameters)
@@ -224,6 +230,13 @@ class Engine:
             self.sequences[ts[2].text.split(".")[-1].lower()] = Sequence(start, step, low, high, cycle)
             return self._empty()
         if kind in ("INDEX", "UNIQUE", "GROUP"):  # there are no indexes; scans prune by file statistics
+            words = [t.word for t in ts]
+            if "ON" in words and "INDEX" in words:
+                at = words.index("ON")
+                opened = next((i for i in range(at, len(ts)) if ts[i].text == "("), None)
+                if opened is not None:
+                    listed = [([t for t in part if t.word not in ("ASC", "DESC")][-1].text.strip('"`'), "NO" if part[-1].word == "DESC" else "YES") for part in split(ts[opened + 1 : closing(ts, opened)], ",")]
+                    self.indexes[ts[words.index("INDEX") + 1].text.strip('"`')] = ts[opened - 1].text.strip('"`'), "UNIQUE" in words, listed
             return self._empty()
         if kind == "VIEW":
             self.views[ts[2].text.strip('"`').lower()] = text(tokens(statement)[next(i for i, t in enumerate(tokens(statement)) if t.word == "AS") + 1 :])
@@ -274,8 +287,10 @@ class Engine:
     def _drop(self, statement: str, ts: list[Token], parameters) -> DataFrame | None:
         kind, name = ts[1].word, ts[-1].text.strip('"`')
         if kind in ("INDEX", "GROUP"):
+            self.indexes.pop(name, None)
             return self._empty()
         if kind == "SEQUENCE":
+            name = next(t.text for t in ts[2:] if t.word not in ("IF", "EXISTS")).split(".")[-1]
             self.sequences.pop(name.lower(), None)
             return self._empty()
         if kind == "VIEW":

@@ -15,6 +15,8 @@ if TYPE_CHECKING:
 
 NAMES = (
     "schemata", "tables", "columns", "table_constraints", "referential_constraints", "grouping_constraints", "key_column_usage", "sequences", "views", "routines", "parameters", "types",
+    "indexes", "index_columns", "view_table_usage", "view_column_usage", "jars", "routine_jar_usage", "script_engines", "script_engine_names", "type_bundles", "type_attributes",
+    "server_servers", "server_sessions", "server_statistics_summary", "server_users",
     "server_instance_summary", "server_parameters", "server_prepared_statements", "server_cursors", "server_memory_pools", "server_garbage_collectors",
 )
 _NUMERIC = {"tinyint": (3, 0), "smallint": (5, 0), "int": (10, 0), "bigint": (19, 0), "float": (24, None), "double": (53, None)}
@@ -86,7 +88,7 @@ def key_column_usage(engine: Engine) -> DataFrame:
 
 
 def sequences(engine: Engine) -> DataFrame:
-    rows = [(_schema(engine), n, "BIGINT", s.start, 1, 2**63 - 1, s.step, "NO") for n, s in engine.sequences.items()]
+    rows = [(_schema(engine), n, "BIGINT", s.start, 1 if s.low is None else s.low, 2**63 - 1 if s.high is None else s.high, s.step, "YES" if s.cycle else "NO") for n, s in engine.sequences.items()]
     return _frame(engine.spark, rows, "sequence_schema string, sequence_name string, data_type string, start_value long, minimum_value long, maximum_value long, increment long, cycle_option string")
 
 
@@ -145,6 +147,98 @@ def server_garbage_collectors(engine: Engine) -> DataFrame:
     return _frame(engine.spark, rows, "name string, total_count long, total_milliseconds long")
 
 
+def _indexes(engine: Engine):
+    """Table, name, whether unique, kind and columns: primary keys, and what CREATE INDEX has named."""
+    for d in engine.definitions.values():
+        if d.key:
+            yield d.name, "PRIMARY", "PRIMARY", [(c, "YES") for c in d.key]
+    for name, (table, unique, columns) in engine.indexes.items():
+        yield table, name, "UNIQUE" if unique else "INDEX", columns
+
+
+def indexes(engine: Engine) -> DataFrame:
+    """Indexes are facts only; scans prune by file statistics."""
+    rows = [(_schema(engine), table, name, f"{table}.PRIMARY" if kind == "PRIMARY" else None, i, kind, "NO" if kind == "INDEX" else "YES") for i, (table, name, kind, _) in enumerate(_indexes(engine), 1)]
+    return _frame(engine.spark, rows, "table_schema string, table_name string, index_name string, constraint_name string, index_id long, index_type string, is_unique string")
+
+
+def index_columns(engine: Engine) -> DataFrame:
+    rows = [(_schema(engine), table, name, c, i, up) for table, name, _, own in _indexes(engine) for i, (c, up) in enumerate(own)]
+    return _frame(engine.spark, rows, "index_table_schema string, index_table_name string, index_name string, column_name string, ordinal_position long, is_ascending string")
+
+
+def _used_by_views(engine: Engine):
+    from ..plans.dialect import tokens
+
+    there = {t.name.lower() for t in engine.spark.catalog.listTables()}
+    for view, text in engine.views.items():
+        words = {t.text.strip('"`').lower() for t in tokens(text)}
+        for table in sorted(words & there - {view}):
+            yield view, table, words
+
+
+def view_table_usage(engine: Engine) -> DataFrame:
+    rows = [(_schema(engine), view, _schema(engine), table) for view, table, _ in _used_by_views(engine)]
+    return _frame(engine.spark, rows, "view_schema string, view_name string, table_schema string, table_name string")
+
+
+def view_column_usage(engine: Engine) -> DataFrame:
+    """Columns of a view's tables that its text names."""
+    rows = [(_schema(engine), view, _schema(engine), table, c.name) for view, table, words in _used_by_views(engine) for c in engine.spark.catalog.listColumns(table) if c.name.lower() in words]
+    return _frame(engine.spark, rows, "view_schema string, view_name string, table_schema string, table_name string, column_name string")
+
+
+def jars(engine: Engine) -> DataFrame:
+    """Jars that the session was given."""
+    found = [x for x in (engine.spark.conf.get("spark.jars", "") or "").split(",") if x]
+    return _frame(engine.spark, [(_schema(engine), x.rsplit("/", 1)[-1], x) for x in found], "jar_schema string, jar_name string, java_path string")
+
+
+def routine_jar_usage(engine: Engine) -> DataFrame:
+    """Empty: routines are SQL or Python."""
+    return _frame(engine.spark, [], "specific_schema string, specific_name string, jar_schema string, jar_name string")
+
+
+def script_engines(engine: Engine) -> DataFrame:
+    import sys
+
+    return _frame(engine.spark, [(1, "CPython", sys.version.split()[0], "Python"), (2, "Spark", engine.spark.version, "SQL")], "engine_id long, engine_name string, engine_version string, language_name string")
+
+
+def script_engine_names(engine: Engine) -> DataFrame:
+    return _frame(engine.spark, [("python", 1), ("sql", 2)], "engine_name string, engine_id long")
+
+
+def type_bundles(engine: Engine) -> DataFrame:
+    return _frame(engine.spark, [("arbora",)], "bundle_name string")
+
+
+def type_attributes(engine: Engine) -> DataFrame:
+    """What a type's name may be followed by."""
+    rows = [(t, a) for t, more in (("DECIMAL", ("PRECISION", "SCALE")), ("NUMERIC", ("PRECISION", "SCALE")), ("CHAR", ("LENGTH", "COLLATION")), ("VARCHAR", ("LENGTH", "COLLATION"))) for a in more]
+    return _frame(engine.spark, rows, "type_name string, attribute_name string")
+
+
+def server_servers(engine: Engine) -> DataFrame:
+    return _frame(engine.spark, [("spark", engine.spark.sparkContext.master, engine.spark.sparkContext.startTime)], "server_type string, master string, start_milliseconds long")
+
+
+def server_sessions(engine: Engine) -> DataFrame:
+    return _frame(engine.spark, [(id(engine), "spark", engine.last_statement, sum(engine.statistics.values()))], "session_id long, server_type string, last_query_executed string, query_count long")
+
+
+def server_statistics_summary(engine: Engine) -> DataFrame:
+    """Statements of this session by kind."""
+    kinds = {"call_statement_count": ("CALL",), "ddl_statement_count": ("CREATE", "DROP", "ALTER", "RENAME", "TRUNCATE"), "dml_statement_count": ("INSERT", "UPDATE", "DELETE", "COPY"), "select_statement_count": ("SELECT", "VALUES", "WITH")}
+    counts = {name: sum(engine.statistics[w] for w in words) for name, words in kinds.items()}
+    whole = sum(engine.statistics.values())
+    return _frame(engine.spark, [(whole, *counts.values(), whole - sum(counts.values()))], "query_count long, " + ", ".join(f"{n} long" for n in counts) + ", other_statement_count long")
+
+
+def server_users(engine: Engine) -> DataFrame:
+    return _frame(engine.spark, [(engine.spark.sparkContext.sparkUser(), sum(engine.statistics.values()))], "user_name string, statement_count long")
+
+
 def frame(engine: Engine, name: str) -> DataFrame:
     if name not in NAMES:
         raise KeyError(f"information_schema has no {name}")

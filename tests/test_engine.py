@@ -207,6 +207,13 @@ def test_information_schema(engine):
     assert q("SELECT path, depth FROM information_schema.grouping_constraints WHERE constraint_table_name = 'items'") == [("customers/orders/items", 2)]
     assert q("SELECT column_name FROM information_schema.key_column_usage WHERE constraint_name = 'orders.PRIMARY'") == [("oid",)]
     assert ("TABLE",) in q("SELECT table_type FROM information_schema.tables WHERE table_name = 'orders'")
+    engine.script("CREATE UNIQUE INDEX by_sku ON items (sku, quan DESC); CREATE VIEW of_items AS SELECT sku FROM items")
+    assert q("SELECT table_name, index_type, is_unique FROM information_schema.indexes WHERE index_name = 'by_sku'") == [("items", "UNIQUE", "YES")]
+    assert q("SELECT column_name, is_ascending FROM information_schema.index_columns WHERE index_name = 'by_sku' ORDER BY ordinal_position") == [("sku", "YES"), ("quan", "NO")]
+    assert q("SELECT table_name, column_name FROM information_schema.view_column_usage WHERE view_name = 'of_items'") == [("items", "sku")]
+    assert q("SELECT ddl_statement_count > 0 AND select_statement_count > 3 AS a FROM information_schema.server_statistics_summary") == [(True,)]
+    engine.script("DROP INDEX by_sku; DROP VIEW of_items")
+    assert q("SELECT count(*) AS n FROM information_schema.indexes WHERE index_name = 'by_sku'") == [(0,)]
     from arbora.sources.infoschema import NAMES
 
     for name in NAMES:
