@@ -96,11 +96,6 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def known_small(df: DataFrame, most: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, which is counted first; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def running(df: DataFrame, group: Sequence[str], lane: str, order: Sequence[Column | str], value: Column, into: str) -> DataFrame:
     """Add ``into``: the sum of ``value`` over the rows of the same group that come before, in order of lane, then ``order``.
 

@@ -37,3 +37,16 @@ def test_odd_rows(spark):
     for table in (docs, docs.where("false")):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, table, SF).collect()
+
+
+def test_other_columns_and_repeated_ids(spark):
+    """Columns beside those of documents are left out; an id's unlike texts stay, near copies go, whatever their ids."""
+    words = [[f"t{n}w{i}" for i in range(120)] for n in range(3)]
+    near = [*words[0][:60], "changed", *words[0][61:]]
+    rows = [(1, " ".join(words[0])), (1, " ".join(words[1])), (2, " ".join(near)), (None, " ".join(words[2])), (None, " ".join([*words[2], "more"])), (1, " ".join(words[1]))]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t), "clash", 7) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, mix_size int")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF)
+    assert kept.columns == [*corpus_pipeline.COLUMNS]
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in kept.collect()) == [(0, "t2"), (1, "t0"), (1, "t1")]
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, docs, SF).columns == [*corpus_pipeline.COLUMNS]
