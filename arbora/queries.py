@@ -171,7 +171,7 @@ def select_star_star(s, d):
 def _engine(s, d, *names, **tables):
     """An engine in a database of its own, with copies of tables."""
     database = f"arbora_{uuid.uuid4().hex[:8]}"
-    s.sql(f"CREATE DATABASE {database}")
+    s.sql(f"CREATE DATABASE {database} LOCATION '{_scratch(s)}'")
     before = s.catalog.currentDatabase()
     s.catalog.setCurrentDatabase(database)
     try:
