@@ -69,11 +69,18 @@ def lexicon(sample: DataFrame, least_docs: int = 4, least_share: float = 0.6, le
     rows = per_batch(run, sample.select(F.col("key").cast("string").alias("key"), "text", "y"), "key string, y int, copy string, words array<string>")
     rows = stored(rows.groupBy("copy").agg(F.max_by(F.struct("y", "words"), "key").alias("r")).select("copy", "r.*"), "lexicon-words")
     many = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    held = lambda y: rows.where(F.col("y") == y).select("copy", F.explode("words").alias("word")).select("copy", "word", F.explode(F.expr(ENTRIES)).alias("entry"))
-    toxic = held(1).groupBy("entry").agg(F.countDistinct("copy").alias("k"), F.countDistinct("word").alias("words"))
-    toxic = stored(toxic.where((F.col("k") >= least_docs) & (~F.col("entry").endswith("*") | (F.col("words") >= least_words))), "lexicon-candidates")
-    clean = held(0).join(toxic.select("entry"), "entry").groupBy("entry").agg(F.countDistinct("copy").alias("clean"))
-    found = toxic.join(clean, "entry", "left").select("entry", "k", F.coalesce("clean", F.lit(0)).alias("clean")).where(F.col("k") >= least_share * (F.col("k") + F.col("clean"))).collect()
+    held = rows.select("copy", "y", F.explode("words").alias("word"))
+    vocabulary = stored(held.groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")), "lexicon-vocabulary")
+    entries = lambda df: df.select("*", F.explode(F.expr(ENTRIES)).alias("entry"))
+    # of an entry: how many words it is of in toxic texts, and the fewest clean texts it can be in, those of its most frequent word
+    known = entries(vocabulary).groupBy("entry").agg(F.count_if(F.col("toxic") > 0).alias("words"), F.max("clean").alias("clean"))
+    toxic = entries(held.where("y = 1")).select("copy", "entry").distinct().groupBy("entry").agg(F.count("*").alias("k")).where(F.col("k") >= least_docs)
+    toxic = stored(toxic.join(known, "entry").where(~F.col("entry").endswith("*") | (F.col("words") >= least_words)), "lexicon-candidates")
+    enough = F.col("k") >= least_share * (F.col("k") + F.col("clean"))
+    close = stored(toxic.where(enough).select("entry", "k"), "lexicon-close")
+    pairs = stored(entries(vocabulary).join(close, "entry").select("word", "entry"), "lexicon-pairs")
+    clean = held.where("y = 0").join(pairs, "word").select("copy", "entry").distinct().groupBy("entry").agg(F.count("*").alias("clean"))
+    found = close.join(clean, "entry", "left").select("entry", "k", F.coalesce("clean", F.lit(0)).alias("clean")).where(enough).collect()
     base = float(np.clip(many.get(1, 0) / max(1, sum(many.values())), 0.01, 0.5))
     limit = chance - math.log10(max(1, toxic.count()))
     share = {r["entry"]: r["k"] / (r["k"] + r["clean"]) for r in found}
@@ -186,6 +193,7 @@ class Model:
 
 def fit(sample: DataFrame) -> Model:
     """The model of a bounded sample ``(key, text, y)``; only features that are not zero come to the driver."""
+    sample = stored(sample, "labelled-sample")
     model = Model(lexicon(sample))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
