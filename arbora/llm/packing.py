@@ -19,6 +19,7 @@ gives no rows. Columns beside key and text are not looked at, whatever their nam
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import by_value, per_batch, running, stored, worker_cache
 
-#: Pieces of one length that one task numbers, about.
-LANE = 200_000
 #: Patterns of three lengths, and of four, at most.
 MOST = 20_000
 
@@ -188,7 +187,8 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, most: int = 2048, end: i
     runs, _ = plan(histogram, most)
     table = docs.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length long, rank long, n long, first long, place long")
     table = stored(table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "n", "first", "place"))).alias("runs")).coalesce(1), "pack-plan")
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(max(histogram.values(), default=0) // LANE + 1)))
+    lanes = math.isqrt(max(histogram.values(), default=0)) + 1  # as many lanes of the most frequent length as rows in each
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(lanes)))
     rows = running(rows, ["length"], "lane", [F.col(key), F.col("piece"), F.col("ids_crc32")], F.lit(1), "at")
     rows = rows.join(F.broadcast(table), "length")  # a row for each length, with as many runs as there are patterns at most
     run = F.element_at(F.filter("runs", lambda r: (r["rank"] <= F.col("at")) & (F.col("at") < r["rank"] + r["n"])), 1)
