@@ -60,12 +60,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
         for p in range(parts):
             some = F.broadcast(ids.where(part("llr_id") == p))
             marked = marked.union(grams(own.where(part("llr_key") == p).join(some, F.col("llr_key") == F.col("llr_id"), "left_semi"), F.lit(1), F.lit(0)))
-    table = stored(marked.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")), "ngram-counts")
-    ends = table.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()
-    if not ends["good"]:
+    counts = marked.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).collect()  # one row a bucket
+    good, raw = (sum(r[c] for r in counts) for c in ("good", "raw"))
+    if not good:
         return [0.0] * size
-    base = math.log((ends["raw"] + smooth * size) / (ends["good"] + smooth * size))
-    found = {r["bucket"]: math.log((r["good"] + smooth) / (r["raw"] + smooth)) + base for r in table.collect()}  # one row a bucket
+    base = math.log((raw + smooth * size) / (good + smooth * size))
+    found = {r["bucket"]: math.log((r["good"] + smooth) / (r["raw"] + smooth)) + base for r in counts}
     return [found.get(b, base) for b in range(size)]
 
 

@@ -241,6 +241,13 @@ def test_trusted_ids_beyond_a_broadcast(docs, labels):
     assert quality_rules.log_ratios(docs, trusted, most_broadcast=10) == want and any(want)
 
 
+def test_counts_are_not_stored(docs, labels, monkeypatch):
+    """A row a bucket goes to the driver; no table is written between, whose every file costs the executor a process (chmod) on a local disk."""
+    tags = []
+    monkeypatch.setattr(quality_rules, "stored", lambda df, tag: tags.append(tag) or df)
+    assert any(quality_rules.log_ratios(docs, labels.where("quality = 1"))) and tags == []
+
+
 def test_repeated_words_are_exact(spark, monkeypatch):
     """Places beside hashes, for short texts as for long ones; and a text of a million words, of which few are repeated."""
     rng = np.random.default_rng(1)
