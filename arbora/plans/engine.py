@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,8 +261,18 @@ class Engine:
             return self._empty()
         parameters = ", ".join(f"{part[0].text} {dialect.column_type(part[1:])}" for part in split(ts[at + 3 : end], ",") if part)
         result = dialect.column_type(ts[words.index("RETURNS") + 1 : words.index("LANGUAGE")])
+        define = lambda own: self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {own}({parameters}) RETURNS {result} RETURN {dialect.to_spark(body)}")
         with lenient(self.spark):
-            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {dialect.to_spark(body)}")
+            try:
+                define(name)
+            except AnalysisException as e:
+                if "CANNOT_REPLACE_NON_SQL_UDF" not in (e.getCondition() or ""):
+                    raise
+                # Spark puts it in place of another SQL function only; a Python function goes once the new one is known to be sound
+                define(trial := f"arb_trial_{uuid.uuid4().hex}")
+                for gone in (trial, name):
+                    self.spark.sql(f"DROP TEMPORARY FUNCTION {gone}")
+                define(name)
         self.functions[name.lower()] = (result, True)
         return self._empty()
 

@@ -4,6 +4,7 @@ import json
 import uuid
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from arbora.plans import dialect
 from arbora.plans.engine import Engine
@@ -128,6 +129,16 @@ def test_names(engine):
         engine.sql("ROLLBACK")
 
 
+def test_sql_function_in_place_of_a_python_one(engine):
+    """Functions belong to the session, so another engine's may have the name already; a wrong body leaves it as it is."""
+    engine.function("thrice", lambda x: x * 3, "int")
+    with pytest.raises(AnalysisException):
+        engine.sql("CREATE FUNCTION thrice(x INT) RETURNS INT LANGUAGE SQL PARAMETER STYLE ROW AS $$ no_such_column * 2 $$")
+    assert rows(engine.sql("SELECT thrice(cid) AS t FROM customers WHERE cid = 3")) == [(9,)]
+    Engine(engine.spark).sql("CREATE FUNCTION thrice(x INT) RETURNS INT LANGUAGE SQL PARAMETER STYLE ROW AS $$ x * 3 + 1 $$")
+    assert rows(engine.sql("SELECT thrice(cid) AS t FROM customers WHERE cid = 3")) == [(10,)]
+
+
 def test_groups(engine):
     found = sorted((json.loads(r[0]) for r in rows(engine.dump("customers"))), key=lambda r: r["cid"])
     assert found[2] == {"cid": 3, "name": "Adams"}  # no arrays without rows
