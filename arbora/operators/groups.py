@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +60,31 @@ def product(parent: DataFrame, first: DataFrame, first_edge: Edge, second: DataF
     return _joined(out, second_edge.parent_key, second, second_edge.child_key, "inner", "second_")
 
 
+def product_counts(
+    parent: DataFrame, first: DataFrame, first_edge: Edge, second: DataFrame, second_edge: Edge, by: Sequence[str], into: str = "n",
+    first_distinct: Mapping[str, str] | None = None, second_distinct: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Of :func:`product`, by columns of the parent: its rows, and distinct values of columns of either branch.
+
+    No pair is made: each row of the first branch counts as many times as its parent has rows in the second, and values of the
+    second are taken below parents that have rows in the first. ``*_distinct`` are names of results and the columns they count.
+    """
+    parents = parent.select(F.col(first_edge.parent_key).alias("_first"), F.col(second_edge.parent_key).alias("_second"), *by)
+
+    def below(df: DataFrame, edge: Edge, key: str, other: DataFrame, other_edge: Edge, other_key: str, columns: Mapping[str, str] | None) -> DataFrame:
+        times = other.groupBy(F.col(other_edge.child_key).alias("_other")).agg(F.count("*").alias("_times"))
+        rows = df.select(F.col(edge.child_key).alias("_up"), *[F.col(c).alias(n) for n, c in (columns or {}).items()])
+        return rows.join(parents.join(times, F.col(other_key) == F.col("_other")), F.col("_up") == F.col(key)).groupBy(*by)
+
+    count = [F.countDistinct(n).alias(n) for n in first_distinct or {}]
+    out = below(first, first_edge, "_first", second, second_edge, "_second", first_distinct).agg(F.coalesce(F.sum("_times"), F.lit(0)).alias(into), *count)
+    if second_distinct:
+        more = below(second, second_edge, "_second", first, first_edge, "_first", second_distinct).agg(*[F.countDistinct(n).alias(n) for n in second_distinct])
+        names = [into, *(first_distinct or {}), *second_distinct]
+        out = out.unionByName(more, allowMissingColumns=True).groupBy(*by).agg(*[F.max(n).alias(n) for n in names])
+    return out
+
+
 def nest(parent: DataFrame, child: DataFrame, edge: Edge, columns: Sequence[str | Column], into: str) -> DataFrame:
     """Parents with their children as a sorted array of structs; an empty array where there are none."""
     rows = child.groupBy(F.col(edge.child_key).alias("_up")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(into))
